@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.functions import vectors
 from tidemark.functions.ids import event_id
@@ -209,7 +210,8 @@ def _score_block(corpus: DataFrame, block: list, k: int, id_type: T.DataType) ->
     matrix = np.array([row.v for row in block], dtype=np.float64)
     sizes = np.linalg.norm(matrix, axis=1, keepdims=True)
     np.divide(matrix, sizes, out=matrix, where=sizes > 0)
-    shared = spark.sparkContext.broadcast(([row.q for row in block], matrix))
+    names = pa.array([row.q for row in block], type=to_arrow_type(id_type))
+    shared = spark.sparkContext.broadcast((names, matrix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, unit = shared.value
@@ -224,8 +226,8 @@ def _score_block(corpus: DataFrame, block: list, k: int, id_type: T.DataType) ->
         if best.ids is not None:
             yield pa.RecordBatch.from_pydict(
                 {
-                    "query_id": [names[i] for i in best.query],
-                    "event_id": best.ids.tolist(),
+                    "query_id": names.take(pa.array(best.query)),
+                    "event_id": pa.array(best.ids.tolist(), pa.string()),
                     "score": best.score,
                 }
             )
