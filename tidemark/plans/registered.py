@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.json_text import canonical_value
 from tidemark.operators import search
 from tidemark.operators.embedding import HashingEmbedder, embed_column
-from tidemark.plans import inputs, queries_catalog, queries_events, queries_search
+from tidemark.plans import inputs, queries_catalog, queries_events, queries_relations, queries_search
 from tidemark.sources import tables
 
-FAMILIES = (queries_events, queries_search, queries_catalog)
+FAMILIES = (queries_events, queries_search, queries_catalog, queries_relations)
 QUERIES = {name: fn for family in FAMILIES for name, fn in family.QUERIES.items()}
 ORACLES = {name: sql for family in FAMILIES for name, sql in family.ORACLES.items()}
 
