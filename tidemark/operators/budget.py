@@ -42,41 +42,46 @@ def ledger_rows(calls: DataFrame, provider: Column, created_ms: Column, cost: Co
     return calls.select(utc_day(created_ms).alias("day"), provider.alias("provider"), cost.alias("spend_usd"))
 
 
-def admit(
-    calls: DataFrame, by: Sequence[str], order: Sequence[str], bucket: Column, cost: Column, ceiling: float,
+def spent_before(
+    calls: DataFrame, by: Sequence[str], order: Sequence[str], bucket: Column, cost: Column
 ) -> DataFrame:
-    """Calls made while the spend before them lay under the ceiling; the one that crosses it is allowed.
+    """Add the running total of ``cost`` before each call as ``spent_units``.
 
-    Adds ``spent_before``. ``bucket`` must not decrease along ``order`` (a minute, a block of ids).
-    Buckets are totalled by a combining aggregate, summed up over the few bucket rows, and only
-    calls of one bucket are put in order together: a day or provider that holds a third of all
-    calls is still spread over many tasks.
+    ``bucket`` must not decrease along ``order`` (a minute, a block of ids). Buckets are totalled by
+    a combining aggregate, summed up over the few bucket rows, and only calls of one bucket are put
+    in order together: a day or provider that holds a third of all calls is still spread over many
+    tasks.
     """
     named = calls.withColumns({"_bucket": bucket, "_units": units(cost)})
     totals = named.groupBy(*by, "_bucket").agg(F.sum("_units").alias("_total"))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(*by, "_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
-    limit = round(ceiling * UNITS)
-    open_ = bases.filter(F.col("_base") < limit)
     inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     spent = F.col("_base") + F.coalesce(F.sum("_units").over(inside), F.lit(0))
-    ranked = named.join(open_, [*by, "_bucket"]).withColumn("_spent", spent).filter(F.col("_spent") < limit)
-    return ranked.withColumn("spent_before", F.col("_spent") / F.lit(float(UNITS))).drop(
-        "_bucket", "_units", "_base", "_spent"
-    )
+    return named.join(bases, [*by, "_bucket"]).withColumn("spent_units", spent).drop("_bucket", "_units", "_base")
+
+
+def admit(
+    calls: DataFrame, by: Sequence[str], order: Sequence[str], bucket: Column, cost: Column, ceiling: float,
+) -> DataFrame:
+    """Calls made while the spend before them lay under the ceiling; the one that crosses it is allowed."""
+    ranked = spent_before(calls, by, order, bucket, cost)
+    kept = ranked.filter(F.col("spent_units") < round(ceiling * UNITS))
+    return kept.withColumn("spent_before", F.col("spent_units") / F.lit(float(UNITS))).drop("spent_units")
 
 
-def admit_estimates(calls: DataFrame, key: str, estimate: float, spent: float, ceiling: float) -> DataFrame:
-    """As many calls as fit what is left today, each counted at ``estimate`` USD.
+def mark_admitted(calls: DataFrame, key: str, waiting: Column, estimate: float, spent: float, ceiling: float) -> DataFrame:
+    """Add ``admitted``: as many waiting calls as fit what is left today, each counted at ``estimate`` USD.
 
     Calls are taken in hash order of ``key``, which cuts evenly into buckets. Real costs are known
     only afterwards and settle in the ledger.
     """
     left = ceiling - spent
     if left <= 0:
-        return calls.filter(F.lit(False))
+        return calls.withColumn("admitted", F.lit(False))
     if estimate <= 0:
-        return calls
+        return calls.withColumn("admitted", waiting)
     ordered = calls.withColumns({"_all": F.lit(0), "_h": F.xxhash64(key)})
-    admitted = admit(ordered, ["_all"], ["_h", key], F.shiftright("_h", 50), F.lit(float(estimate)), left)
-    return admitted.drop("_all", "_h", "spent_before")
+    cost = F.when(waiting, F.lit(float(estimate))).otherwise(F.lit(0.0))
+    ranked = spent_before(ordered, ["_all"], ["_h", key], F.shiftright("_h", 50), cost)
+    return ranked.withColumn("admitted", waiting & (F.col("spent_units") < round(left * UNITS))).drop("_all", "_h", "spent_units")

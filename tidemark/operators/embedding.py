@@ -10,6 +10,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +29,8 @@ class HashingEmbedder:
     """A model-free embedder: signed word counts hashed into ``dim`` buckets, unit length.
 
     A word's bucket is the first four hex digits of its MD5 modulo ``dim``; the fifth digit gives
-    the sign. The JVM splits and hashes whole texts; only bucket numbers cross to Python, where a
-    batch is counted in one vectorised step.
+    the sign. The JVM splits and hashes whole texts; only five digits per word cross to Python, where
+    a batch is counted in one vectorised step.
     """
 
     words = r"[\p{L}\p{N}]+"
@@ -52,27 +53,28 @@ class HashingEmbedder:
 
     def column(self, text: Column) -> Column:
         dim = self.dim
-        digests = F.transform(F.regexp_extract_all(F.lower(text), F.lit(self.words), F.lit(0)), lambda w: F.md5(w))
-        # Buckets 0..dim-1 count up, dim..2*dim-1 count down.
-        slots = F.transform(
-            digests,
-            lambda h: (F.conv(F.substring(h, 1, 4), 16, 10).cast("int") % F.lit(dim))
-            + F.when(F.substring(h, 5, 1) < "8", F.lit(0)).otherwise(F.lit(dim)),
-        )
+        found = F.regexp_extract_all(F.lower(text), F.lit(self.words), F.lit(0))
+        digests = F.transform(found, lambda w: F.substring(F.md5(w), 1, 5))
+        digit = np.zeros(256, np.int64)
+        for i, c in enumerate(b"0123456789abcdef"):
+            digit[c] = i
 
         @F.arrow_udf("array<double>")
         def count_words(batch: pa.Array) -> pa.Array:
-            sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(batch), 0))
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(batch), 0))
             rows = np.repeat(np.arange(len(batch)), sizes)
-            slot = np.asarray(batch.flatten(), dtype=np.int64)
-            grid = np.bincount(rows * (2 * dim) + slot, minlength=len(batch) * 2 * dim).reshape(len(batch), 2, dim)
-            counts = (grid[:, 0] - grid[:, 1]).astype(np.float64)
+            hexes = np.asarray(batch.flatten().cast(pa.binary(5)).buffers()[1] or b"", dtype=np.uint8)
+            start = batch.flatten().offset * 5
+            parts = digit[hexes[start : start + 5 * len(rows)].reshape(-1, 5)]
+            bucket = (parts[:, :4] @ np.array([4096, 256, 16, 1])) % dim
+            sign = np.where(parts[:, 4] < 8, 1.0, -1.0)
+            counts = np.bincount(rows * dim + bucket, weights=sign, minlength=len(batch) * dim).reshape(len(batch), dim)
             size = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
             np.divide(counts, size, out=counts, where=size > 0)
             offsets = np.arange(0, (len(batch) + 1) * dim, dim, dtype=np.int32)
             return pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts.ravel()))
 
-        return count_words(slots)
+        return count_words(digests)
 
 
 def model_column(factory: Callable[[], Embedder], text: Column) -> Column:

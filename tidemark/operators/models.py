@@ -8,8 +8,10 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.timeparts import utc_day
+from tidemark.operators import budget
 from tidemark.session import shared_dir
 
 
@@ -35,35 +37,54 @@ def split_cached(asked: DataFrame, cache: DataFrame | None) -> tuple[DataFrame,
     return asked.join(known, "cache_key"), asked.join(known, "cache_key", "left_anti")
 
 
-def ask(asked: DataFrame, model: Model, keep: Sequence[str]) -> DataFrame:
-    """Answers for the ``prompt`` column: kept columns, text, cost, error.
-
-    A failed call gives null text and its error; it does not fail the job. The result is written
-    to the shared folder at once, because asking again could cost money and answer differently.
+def ask(
+    asked: DataFrame,
+    model: Model,
+    keep: Sequence[str],
+    cache: DataFrame | None = None,
+    spent: float = 0.0,
+    ceiling: float = 1.0,
+    estimate: float = 0.0,
+) -> DataFrame:
+    """Answer the ``prompt`` of every row that can be answered.
+
+    Returns the kept columns, ``cache_key``, the cached ``payload_json`` if there is one, ``admitted``,
+    and for admitted rows ``text``, ``cost`` and ``error``. Cached rows are not asked; the others are
+    while the day's spend lies under the ceiling. A failed call gives null text and its error; it
+    does not fail the job. All of it is written to the shared folder in one pass, because asking
+    again could cost money and answer differently.
     """
-    kept = list(keep)
-    types = ", ".join(f"`{c}` {asked.schema[c].dataType.simpleString()}" for c in kept)
+    spark = asked.sparkSession
+    if cache is None:
+        looked_up = asked.withColumn("payload_json", F.lit(None).cast("string"))
+    else:
+        looked_up = asked.join(latest_cache(cache), "cache_key", "left")
+    marked = budget.mark_admitted(looked_up, "cache_key", F.col("payload_json").isNull(), estimate, spent, ceiling)
+    kept = [*keep, "cache_key", "payload_json", "admitted"]
+    schema = T.StructType([marked.schema[c] for c in kept])
+    schema = schema.add("text", "string").add("cost", "double").add("error", "string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for prompt in batch["prompt"]:
-                try:
-                    text, cost = model.complete(prompt)
-                    rows.append((text, float(cost), None))
-                except Exception as exc:
-                    rows.append((None, 0.0, str(exc)[:500]))
+            for prompt, admitted in zip(batch["prompt"], batch["admitted"], strict=True):
+                answer = (None, 0.0, None)
+                if admitted:
+                    try:
+                        text, cost = model.complete(prompt)
+                        answer = (text, float(cost), None)
+                    except Exception as exc:
+                        answer = (None, 0.0, str(exc)[:500])
+                rows.append(answer)
             answers = pd.DataFrame(rows, columns=["text", "cost", "error"], index=batch.index)
             yield pd.concat([batch[kept], answers], axis=1)
 
-    spark = asked.sparkSession
     path = shared_dir(spark, "answers")
-    answered = asked.select(*kept, "prompt").mapInPandas(run, f"{types}, text string, cost double, error string")
-    answered.write.parquet(path)
-    return spark.read.parquet(path)
+    marked.select(*kept, "prompt").mapInPandas(run, schema).write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def spend_rows(answers: DataFrame, provider: str, now_ms: int) -> DataFrame:
-    return answers.select(
+    return answers.filter(F.col("admitted")).select(
         utc_day(F.lit(now_ms)).alias("day"), F.lit(provider).alias("provider"), F.col("cost").alias("spend_usd")
     )

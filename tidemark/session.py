@@ -6,7 +6,10 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Settings the jobs of this package are tuned for. ``spark-submit`` settings win.
 DEFAULTS = {
@@ -42,3 +45,11 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     if base:
         return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
     return tempfile.mkdtemp(prefix=f"{label}-", dir=os.environ.get("TMPDIR"))
+
+
+def local_rows(spark: SparkSession, rows: list[tuple], ddl: str | T.StructType) -> DataFrame:
+    """A handful of driver-side rows as a local relation, whose size the optimizer knows."""
+    schema = T._parse_datatype_string(ddl) if isinstance(ddl, str) else ddl
+    arrow = to_arrow_schema(schema)
+    columns = [pa.array([row[i] for row in rows], type=field.type) for i, field in enumerate(arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), schema)

@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import schemas
 from tidemark.functions.json_text import fingerprint
+from tidemark.session import local_rows
 
 FIELD_ARRAY = "array<struct<name: string, type: string, nullable: boolean, default_json: string, doc: string>>"
 SUBJECT_SUFFIX = "-value"
@@ -109,19 +110,22 @@ def _field_rows(schema_json: str | None) -> list[dict]:
 
 
 def flatten_column(schema_json: Column) -> Column:
-    """All field rows of a schema as an array (Arrow-batched; use with ``inline``)."""
+    """All field rows of a schema as an array; each different text of a batch is parsed once."""
+    text, flag = pa.string(), pa.bool_()
+    row = pa.struct([("name", text), ("type", text), ("nullable", flag), ("default_json", text), ("doc", text)])
 
-    @F.pandas_udf(FIELD_ARRAY)
-    def flatten_batch(batch: pd.Series) -> pd.Series:
-        return batch.map(_field_rows)
+    @F.arrow_udf(FIELD_ARRAY)
+    def flatten_batch(batch: pa.Array) -> pa.Array:
+        coded = batch.dictionary_encode(null_encoding="encode")
+        parsed = pa.array([_field_rows(t) for t in coded.dictionary.to_pylist()], type=pa.list_(row))
+        return parsed.take(coded.indices)
 
     return flatten_batch(schema_json)
 
 
 def flatten(schemas_df: DataFrame, by: str = "topic") -> DataFrame:
-    """Field rows for a table of schemas. Each different schema text is parsed once."""
-    texts = schemas_df.select("schema_json").dropDuplicates().withColumn("f", flatten_column(F.col("schema_json")))
-    return schemas_df.select(by, "schema_json").join(texts, "schema_json").select(by, F.inline("f"))
+    """Field rows for a table of schemas, without an exchange."""
+    return schemas_df.select(by, flatten_column(F.col("schema_json")).alias("f")).select(by, F.inline("f"))
 
 
 def register_udtf(spark: SparkSession, name: str = "flatten_schema") -> None:
@@ -178,4 +182,4 @@ def fields_of(spark: SparkSession, topics: dict[str, T.StructType]) -> DataFrame
         for topic, schema in sorted(topics.items())
         for name, label, nullable in flatten_struct(schema)
     ]
-    return spark.createDataFrame(rows, schemas.FIELDS)
+    return local_rows(spark, rows, schemas.FIELDS)
