@@ -47,11 +47,22 @@ def usable_patterns(extra: Iterable[str] = (), spark: SparkSession | None = None
 
 
 def mask_text(text: Column, extra: Sequence[str] = (), unicode: bool = True) -> Column:
-    """Replace every match of every pattern; case-insensitive, Unicode-aware unless told otherwise."""
+    """Replace every match of every pattern; case-insensitive, Unicode-aware unless told otherwise.
+
+    The built-in patterns are skipped where they cannot match: the first needs an ``@``, the others
+    three digits in a row. Most text has neither, and looking for those is far cheaper.
+    """
     flags = "(?iU)" if unicode else "(?i)"
-    for pattern in (*DEFAULT_PATTERNS, *extra):
-        text = F.regexp_replace(text, flags + pattern, MASK.replace("$", r"\$"))
-    return text
+
+    def mask(column: Column, *patterns: str) -> Column:
+        for pattern in patterns:
+            column = F.regexp_replace(column, flags + pattern, MASK)
+        return column
+
+    address, *numbers = DEFAULT_PATTERNS
+    out = F.when(text.contains("@"), mask(text, address)).otherwise(text)
+    out = F.when(text.rlike(flags + r"\d{3}"), mask(out, *numbers)).otherwise(out)
+    return mask(out, *extra)
 
 
 def redact(

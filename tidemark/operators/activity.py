@@ -11,6 +11,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import local_rows
+
 HOUR_MS = 3_600_000
 DAY_MS = 86_400_000
 
@@ -47,7 +49,7 @@ def list_topics(events: DataFrame, catalog: DataFrame, allowlist: Iterable[str]
     described = catalog.select(F.col("name").alias("topic"), "description", "description_confidence")
     if allowed:
         spark = events.sparkSession
-        names = spark.createDataFrame([(t,) for t in allowed], "topic string")
+        names = local_rows(spark, [(t,) for t in allowed], "topic string")
         rows = names.join(seen, "topic", "left").join(described, "topic", "left")
     else:
         rows = seen.join(described, "topic", "full")

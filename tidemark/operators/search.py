@@ -23,6 +23,7 @@ from tidemark.functions import vectors
 from tidemark.functions.ids import event_id
 from tidemark.functions.json_text import struct_json
 from tidemark.operators.filters import Clause, where
+from tidemark.session import local_rows
 
 SCORE_DECIMALS = 9
 MAX_RESULTS = 100
@@ -206,7 +207,7 @@ def _score_block(corpus: DataFrame, block: list, k: int, id_type: T.DataType) ->
     )
     block = [row for row in block if row.v]
     if not block:
-        return spark.createDataFrame([], schema)
+        return local_rows(spark, [], schema)
     matrix = np.array([row.v for row in block], dtype=np.float64)
     sizes = np.linalg.norm(matrix, axis=1, keepdims=True)
     np.divide(matrix, sizes, out=matrix, where=sizes > 0)

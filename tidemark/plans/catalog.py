@@ -14,6 +14,7 @@ from tidemark import schemas
 from tidemark.functions import privacy
 from tidemark.operators import activity, annotate, models, relations, sampling
 from tidemark.sources import registry as registry_source
+from tidemark.session import local_rows
 
 ASPECTS = ("schema", "samples", "stats", "inference")
 STAMPS = {
@@ -126,7 +127,7 @@ class CatalogTables:
     def read(self, table: str) -> DataFrame:
         taken = self._snapshots(table)
         if not taken:
-            return self.spark.createDataFrame([], TABLES[table])
+            return local_rows(self.spark, [], TABLES[table])
         return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}/snapshot={taken[-1]}")
 
     def write(self, table: str, rows: DataFrame) -> None:
@@ -168,7 +169,7 @@ class Refresh:
         """
         spark = self.tables.spark
         listed = sorted(set(names))
-        wanted = spark.createDataFrame([(n,) for n in listed], "topic string")
+        wanted = local_rows(spark, [(n,) for n in listed], "topic string")
         due = stale_aspects(self.tables.read("topics"), wanted, now_ms, self.settings.ttl())
         # (topic, aspect) names of the catalog, never event data.
         stale: dict[str, list[str]] = {a: [] for a in ASPECTS}
@@ -178,7 +179,7 @@ class Refresh:
         log = [self._tracked(aspect, step, stale[aspect], now_ms) for aspect, step in steps]
         if relationships:
             log.append(self._tracked("relationships", self._relationships, listed, now_ms))
-        self.tables.append("runs", spark.createDataFrame(log, schemas.RUN_LOG))
+        self.tables.append("runs", local_rows(spark, log, schemas.RUN_LOG))
         return log
 
     def _tracked(self, aspect: str, step, names: list[str], now_ms: int) -> tuple:
@@ -193,7 +194,7 @@ class Refresh:
         """Write topic rows with a new stamp; columns without a change keep their value."""
         spark = self.tables.spark
         old = self.tables.read("topics")
-        rows = spark.createDataFrame([(n,) for n in sorted(set(names))], "name string")
+        rows = local_rows(spark, [(n,) for n in sorted(set(names))], "name string")
         if changes is not None:
             rows = rows.join(changes, "name", "left")
         known = old.select("name", *[F.col(c).alias(f"_{c}") for c in OVERWRITTEN])
@@ -223,7 +224,7 @@ class Refresh:
 
     def _samples(self, names: list[str], now_ms: int) -> None:
         taken = self._take_samples(names)
-        keys = self.tables.spark.createDataFrame([(n,) for n in names], "topic string")
+        keys = local_rows(self.tables.spark, [(n,) for n in names], "topic string")
         kept = taken if self.settings.retain_samples else taken.filter(F.lit(False))
         self.tables.write("samples", replace_by_key(self.tables.read("samples"), kept, "topic", keys))
         self._stamp(names, "samples", now_ms)
@@ -240,7 +241,7 @@ class Refresh:
 
     def _stats(self, names: list[str], now_ms: int) -> None:
         profile = activity.activity_profile(self.sources.events.filter(F.col("topic").isin(names)), now_ms)
-        keys = self.tables.spark.createDataFrame([(n,) for n in names], "topic string")
+        keys = local_rows(self.tables.spark, [(n,) for n in names], "topic string")
         full = keys.join(profile, "topic", "left").na.fill(0, ["messages_last_hour", "messages_last_day"]).na.fill(
             0.0, ["rate_per_minute_last_hour"]
         )
@@ -289,7 +290,7 @@ class Refresh:
             edges = edges.unionByName(scored)
             self.tables.append("annotation_cache", cache)
             self.tables.append("spend", spend)
-        keys = self.tables.spark.createDataFrame([(n,) for n in names], "source_topic string")
+        keys = local_rows(self.tables.spark, [(n,) for n in names], "source_topic string")
         self.tables.write(
             "relationships", replace_by_key(self.tables.read("relationships"), edges, "source_topic", keys)
         )

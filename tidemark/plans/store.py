@@ -59,6 +59,22 @@ def stored_form(
     )
 
 
+def by_folder(rows: DataFrame) -> DataFrame:
+    """Bring each folder's rows together. A folder holds at most one block of offsets, so no topic,
+    however large, becomes one task; the fixed count keeps later steps on all cores."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *LAYOUT)
+
+
+def unique_in_folders(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """The last-written row per event, with the rows of a folder side by side.
+
+    The folder columns determine the partitioning and are part of the identity, so finding
+    duplicates needs no second exchange.
+    """
+    last = Window.partitionBy(*LAYOUT, "point_id").orderBy(*order)
+    return by_folder(rows).withColumn("_last", F.row_number().over(last)).filter(F.col("_last") == 1).drop("_last")
+
+
 def _write(rows: DataFrame, path: str, mode: str, bloom: Sequence[str]) -> None:
     writer = rows.sortWithinPartitions(*LAYOUT, "timestamp_ms").write.mode(mode).partitionBy(*LAYOUT)
     if mode == "overwrite":
@@ -92,6 +108,7 @@ def upsert(
     dim: int | None = None,
     order: Sequence[Column] | None = None,
     bloom: Sequence[str] = ("point_id",),
+    unique: bool = False,
     max_folders: int = 10_000,
 ) -> str:
     """Write a batch in :func:`stored_form`; returns ``append`` or ``rewrite``.
@@ -99,30 +116,31 @@ def upsert(
     Only the ids of the folders a batch falls into are compared. A batch of new events is simply
     appended. When some id is already there (a replay, or an event embedded anew) those folders
     are rewritten with the batch's rows winning. So a crash between write and checkpoint heals
-    itself: the replayed batch finds its own rows and replaces them.
+    itself: the replayed batch finds its own rows and replaces them. ``unique`` says that the batch
+    went through :func:`unique_in_folders` already.
     """
     spark = batch.sparkSession
     if dim is not None:
         batch = assert_dim(batch, dim)
-    order = order or [F.desc("timestamp_ms")]
-    fresh = latest_per_key(batch, "point_id", order)
+    fresh = batch if unique else unique_in_folders(batch, order or [F.desc("timestamp_ms")])
     stored = read(spark, path)
     if stored is None:
         _write(fresh, path, "overwrite", bloom)
         return "append"
     # Folder names only: as many as broker partitions times the blocks a batch spans.
-    folders = batch.select(*LAYOUT).distinct().limit(max_folders + 1).collect()
+    touched = batch.select(*LAYOUT).distinct()
+    folders = touched.limit(max_folders + 1).collect()
     near = stored
     if len(folders) <= max_folders:
         topics = sorted({f.topic for f in folders})
         blocks = sorted({f.offset_block for f in folders})
         near = stored.filter(F.col("topic").isin(topics) & F.col("offset_block").isin(blocks))
-    touched = batch.select(*LAYOUT).distinct()
     near = near.join(touched, list(LAYOUT), "left_semi")
-    if not near.select("point_id").join(fresh.select("point_id"), "point_id", "left_semi").limit(1).count():
+    keys = [*LAYOUT, "point_id"]
+    if near.select(keys).join(batch.select(keys), keys, "left_semi").isEmpty():
         _write(fresh, path, "append", bloom)
         return "append"
-    kept = near.join(fresh.select("point_id"), "point_id", "left_anti")
+    kept = near.join(batch.select(keys), keys, "left_anti")
     casts = {f.name: f.dataType for f in fresh.schema}
     kept = kept.select(*[F.col(c).cast(casts[c]) for c in fresh.columns])
     _write(kept.unionByName(fresh), path, "overwrite", bloom)

@@ -40,7 +40,7 @@ def event_table(path: str, dim: int) -> Callable[[DataFrame, int], None]:
     """A sink that upserts into the event table at ``path``."""
 
     def write(events: DataFrame, _: int) -> None:
-        store.upsert(events, path, dim)
+        store.upsert(events, path, dim, unique=True)
 
     return write
 
@@ -54,16 +54,20 @@ def letter_folder(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def prepare(raw: DataFrame, job: Job) -> tuple[DataFrame, DataFrame]:
-    """(events ready to store, rejects) of a bounded set of raw records."""
-    decoded = envelope.decode(raw, job.registry)
+def prepare(decoded: DataFrame, job: Job) -> tuple[DataFrame, DataFrame]:
+    """(events ready to store, rejects) of decoded records.
+
+    Records are put next to their folder's others and made unique while they are still small;
+    text and vector are made afterwards, so vectors are never exchanged.
+    """
     events = envelope.good(decoded)
     if job.drop_fields:
         events = events.withColumn("value_json", privacy.redact_json(F.col("value_json"), job.drop_fields))
         events = events.withColumn("headers", F.map_filter("headers", lambda k, _: ~k.isin(*job.drop_fields)))
-    events = events.withColumn("text", canonical_json(F.col("value_json")))
-    events = events.withColumn("embedding", embed_column(job.embedder, F.col("text")))
-    return store.stored_form(events, job.promote, headers=job.include_headers), envelope.rejects(decoded)
+    stored = store.stored_form(events, job.promote, headers=job.include_headers)
+    stored = store.unique_in_folders(stored, [F.desc("timestamp_ms")])
+    stored = stored.withColumn("text", canonical_json(F.col("value_json")))
+    return stored.withColumn("embedding", embed_column(job.embedder, F.col("text"))), envelope.rejects(decoded)
 
 
 def retrying(action: Callable[[], None], attempts: int = RETRIES, first_wait: float = 0.5, longest: float = 4.0) -> None:
@@ -97,7 +101,7 @@ def start(
     )
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        kept = batch.persist()
+        kept = envelope.decode(batch, job.registry).persist()
         try:
             events, rejects = prepare(kept, job)
             retrying(lambda: job.sink(events, batch_id))
