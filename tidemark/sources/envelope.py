@@ -64,15 +64,15 @@ def decode(raw: DataFrame, registry: DataFrame) -> DataFrame:
         .withColumn("schema_id", schema_id)
         .withColumn("text", body.cast("string"))
     )
-    parsed = F.when(F.is_valid_utf8("text"), F.try_parse_json("text"))
-    is_object = F.schema_of_variant(parsed).startswith("OBJECT")
+    # The names of the outermost object; null unless the whole body is one well-formed object.
+    is_object = F.is_valid_utf8("text") & F.json_object_keys("text").isNotNull()
     joined = framed.join(known, F.col("schema_id") == F.col("known_id"), "left")
     error = (
         F.when((F.length("value") < 5) | (F.col("magic") != "00"), F.lit("record is not framed by a schema registry"))
         .when(F.col("known_id").isNull(), F.concat(F.lit("unknown schema id "), F.col("schema_id").cast("string")))
         .when(~F.coalesce(is_object, F.lit(False)), F.lit("body is not a JSON object"))
     )
-    return joined.select(
+    return joined.withColumn("error", error).select(
         "topic",
         "partition",
         "offset",
@@ -80,8 +80,8 @@ def decode(raw: DataFrame, registry: DataFrame) -> DataFrame:
         decode_key(F.col("key")).alias("key"),
         decode_headers(F.col("headers")).alias("headers"),
         "schema_id",
-        F.when(error.isNull(), F.col("text")).alias("value_json"),
-        F.substring(error, 1, MAX_ERROR_CHARS).alias("error"),
+        F.when(F.col("error").isNull(), F.col("text")).alias("value_json"),
+        F.substring("error", 1, MAX_ERROR_CHARS).alias("error"),
         F.col("key").alias("raw_key"),
         F.col("value").alias("raw_value"),
     )
