@@ -63,12 +63,13 @@ class HashingEmbedder:
         def count_words(batch: pa.Array) -> pa.Array:
             sizes = np.asarray(pc.fill_null(pc.list_value_length(batch), 0))
             rows = np.repeat(np.arange(len(batch)), sizes)
-            hexes = np.asarray(batch.flatten().cast(pa.binary(5)).buffers()[1] or b"", dtype=np.uint8)
-            start = batch.flatten().offset * 5
-            parts = digit[hexes[start : start + 5 * len(rows)].reshape(-1, 5)]
+            flat = batch.flatten().cast(pa.binary(5))
+            hexes = np.frombuffer(flat.buffers()[1], np.uint8) if len(flat) else np.empty(0, np.uint8)
+            parts = digit[hexes[flat.offset * 5 : (flat.offset + len(flat)) * 5].reshape(-1, 5)]
             bucket = (parts[:, :4] @ np.array([4096, 256, 16, 1])) % dim
             sign = np.where(parts[:, 4] < 8, 1.0, -1.0)
-            counts = np.bincount(rows * dim + bucket, weights=sign, minlength=len(batch) * dim).reshape(len(batch), dim)
+            counts = np.bincount(rows * dim + bucket, weights=sign, minlength=len(batch) * dim).astype(np.float64)
+            counts = counts.reshape(len(batch), dim)
             size = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
             np.divide(counts, size, out=counts, where=size > 0)
             offsets = np.arange(0, (len(batch) + 1) * dim, dim, dtype=np.int32)

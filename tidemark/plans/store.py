@@ -59,20 +59,15 @@ def stored_form(
     )
 
 
-def by_folder(rows: DataFrame) -> DataFrame:
-    """Bring each folder's rows together. A folder holds at most one block of offsets, so no topic,
-    however large, becomes one task; the fixed count keeps later steps on all cores."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *LAYOUT)
-
-
 def unique_in_folders(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
     """The last-written row per event, with the rows of a folder side by side.
 
     The folder columns determine the partitioning and are part of the identity, so finding
-    duplicates needs no second exchange.
+    duplicates needs no second exchange. A folder holds at most one block of offsets, so no topic,
+    however large, becomes one task.
     """
     last = Window.partitionBy(*LAYOUT, "point_id").orderBy(*order)
-    return by_folder(rows).withColumn("_last", F.row_number().over(last)).filter(F.col("_last") == 1).drop("_last")
+    return rows.repartition(*LAYOUT).withColumn("_last", F.row_number().over(last)).filter(F.col("_last") == 1).drop("_last")
 
 
 def _write(rows: DataFrame, path: str, mode: str, bloom: Sequence[str]) -> None:
