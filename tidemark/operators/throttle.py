@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.timeparts import floor_div
+
 MINUTE_MS = 60_000
 
 
@@ -59,7 +61,7 @@ def throttle(
     if capacity <= 0:
         return calls.withColumns({"allowed": F.lit(True), "retry_after_sec": F.lit(0.0)})
     slots = calls.groupBy(key, time).agg(F.count(F.lit(1)).alias("_n"))
-    bin_ = F.floor(F.col(time) / F.lit(period_ms)).cast("long")
+    bin_ = floor_div(F.col(time), period_ms)
     bins = slots.select(key, bin_.alias("_bin")).distinct()
     along = Window.partitionBy(key).orderBy("_bin")
     # A whole empty bin between two active ones means the bucket has filled up.

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.ids import event_id, point_id
 from tidemark.functions.json_text import json_path
-from tidemark.functions.timeparts import utc_day
+from tidemark.functions.timeparts import floor_div, utc_day
 from tidemark.operators.embedding import assert_dim
 
 BLOCK_ROWS = 100_000
@@ -50,7 +50,7 @@ def stored_form(
             "event_id": event_id(),
             "point_id": point_id(event_id()),
             "event_date": utc_day(F.col("timestamp_ms")),
-            "offset_block": F.floor(F.col("offset") / F.lit(block_rows)).cast("long"),
+            "offset_block": floor_div(F.col("offset"), block_rows),
             **{
                 f"value_{name.replace('.', '_')}": F.try_variant_get(F.try_parse_json("value_json"), json_path(name), "string")
                 for name in promote
@@ -136,9 +136,7 @@ def upsert(
         _write(fresh, path, "append", bloom)
         return "append"
     kept = near.join(batch.select(keys), keys, "left_anti")
-    casts = {f.name: f.dataType for f in fresh.schema}
-    kept = kept.select(*[F.col(c).cast(casts[c]) for c in fresh.columns])
-    _write(kept.unionByName(fresh), path, "overwrite", bloom)
+    _write(kept.select(*fresh.columns).unionByName(fresh), path, "overwrite", bloom)
     return "rewrite"
 
 

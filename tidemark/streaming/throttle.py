@@ -21,7 +21,7 @@ def throttle_stream(
 
     A late call adds no tokens and does not move the clock back.
     """
-    schema = T.StructType(calls.schema.fields).add("allowed", "boolean").add("retry_after_sec", "double")
+    schema = T.StructType(list(calls.schema.fields)).add("allowed", "boolean").add("retry_after_sec", "double")
 
     def decide(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values([time, order], kind="stable")
