@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.timeparts import utc_day
 from tidemark.operators import budget
-from tidemark.session import shared_dir
+from tidemark.session import written_once
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,6 @@ def ask(
     does not fail the job. All of it is written to the shared folder in one pass, because asking
     again could cost money and answer differently.
     """
-    spark = asked.sparkSession
     if cache is None:
         looked_up = asked.withColumn("payload_json", F.lit(None).cast("string"))
     else:
@@ -79,9 +78,7 @@ def ask(
             answers = pd.DataFrame(rows, columns=["text", "cost", "error"], index=batch.index)
             yield pd.concat([batch[kept], answers], axis=1)
 
-    path = shared_dir(spark, "answers")
-    marked.select(*kept, "prompt").mapInPandas(run, schema).write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return written_once(marked.select(*kept, "prompt").mapInPandas(run, schema), "answers")
 
 
 def spend_rows(answers: DataFrame, provider: str, now_ms: int) -> DataFrame:

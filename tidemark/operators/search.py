@@ -33,6 +33,8 @@ MMR_LAMBDA = 0.7
 MMR_POOL = 3
 #: Upper bound of the query vectors shipped to every task in one pass over the corpus.
 QUERY_BYTES_PER_PASS = 32 << 20
+#: Scores a task holds at a time (16 MB).
+SCORES_AT_ONCE = 2_000_000
 
 
 class EventNotFound(LookupError):
@@ -84,13 +86,12 @@ def results(df: DataFrame, value_cap: int = VALUE_CAP, score: Column | None = No
     )
 
 
-def _ranked(df: DataFrame, vector: Sequence[float], threshold: float | None) -> DataFrame:
+def _top(df: DataFrame, vector: Sequence[float], k: int, threshold: float | None = None) -> DataFrame:
+    """The best ``k`` rows. A threshold gives the same rows after the limit as before it, and there
+    it does not make Spark evaluate the vector column a second time."""
     scored = df.withColumn("score", F.round(vectors.cosine_to(vector, F.col("embedding")), SCORE_DECIMALS))
-    return scored if threshold is None else scored.filter(F.col("score") >= threshold)
-
-
-def _top(scored: DataFrame, k: int) -> DataFrame:
-    return scored.orderBy(F.desc("score"), event_id()).limit(k)
+    best = scored.orderBy(F.desc("score"), event_id()).limit(k)
+    return best if threshold is None else best.filter(F.col("score") >= threshold)
 
 
 def search(
@@ -114,7 +115,7 @@ def search(
     """
     k, _ = clamp_limit(limit, max_results)
     kept = where(df, topic, minutes, clauses, allowlist, now_ms)
-    pool = _top(_ranked(kept, vector, threshold), k * MMR_POOL if diverse else k)
+    pool = _top(kept, vector, k * MMR_POOL if diverse else k, threshold)
     if not diverse:
         return results(pool, value_cap, F.col("score"))
     shown = results(pool, value_cap, F.col("score"), "embedding")
@@ -221,9 +222,13 @@ def _score_block(corpus: DataFrame, block: list, k: int, id_type: T.DataType) ->
             if not batch.num_rows:
                 continue
             rows = as_matrix(batch.column("embedding"), unit.shape[1])
-            length = np.linalg.norm(rows, axis=1, keepdims=True)
-            scores = np.divide(rows @ unit.T, length, out=np.zeros((len(rows), len(unit))), where=length > 0)
-            best.add(np.asarray(batch.column("event_id").to_pylist(), dtype=np.str_), np.round(scores, SCORE_DECIMALS))
+            ids = np.asarray(batch.column("event_id").to_pylist(), dtype=np.str_)
+            step = max(1, SCORES_AT_ONCE // len(unit))
+            for at in range(0, len(rows), step):
+                part = rows[at : at + step]
+                length = np.linalg.norm(part, axis=1, keepdims=True)
+                scores = np.divide(part @ unit.T, length, out=np.zeros((len(part), len(unit))), where=length > 0)
+                best.add(ids[at : at + step], np.round(scores, SCORE_DECIMALS))
         if best.ids is not None:
             yield pa.RecordBatch.from_pydict(
                 {
@@ -391,11 +396,11 @@ def search_pruned(
     near, width = [], 1
     while len(near) < k and width <= 2 * len(order):
         cells = [int(c) for c in order[:width]]
-        near = _top(_ranked(celled.filter(F.col("cell").isin(cells)), vector, None), k).select("score").collect()
+        near = _top(celled.filter(F.col("cell").isin(cells)), vector, k).select("score").collect()
         width *= 2
     floor = min((row.score for row in near), default=-1.0)
     if len(near) < k or floor <= 0.0:
-        return results(_top(_ranked(celled, vector, None), k), value_cap, F.col("score"))
+        return results(_top(celled, vector, k), value_cap, F.col("score"))
     reach = float(np.arccos(np.clip(floor, -1.0, 1.0))) + 1e-6
     bounds = [
         (F.col("cell") == int(c)) & F.col("radius").between(float(angles[c]) - reach, float(angles[c]) + reach)
@@ -404,4 +409,4 @@ def search_pruned(
     condition = bounds[0]
     for bound in bounds[1:]:
         condition = condition | bound
-    return results(_top(_ranked(celled.filter(condition), vector, None), k), value_cap, F.col("score"))
+    return results(_top(celled.filter(condition), vector, k), value_cap, F.col("score"))

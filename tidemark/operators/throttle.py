@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.timeparts import floor_div
+from tidemark.session import written_once
 
 MINUTE_MS = 60_000
 
@@ -68,7 +69,8 @@ def throttle(
     fresh = F.coalesce(F.col("_bin") - F.lag("_bin").over(along) > 1, F.lit(True)).cast("int")
     spells = bins.withColumn("_fresh", fresh).withColumn("_spell", F.sum("_fresh").over(along)).drop("_fresh")
     timeline = slots.withColumn("_bin", bin_).join(spells, [key, "_bin"]).select(key, "_spell", time, "_n")
-    verdicts = _run(timeline, key, time, capacity, period_ms)
+    # Used twice below, and the one step that cannot be split within a busy key: run it once.
+    verdicts = written_once(_run(timeline, key, time, capacity, period_ms), "verdicts")
     # Only slots admitted in part need an order among their calls, and at most `capacity` of them pass.
     within = Window.partitionBy(key, time).orderBy(*order)
     part = calls.join(verdicts.filter((F.col("_ok") > 0) & (F.col("_ok") < F.col("_n"))), [key, time])

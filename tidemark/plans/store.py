@@ -32,8 +32,7 @@ def latest_per_key(rows: DataFrame, key: str, order: Sequence[Column]) -> DataFr
 
 def merge_rows(target: DataFrame, batch: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
     """Upsert as a query: batch rows win over target rows of the same key."""
-    fresh = latest_per_key(batch, key, order)
-    return target.join(fresh.select(key), key, "left_anti").unionByName(fresh)
+    return target.join(batch.select(key), key, "left_anti").unionByName(latest_per_key(batch, key, order))
 
 
 def stored_form(
@@ -114,32 +113,41 @@ def upsert(
     itself: the replayed batch finds its own rows and replaces them. ``unique`` says that the batch
     went through :func:`unique_in_folders` already.
     """
-    spark = batch.sparkSession
     if dim is not None:
         batch = assert_dim(batch, dim)
     fresh = batch if unique else unique_in_folders(batch, order or [F.desc("timestamp_ms")])
-    stored = read(spark, path)
-    if stored is None:
-        _write(fresh, path, "overwrite", bloom)
-        return "append"
-    # Folder names only: as many as broker partitions times the blocks a batch spans.
-    touched = batch.select(*LAYOUT).distinct()
-    folders = touched.limit(max_folders + 1).collect()
-    near = stored
-    if len(folders) <= max_folders:
-        topics = sorted({f.topic for f in folders})
-        blocks = sorted({f.offset_block for f in folders})
-        near = stored.filter(F.col("topic").isin(topics) & F.col("offset_block").isin(blocks))
-    near = near.join(touched, list(LAYOUT), "left_semi")
+    near = _touched(batch, fresh.schema, path, max_folders)
     keys = [*LAYOUT, "point_id"]
-    if near.select(keys).join(batch.select(keys), keys, "left_semi").isEmpty():
+    if near is None or near.select(keys).join(batch.select(keys), keys, "left_semi").isEmpty():
         _write(fresh, path, "append", bloom)
         return "append"
     kept = near.join(batch.select(keys), keys, "left_anti")
-    _write(kept.select(*fresh.columns).unionByName(fresh), path, "overwrite", bloom)
+    merged = kept.select(*fresh.columns).unionByName(fresh)
+    _write(merged.repartition(*LAYOUT), path, "overwrite", bloom)
     return "rewrite"
 
 
+def _touched(batch: DataFrame, schema: T.StructType, path: str, max_folders: int) -> DataFrame | None:
+    """Stored rows of the folders a batch falls into, or None when none of them exists.
+
+    Only those folders are listed and read. Their names are few: broker partitions times the blocks
+    a batch spans. A back-fill over more than ``max_folders`` reads the table and semi-joins instead.
+    """
+    spark = batch.sparkSession
+    touched = batch.select(*LAYOUT).distinct()
+    folders = touched.limit(max_folders + 1).collect()
+    if len(folders) > max_folders:
+        if not exists(spark, path):
+            return None
+        return spark.read.schema(schema).parquet(path).join(touched, list(LAYOUT), "left_semi")
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    named = [
+        f"{path}/topic={escape(f.topic)}/partition={f.partition}/offset_block={f.offset_block}" for f in folders
+    ]
+    found = [name for name in named if exists(spark, name)]
+    return spark.read.schema(schema).option("basePath", path).parquet(*found) if found else None
+
+
 def compact(spark: SparkSession, path: str, topic: str, target: str, files_per_folder: int = 1) -> None:
     """Copy a topic into fresh, larger files at ``target`` (salted, so a large folder is not one task)."""
     rows = spark.read.parquet(path).filter(F.col("topic") == topic)

@@ -8,6 +8,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -47,6 +48,26 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return tempfile.mkdtemp(prefix=f"{label}-", dir=os.environ.get("TMPDIR"))
 
 
+def written_once(df: DataFrame, label: str) -> DataFrame:
+    """Write a result below the shared folder and read it back.
+
+    For steps that several later ones use and that must not run again: the lineage ends here, and a
+    lost executor costs no more than a file read.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_few(df: DataFrame, max_rows: int) -> DataFrame:
+    """Mark a dimension for broadcast after counting it (no further than the bound).
+
+    Beyond the bound it comes back unmarked: Spark then shuffles, and splits a skewed key at run time.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def local_rows(spark: SparkSession, rows: list[tuple], ddl: str | T.StructType) -> DataFrame:
     """A handful of driver-side rows as a local relation, whose size the optimizer knows."""
     schema = T._parse_datatype_string(ddl) if isinstance(ddl, str) else ddl

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import broadcast_if_few
+
 MAX_ERROR_CHARS = 500
+#: One INT each: a few megabytes at most.
+MAX_BROADCAST_IDS = 200_000
 
 
 def decode_key(key: Column) -> Column:
@@ -52,12 +56,12 @@ def decode(raw: DataFrame, registry: DataFrame) -> DataFrame:
     """Decode framed records with JSON bodies into events; nothing is lost.
 
     Tombstones (null values) are dropped. Every other record comes out with either ``value_json``
-    or an ``error``; split the two with :func:`good` and :func:`rejects`. The registry is joined
-    on the schema id: it is a small dimension and Spark broadcasts it when its size allows,
-    otherwise a skewed id is split by adaptive execution.
+    or an ``error``; split the two with :func:`good` and :func:`rejects`. Of the registry only the
+    ids are joined, broadcast when there are few enough of them, so records are not moved.
     """
     magic, schema_id, body = split_envelope(F.col("value"))
-    known = registry.select(F.col("schema_id").alias("known_id")).dropDuplicates(["known_id"])
+    ids = registry.select(F.col("schema_id").alias("known_id")).distinct()
+    known = broadcast_if_few(ids, MAX_BROADCAST_IDS)
     framed = (
         raw.filter(F.col("value").isNotNull())
         .withColumn("magic", magic)

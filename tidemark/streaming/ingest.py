@@ -23,11 +23,12 @@ RETRIES = 3
 class Job:
     """Settings of an ingest job.
 
+    ``registry`` may be a function that reads the latest snapshot for each batch.
     ``drop_fields`` are removed before the text is made, so they reach neither payload nor vector.
     ``sink(events, batch_id)`` and ``dead_letters(rejects, batch_id)`` may be any writer.
     """
 
-    registry: DataFrame
+    registry: DataFrame | Callable[[], DataFrame]
     embedder: object
     sink: Callable[[DataFrame, int], None]
     dead_letters: Callable[[DataFrame, int], None] | None = None
@@ -101,7 +102,8 @@ def start(
     )
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        kept = envelope.decode(batch, job.registry).persist()
+        registry = job.registry() if callable(job.registry) else job.registry
+        kept = envelope.decode(batch, registry).persist()
         try:
             events, rejects = prepare(kept, job)
             retrying(lambda: job.sink(events, batch_id))
