@@ -54,6 +54,9 @@ def ask(
     does not fail the job. All of it is written to the shared folder in one pass, because asking
     again could cost money and answer differently.
     """
+    if estimate > 0:
+        # Admission totals the waiting calls before it marks them; the prompts are made once.
+        asked = written_once(asked, "prompts")
     if cache is None:
         looked_up = asked.withColumn("payload_json", F.lit(None).cast("string"))
     else:
