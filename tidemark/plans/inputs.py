@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.timeparts import epoch_ms_ntz
+from tidemark.session import spread
 from tidemark.sources import envelope, tables
 
 #: Moment the look-back queries count from: 2024-01-31 00:00 UTC.
@@ -110,7 +111,7 @@ def raw_events(spark: SparkSession, folder: str, source: DataFrame | None = None
     Small values are deletions (null body), keys of errors are not UTF-8, bodies of signups name an
     unknown schema, and bodies of views end early.
     """
-    df = tables.load(spark, folder, "events") if source is None else source
+    df = spread(tables.load(spark, folder, "events")) if source is None else source
     kind = F.col("event_type")
     text = F.to_json(F.struct("event_id", "user_id", "event_type", "props"))
     text = F.when(kind == "view", F.substring(text, 1, 20)).otherwise(text)

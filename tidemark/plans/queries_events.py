@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import ids, json_text, privacy
 from tidemark.operators import activity, filters, sampling, search
 from tidemark.plans import inputs, store
+from tidemark.session import spread
 from tidemark.sources import envelope, registry, tables
 
 NOW = inputs.NOW_MS
@@ -227,7 +228,7 @@ NUMBER = "CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARC
     concat('{{"event_id":', event_id, ',"props":{{"k":', k, '}},"user_id":', user_id, ',"value":', {NUMBER}, '}}') AS text FROM ev"""
 )
 def canonical_text(spark, folder):
-    ev = tables.events(spark, folder)
+    ev = spread(tables.events(spark, folder))
     return ev.select(ids.event_id().alias("event_id"), json_text.canonical_value(F.col("value")).alias("text"))
 
 
@@ -266,7 +267,7 @@ def _mask_sql(column: str) -> str:
 @query(f"SELECT doc_id, {_mask_sql('text')} AS text FROM documents")
 def mask_pii(spark, folder):
     # ASCII classes, because that is what the SQL side's regular expressions know.
-    docs = tables.load(spark, folder, "documents")
+    docs = spread(tables.load(spark, folder, "documents"))
     return docs.select("doc_id", privacy.mask_text(F.col("text"), unicode=False).alias("text"))
 
 

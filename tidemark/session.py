@@ -68,6 +68,18 @@ def broadcast_if_few(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores before heavy per-row work, when the input has fewer files than cores.
+
+    A table of a few files with one large row group each would otherwise be parsed, hashed or embedded
+    on one core. With many files, as in any large table, the input comes back unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def local_rows(spark: SparkSession, rows: list[tuple], ddl: str | T.StructType) -> DataFrame:
     """A handful of driver-side rows as a local relation, whose size the optimizer knows."""
     schema = T._parse_datatype_string(ddl) if isinstance(ddl, str) else ddl
