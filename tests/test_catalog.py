@@ -215,6 +215,14 @@ def test_samples(events):
     assert sampling.recent_samples(events, 0).count() == 0
 
 
+def test_samples_beyond_the_bound_are_the_same(events, monkeypatch):
+    few = rows(sampling.recent_samples(events, 3), *events.columns)
+    ranked = rows(sampling.newest_per_topic(events, 2), "offset", "sample_rank")
+    monkeypatch.setattr(sampling, "MAX_CHOSEN", 1)
+    assert rows(sampling.recent_samples(events, 3), *events.columns) == few
+    assert rows(sampling.newest_per_topic(events, 2), "offset", "sample_rank") == ranked == [(0, 1), (1, 2)]
+
+
 def test_rolling_counts_match_brute_force(spark):
     times = [(i * i * 37_000) % 90_000_000 for i in range(400)]
     df = spark.createDataFrame([("t", t) for t in times], "topic string, timestamp_ms long")

@@ -2,26 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.json_text import scalar_at
+from tidemark.session import written_once
 
 SAMPLE_COUNT = 10
+#: Coordinates broadcast at most: around 100 bytes each in memory.
+MAX_CHOSEN = 200_000
 
 
-def recent_samples(events: DataFrame, count: int = SAMPLE_COUNT) -> DataFrame:
-    """The last ``count`` offsets of every partition, then the newest ``count`` per topic.
+def _choose(events: DataFrame, rank: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Apply a per-group rank limit to a table of wide rows.
 
-    Both ranks are limits Spark applies inside each task before the exchange, so at most ``count``
-    rows per group and task are moved.
+    The rank is decided on coordinates and time alone, so only those columns are read and sorted. The
+    few chosen coordinates are then broadcast back to fetch their rows, which on the event table
+    reads just the folders they lie in, and those few are ranked once more. Should more be chosen than the bound, the same rank runs over
+    the whole rows instead: Spark still applies it inside each task before the exchange.
     """
+    keys = [c for c in ("topic", "partition", "offset_block", "offset") if c in events.columns]
+    chosen = written_once(rank(events.select(*keys, "timestamp_ms")).select(keys), "chosen")
+    if chosen.limit(MAX_CHOSEN + 1).count() > MAX_CHOSEN:
+        return rank(events)
+    return rank(events.join(F.broadcast(chosen), keys, "left_semi"))
+
+
+def recent_samples(events: DataFrame, count: int = SAMPLE_COUNT) -> DataFrame:
+    """The last ``count`` offsets of every partition, then the newest ``count`` per topic."""
     if count <= 0:
         return events.filter(F.lit(False))
     tail = Window.partitionBy("topic", "partition").orderBy(F.desc("offset"))
     newest = Window.partitionBy("topic").orderBy(F.desc("timestamp_ms"), "partition", F.desc("offset"))
-    recent = events.withColumn("_r", F.row_number().over(tail)).filter(F.col("_r") <= count)
-    return recent.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= count).drop("_r")
+
+    def rank(rows: DataFrame) -> DataFrame:
+        recent = rows.withColumn("_r", F.row_number().over(tail)).filter(F.col("_r") <= count)
+        return recent.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= count).drop("_r")
+
+    return _choose(events, rank)
 
 
 def newest_events(events: DataFrame, topic: str, count: int) -> DataFrame:
@@ -34,8 +54,11 @@ def newest_events(events: DataFrame, topic: str, count: int) -> DataFrame:
 
 
 def newest_per_topic(events: DataFrame, count: int) -> DataFrame:
+    """The newest ``count`` events of every topic with their ``sample_rank``."""
     newest = Window.partitionBy("topic").orderBy(F.desc("timestamp_ms"), "partition", F.desc("offset"))
-    return events.withColumn("sample_rank", F.row_number().over(newest)).filter(F.col("sample_rank") <= count)
+    return _choose(
+        events, lambda rows: rows.withColumn("sample_rank", F.row_number().over(newest)).filter(F.col("sample_rank") <= count)
+    )
 
 
 def example_values(rows: DataFrame, value: Column, by: list[str], count: int = 5) -> DataFrame:

@@ -18,6 +18,14 @@ def allowed_topics(topics: DataFrame, allowlist: Iterable[str] = ()) -> DataFram
     return topics.filter(F.col("name").isin(names)) if names else topics
 
 
+def list_names(topics: DataFrame) -> DataFrame:
+    return topics.select("name").orderBy("name")
+
+
+def raw_schema(topics: DataFrame, name: str) -> DataFrame:
+    return topics.filter(F.col("name") == name).select("raw_schema_json")
+
+
 def catalog_view(topics: DataFrame, fields: DataFrame, samples: DataFrame, profile: DataFrame) -> DataFrame:
     """One row per topic with its fields (by name), samples (newest first) and activity nested.
 

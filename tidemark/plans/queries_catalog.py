@@ -347,7 +347,7 @@ def _part_topics(spark, folder):
     lines = tables.load(spark, folder, "lineitem").select(
         F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("topic"),
         (F.col("l_suppkey") % 4).cast("int").alias("partition"),
-        (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("offset"),
+        ((F.col("l_orderkey") * 16 + F.col("l_linenumber")) * 1_000_000 + F.col("l_suppkey")).alias("offset"),
         (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("timestamp_ms"),
         F.lit(None).cast("string").alias("key"),
         F.to_json(F.struct(
@@ -371,7 +371,7 @@ def _prompt_sql() -> str:
     rows = sorted((p, k, n, d) for p, k, n, _, d in [(a, b, c, None, e or "") for a, b, c, _, e in inputs.PART_FIELDS])
     schema = ", ',', ".join(entry(*r) for r in rows)
     instruction = annotate.INSTRUCTION.replace("'", "''")
-    return f"""WITH l AS (SELECT l_partkey, l_orderkey * 1000 + l_linenumber AS ts, l_suppkey % 4 AS part, l_orderkey * 16 + l_linenumber AS off,
+    return f"""WITH l AS (SELECT l_partkey, l_orderkey * 1000 + l_linenumber AS ts, l_suppkey % 4 AS part, (l_orderkey * 16 + l_linenumber) * 1000000 + l_suppkey AS off,
       concat('{{"order_id":', l_orderkey, ',"note":"write to [redacted] about ', l_suppkey, '"}}') AS v FROM lineitem),
     tail AS (SELECT *, row_number() OVER (PARTITION BY l_partkey, part ORDER BY off DESC) AS r FROM l QUALIFY r <= 10),
     top AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY ts DESC, part, off DESC) AS r2 FROM tail QUALIFY r2 <= 5),

@@ -113,6 +113,16 @@ def read_files(spark: SparkSession, path: str, fmt: str = "parquet", files_per_t
     return reader.load(path)
 
 
+def letter_topic(servers: str, topic: str, security: dict[str, str] | None = None):
+    """A dead-letter sink for the ingest job that publishes rejects to a topic."""
+    options = {"kafka.bootstrap.servers": servers, "topic": topic, **(security or {})}
+
+    def write(rejects: DataFrame, _: int) -> None:
+        dead_letter_records(rejects).write.format("kafka").options(**options).save()
+
+    return write
+
+
 def dead_letter_records(rejects: DataFrame) -> DataFrame:
     """Rejected records in the shape of the Kafka sink: raw bytes plus origin headers."""
     def header(name: str, column: str):
