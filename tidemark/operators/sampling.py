@@ -62,15 +62,15 @@ def newest_per_topic(events: DataFrame, count: int) -> DataFrame:
 
 
 def example_values(rows: DataFrame, value: Column, by: list[str], count: int = 5) -> DataFrame:
-    """Up to ``count`` different non-null values per group, most recently seen first.
+    """Up to ``count`` different non-null values per group, most recently seen first, ties by value.
 
-    A value's occurrences collapse to its newest one in a combining aggregate before ranking.
+    A value's occurrences collapse to its newest one in a combining hash aggregate before ranking.
     """
     seen = (
-        rows.select(*by, value.cast("string").alias("example"), "timestamp_ms", "partition", "offset")
+        rows.select(*by, value.cast("string").alias("example"), "timestamp_ms")
         .filter(F.col("example").isNotNull())
         .groupBy(*by, "example")
-        .agg(F.max(F.struct("timestamp_ms", -F.col("partition"), "offset")).alias("seen"))
+        .agg(F.max("timestamp_ms").alias("seen"))
     )
     rank = Window.partitionBy(*by).orderBy(F.desc("seen"), "example")
     return seen.withColumn("example_rank", F.row_number().over(rank)).filter(F.col("example_rank") <= count).drop("seen")

@@ -97,7 +97,7 @@ def describe_topic(spark, folder):
 
 
 @query(
-    f"""WITH {EV}, s AS (SELECT topic, k, max((timestamp_ms, -part, off)) AS seen FROM ev GROUP BY 1, 2),
+    f"""WITH {EV}, s AS (SELECT topic, k, max(timestamp_ms) AS seen FROM ev GROUP BY 1, 2),
     e AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY seen DESC, CAST(k AS VARCHAR)) AS r FROM s QUALIFY r <= 5)
     SELECT topic, 'props.k' AS name, 'long' AS type, CASE WHEN topic = 'click' THEN 'a number' END AS inferred_meaning,
     string_agg(k, ',' ORDER BY r) AS example_values FROM e GROUP BY topic"""

@@ -376,7 +376,7 @@ def rolling_activity(spark, folder):
 
 
 @query(
-    f"""WITH {EV}, s AS (SELECT topic, CAST(k AS VARCHAR) AS example, max((timestamp_ms, -part, off)) AS seen FROM ev GROUP BY 1, 2)
+    f"""WITH {EV}, s AS (SELECT topic, CAST(k AS VARCHAR) AS example, max(timestamp_ms) AS seen FROM ev GROUP BY 1, 2)
     SELECT topic, example, CAST(row_number() OVER (PARTITION BY topic ORDER BY seen DESC, example) AS INTEGER) AS example_rank
     FROM s QUALIFY example_rank <= 5"""
 )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -42,10 +41,8 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 
     Only where the session names none (tests, a laptop) a local temporary folder is used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
-    return tempfile.mkdtemp(prefix=f"{label}-", dir=os.environ.get("TMPDIR"))
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 def written_once(df: DataFrame, label: str) -> DataFrame:
