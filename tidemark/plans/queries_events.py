@@ -242,8 +242,8 @@ def event_identity(spark, folder):
 
 
 @query(
-    f"""WITH {EV} SELECT ref AS event_id, to_json({{'event_id': event_id, 'value': value, 'props': {{'n': k}},
-    'trail': [{{'value': value}}, {{'value': value + 1}}]}}) AS value_json FROM ev"""
+    f"""WITH {EV} SELECT ref AS event_id, CAST(to_json({{'event_id': event_id, 'value': value, 'props': {{'n': k}},
+    'trail': [{{'value': value}}, {{'value': value + 1}}]}}) AS VARCHAR) AS value_json FROM ev"""
 )
 def redact_fields(spark, folder):
     ev = tables.events(spark, folder)
@@ -271,12 +271,12 @@ def mask_pii(spark, folder):
     return docs.select("doc_id", privacy.mask_text(F.col("text"), unicode=False).alias("text"))
 
 
-CAPPED = """j AS (SELECT *, to_json({'doc_id': doc_id, 'text': text, 'source': source}) AS v FROM documents)"""
+CAPPED = """j AS (SELECT *, CAST(to_json({'doc_id': doc_id, 'text': text, 'source': source}) AS VARCHAR) AS v FROM documents)"""
 
 
 @query(
     f"""WITH {CAPPED} SELECT concat(lang, ':', doc_id % 4, ':', doc_id) AS event_id, source AS key,
-    CASE WHEN length(v) > 1024 THEN to_json({{'_truncated': true, '_size_bytes': length(v), '_preview': left(v, 896)}}) ELSE v END AS value_json,
+    CASE WHEN length(v) > 1024 THEN CAST(to_json({{'_truncated': true, '_size_bytes': length(v), '_preview': left(v, 896)}}) AS VARCHAR) ELSE v END AS value_json,
     length(v) > 1024 AS value_truncated FROM j"""
 )
 def cap_value(spark, folder):
