@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_and_text, n_bytes, worker_state
+from tidemark.llm.common import blocks, id_and_text, n_bytes, worker_state
 from tidemark.llm.word_bpe import CACHE_PIECES, WordBpe
 
 #: Entries of the broadcast table (under 2 MB), items a sketch tracks, and sketches merged at the second level.
@@ -43,7 +43,7 @@ def _counts(path: str, shared, over: int):
         coder = worker_state(("counts", path), lambda: WordBpe(path))
         frequent = shared.value
         known = worker_state(("lengths", path, len(frequent)), lambda: dict(frequent))
-        for batch in batches:
+        for batch in blocks(batches):
             texts = batch.column(1).to_pylist()
             split = [t.lower().split() if t and coder.is_plain(t) else None for t in texts]
             distinct = set().union(*(s for s in split if s))
