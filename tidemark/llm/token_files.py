@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import blocks, id_and_text
 from tidemark.llm.word_bpe import encoder
 
+#: Rows of (part, first id) that may be broadcast: 16 MB.
+BROADCAST_PARTS = 1_000_000
 ORC_OPTIONS = {
     "compression": "zstd", "orc.stripe.size": str(64 << 20), "orc.row.index.stride": "1000",
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
@@ -61,9 +63,10 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.schema("doc_id long, n_tokens long, part int, at long, ids array<int>").orc(folder)
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per file.
+    # One row per file: broadcast while these are at most ``BROADCAST_PARTS``, so that the ids stay where they are read.
+    few = totals.limit(BROADCAST_PARTS + 1).count() <= BROADCAST_PARTS
     base = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    return files.join(base, "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
+    return files.join(F.broadcast(base) if few else base, "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
 
 
 def lookup(spark: SparkSession, folder: str, doc_ids: list[int]) -> DataFrame:
