@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, decontaminate, license_scan, quality_rules, sentence_pieces, token_counts, token_files
+from tidemark.llm import chat_format, decontaminate, license_scan, near_dedup, quality_rules, repeats, sentence_pieces, token_counts, token_files
 from tidemark.llm.common import shared_folder, table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -19,6 +19,11 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), WORD_TOKENIZER)
 
 
+def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = near_dedup.link_components(table(spark, folder, "documents"))
+    return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     rows = quality_rules.decide(quality_rules.ledger(table(spark, folder, "documents")))
     base = F.col("failed").bitwiseAND(F.lit(quality_rules.BASE.mask)) != 0
@@ -49,14 +54,20 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan(table(spark, folder, "documents"))
 
 
+def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.removals(table(spark, folder, "documents")).drop("content", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_near_dedup": op2_near_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_sentence_pieces": op4_sentence_pieces,
     "op5_chat_format": op5_chat_format,
     "op6_token_files": op6_token_files,
     "op8_decontaminate": op8_decontaminate,
     "op9_license_scan": op9_license_scan,
+    "op10_repeats": op10_repeats,
 }
 _ALL_WORDS = """
 w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)"""
@@ -64,6 +75,17 @@ w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text,
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
+    "op2_near_dedup": f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + k - 1], ' ') AS g
+  FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM (SELECT *, least(5, len(ws)) AS k FROM d WHERE len(ws) > 0))),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN c ON c.a = d.doc_id""",
     "op3_quality_rules": f"""
 WITH {_ALL_WORDS},
 g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
