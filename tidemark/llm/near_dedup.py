@@ -112,7 +112,7 @@ def sketch(items: np.ndarray, size: int = SKETCH) -> np.ndarray:
         out[bin_[new]] = value[new]
         empty[bin_] = False
     for j in np.flatnonzero(empty).tolist():
-        out[j] = mix(items + _U(size + j + 1) * _STEP).min()
+        out[j] = mix(items + np.asarray([size + j + 1], _U) * _STEP).min()
     return out
 
 

@@ -10,6 +10,7 @@ A null text has no words.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +25,7 @@ SYMBOLS = r"[#*$%&|<>]"
 @dataclass(frozen=True)
 class Rule:
     name: str
-    failed: Column | str
+    failed: str
 
 
 #: Bit k of the ledger is rule k. Rules are only ever added at the end, so old ledgers stay readable.
@@ -56,8 +57,9 @@ BASE = Policy("base-1", ("few_words", "repeated_windows"))
 DEFAULT = Policy("full-1", tuple(BIT))
 
 
-def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def _measured(rows: DataFrame, *more: str) -> DataFrame:
+    """doc_id, the columns ``more`` and the measurements of rows with doc_id and text."""
+    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
     rows = rows.withColumn("words", blank_words(F.col("text")))
     rows = rows.withColumn("n_words", F.size("words").cast("long")).withColumn(
         "hashes",
@@ -65,12 +67,12 @@ def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
     lines = F.filter(F.split("text", "\n", -1), lambda line: F.btrim(line, F.lit(BLANKS)) != "")
     rows = rows.select(
-        "doc_id", "n_words", "hashes", F.sort_array("hashes").alias("sorted"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        "doc_id", *more, "n_words", "hashes", F.sort_array("hashes").alias("sorted"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.regexp_count("text", F.lit("[A-Z]")).cast("long").alias("n_upper"), lines.alias("lines"),
     )
     rows = rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_upper", F.size("lines").cast("long").alias("n_lines"),
+        "doc_id", *more, "n_words", "word_chars", "n_symbols", "n_upper", F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "hashes",
         F.array_distinct(F.filter("sorted", lambda h, i: h == at("sorted", i - 1))).alias("repeated"),
     )
@@ -90,16 +92,17 @@ def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     covered = F.aggregate(
         F.transform("places", lambda p, k: F.least(F.lit(3), F.coalesce(at("places", k + 1), p + 3) - p)), F.lit(0), lambda total, n: total + n
     )
-    return rows.withColumn("n_repeat_words", covered.cast("long")).select("doc_id", *MEASURES)
+    return rows.withColumn("n_repeat_words", covered.cast("long")).select("doc_id", *more, *MEASURES)
+
+
+def _failed() -> Column:
+    bits = [F.when(F.expr(rule.failed), F.lit(BIT[rule.name])).otherwise(F.lit(0)) for rule in RULES]
+    return functools.reduce(Column.bitwiseOR, bits)
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the measurements, and ``failed``: bit k is set where rule k fails."""
-    bits = [F.when(F.expr(rule.failed), F.lit(BIT[rule.name])).otherwise(F.lit(0)) for rule in RULES]
-    failed = bits[0]
-    for bit in bits[1:]:
-        failed = failed.bitwiseOR(bit)
-    return _measured(docs, id_col, text_col).withColumn("failed", failed)
+    return _measured(id_and_text(docs, id_col, text_col)).withColumn("failed", _failed())
 
 
 def decide(rows: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
@@ -119,3 +122,10 @@ def ablation(rows: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
         F.sum(F.when(F.col("pattern").bitwiseAND(F.col("bit")) != 0, F.col("n")).otherwise(0)).alias("n_failed"),
         F.sum(F.when(F.col("pattern") == F.col("bit"), F.col("n")).otherwise(0)).alias("n_only_this"),
     )
+
+
+def keep(docs: DataFrame, policy: Policy = DEFAULT, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that pass the policy, with all their columns."""
+    rows = docs.select(F.lit(0).alias("doc_id"), docs[text_col].cast("string").alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    passed = decide(_measured(rows, "row").withColumn("failed", _failed()), policy).where("kept")
+    return passed.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, decontaminate, license_scan, near_dedup, quality_rules, repeats, sentence_pieces, token_counts, token_files
+from tidemark.llm import chat_format, decontaminate, license_scan, near_dedup, quality_rules, repeats, sentence_pieces, site_classifier, token_counts, token_files
 from tidemark.llm.common import shared_folder, table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -46,6 +46,12 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.checksums(token_files.read_token_files(spark, out))
 
 
+def op7_site_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Hosts are the documents' sources; a host's paths are its languages."""
+    docs = table(spark, folder, "documents")
+    return site_classifier.classify(docs, table(spark, folder, "labels"), docs["source"], docs["lang"])
+
+
 def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("spans")
 
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentence_pieces": op4_sentence_pieces,
     "op5_chat_format": op5_chat_format,
     "op6_token_files": op6_token_files,
+    "op7_site_classifier": op7_site_classifier,
     "op8_decontaminate": op8_decontaminate,
     "op9_license_scan": op9_license_scan,
     "op10_repeats": op10_repeats,

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import blocks, byte_column, id_and_text, written
+from tidemark.llm.text_columns import BLANKS
 
 LENGTH = 100
 GRAM = 20
@@ -287,3 +288,18 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("digest")))).alias("kept_sha256"),
         F.when(copy, F.lit("")).otherwise(F.col("kept")).alias("kept"),
     )
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with what is left of each text, ``n_chars`` (where there is such a column) counted anew.
+
+    Rows that lose bytes and keep nothing but white space are left out; all others stay, with all columns.
+    """
+    changed = removals(docs, id_col, text_col, with_text=True).where(F.col("n_removed") > 0)
+    changed = changed.select(F.col("doc_id").alias("__id"), F.col("content").alias("__content"), F.col("kept").alias("__kept")).dropDuplicates(["__id", "__content"])
+    same = (docs[id_col].cast("long") == F.col("__id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__content"))
+    both = docs.join(changed, same, "left").where(F.col("__kept").isNull() | (F.btrim(F.col("__kept"), F.lit(BLANKS)) != ""))
+    new = {text_col: F.coalesce("__kept", docs[text_col].cast("string"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("__kept").isNotNull(), F.length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"])
+    return both.select(*[new.get(c, docs[c]).alias(c) for c in docs.columns])
