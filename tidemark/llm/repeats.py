@@ -37,7 +37,8 @@ from tidemark.llm.text_columns import BLANKS
 
 LENGTH = 100
 GRAM = 20
-HOT = 1000
+#: Contents with one name that still go to one task: about 3 MB of stretches.
+HOT = 20_000
 CHUNK = 6 << 20
 PART = 1 << 18
 _U = np.uint64
