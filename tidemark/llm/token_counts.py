@@ -34,7 +34,8 @@ def frequent_pieces(docs: DataFrame, size: int = TABLE_PIECES) -> list[str]:
         pieces.where(F.length("piece").between(1, 64)).groupBy("part")
         .agg(F.expr(f"approx_top_k_accumulate(piece, {TRACKED})").alias("sketch"))
     )
-    top = sketches.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {TRACKED}), {size})").alias("top"))
+    # Grouped, so that an empty table gives no row.
+    top = sketches.groupBy((F.col("part") * 0).alias("all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {TRACKED}), {size})").alias("top"))
     return [r.item for row in top.collect() for r in row.top or [] if r.item is not None]
 
 
