@@ -15,7 +15,7 @@ per 40 bytes or so:
    documents. All else, most of the corpus, is done with.
 3. Documents with such names send those stretches (bytes and place) to the task of the name, after repeats within a
    block of documents have been found on the spot. Names in more than ``HOT`` contents are split: each of their windows
-   goes to the task of its own hash, so a passage in a third of all documents is no single task.
+   goes to the task of its own hash (as 128 bits of hash, without bytes), so a passage in a third of all documents is no single task.
 4. Each task sorts suffixes by prefix doubling in chunks of ``CHUNK`` bytes, never cutting a name's group.
 
 Later exact copies of a whole text are removed at once; every string in them stands in the first copy too. Texts are
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ LENGTH = 100
 GRAM = 20
 #: Contents with one name that still go to one task: about 3 MB of stretches.
 HOT = 20_000
-CHUNK = 6 << 20
+CHUNK = 3 << 19
 PART = 1 << 18
 _U = np.uint64
 
@@ -74,15 +75,22 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - span)], h[width - span :]) if span < width else h
 
 
-def stretches(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Name, first and last window start of every stretch of windows of one name in a text."""
+def stretches(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Name, first and last window start of every stretch of windows of one name in a text, and whether the place of
+    the named k-gram moves inside it (only then may a stretch hold equal windows)."""
     if len(text) < LENGTH:
         empty = np.empty(0, np.int64)
-        return np.empty(0, _U), empty, empty
-    data = np.frombuffer(text, np.uint8)
-    names = np.concatenate([_least(_grams(data[i : i + PART + LENGTH - 1]), LENGTH - GRAM + 1) for i in range(0, len(data) - LENGTH + 1, PART)])
+        return np.empty(0, np.int64), empty, empty, np.empty(0, bool)
+    data, width = np.frombuffer(text, np.uint8), LENGTH - GRAM + 1
+    grams = np.concatenate([_grams(data[i : i + PART + GRAM - 1]) for i in range(0, len(data) - GRAM + 1, PART)])
+    names = np.concatenate([_least(grams[i : i + PART + width - 1], width) for i in range(0, len(grams) - width + 1, PART)])
     first = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
-    return names[first], first, np.append(first[1:], len(names)) - 1
+    last = np.append(first[1:], len(names)) - 1
+    moves = last - first >= width
+    for i in range(0, len(first), PART // width):
+        a, b = (x[i : i + PART // width, None] + np.arange(width) for x in (first, last))
+        moves[i : i + PART // width] |= a[:, 0] + grams[a].argmin(axis=1) != b[:, 0] + grams[b].argmin(axis=1)
+    return names[first].view(np.int64), first, last, moves
 
 
 def _name_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,9 +98,10 @@ def _name_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = byte_column(batch.column(1)).to_pylist()
         names, again = [], []
         for t in texts:
-            found, times = np.unique(stretches(t or b"")[0].view(np.int64), return_counts=True)
+            name, _, _, moves = stretches(t or b"")
+            found, times = np.unique(name, return_counts=True)
             names.append(found)
-            again.append(found[times > 1])
+            again.append(np.union1d(found[times > 1], name[moves]))
         lists = [
             pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in part])]).astype(np.int32)), pa.array(np.concatenate(part)))
             for part in (names, again)
@@ -102,50 +111,101 @@ def _name_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), size, digest, *lists], ["doc_id", "content", "n_bytes", "digest", "names", "again"])
 
 
+def window_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of every window of ``LENGTH`` bytes, by doubling: 64 + 32 + 4 bytes."""
+    data = np.frombuffer(text, np.uint8)
+    n, out = len(data) - LENGTH + 1, []
+    for turn in range(2):
+        h = _mix(_BYTES + _U(turn))[data]
+        kept = {}
+        for k in (1, 2, 4, 8, 16, 32):
+            h = h[:-k] * _U(_STEPS[k.bit_length() % 5] + 4 * turn) + h[k:]
+            h ^= h >> _U(29 + turn)
+            kept[2 * k] = h
+        out.append(_mix(_mix(h[:n] * _U(_STEPS[3]) + kept[32][64 : 64 + n]) * _U(_STEPS[4]) + kept[4][96 : 96 + n]))
+    return out[0].view(np.int64), out[1].view(np.int64)
+
+
+def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of every run of rows whose last column counts up by one while the others stay."""
+    if not len(columns[0]):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    breaks = np.diff(columns[-1]) != 1
+    for c in columns[:-1]:
+        breaks |= c[1:] != c[:-1]
+    first = np.flatnonzero(np.append(True, breaks))
+    return first, np.append(first[1:], len(columns[0])) - 1
+
+
+def _later(ranks: tuple[np.ndarray, ...], places: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Entries that have an equal rank at a smaller place.
+
+    In suffix order, with equal ranks ordered by place, the previous smaller place of an entry is the entry before it,
+    and shares its rank unless it leads the run. Entries at the very place of the run's first are the same occurrence.
+    """
+    order = np.lexsort((*reversed(places), *reversed(ranks)))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for r in ranks:
+        new[1:] |= r[order[1:]] != r[order[:-1]]
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    later = np.zeros(len(order), bool)
+    for p in places:
+        later |= p[order] != p[first]
+    return np.sort(order[later])
+
+
 def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches of repeated names with their bytes; those met before in the block come out as removed at once."""
-    from xxhash import xxh3_64_intdigest
+    """Stretches of repeated names with their bytes, and single windows (their second hash) of hot names.
 
+    What has been met before in the block comes out as removed at once (no bytes).
+    """
     for batch in blocks(batches):
         ids, contents = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         texts, named = byte_column(batch.column(1)).to_pylist(), batch.column(3)
         rows: list[tuple] = []
         seen: dict[bytes, tuple] = {}
+        windows: list[tuple[np.ndarray, ...]] = []
         for i in sorted(range(len(ids)), key=lambda i: (ids[i], contents[i])):
-            text = texts[i]
-            wanted = named[i].values
-            key, hot = wanted.field("name").to_numpy(), np.asarray(wanted.field("hot").to_pylist(), bool)
+            text, wanted, me = texts[i], named[i].values, (ids[i], contents[i])
+            key, hot = wanted.field("name").to_numpy(), wanted.field("hot").to_numpy(zero_copy_only=False)
             order = np.argsort(key)
             key, hot = key[order], hot[order]
-            names, first, last = stretches(text)
-            names = names.view(np.int64)
+            names, first, last, _ = stretches(text)
             at = np.minimum(np.searchsorted(key, names), len(key) - 1)
-            use = np.flatnonzero(key[at] == names)
-            me = (ids[i], contents[i])
-            for name, is_hot, a, b in zip(names[use].tolist(), hot[at[use]].tolist(), first[use].tolist(), last[use].tolist()):
+            use = key[at] == names
+            is_hot = use & hot[at]
+            if is_hot.any():
+                one, two = window_hashes(text)
+                start = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[is_hot].tolist(), last[is_hot].tolist())])
+                windows.append((one[start], two[start], np.full(len(start), me[0]), np.full(len(start), me[1]), start))
+            use &= ~is_hot
+            for name, a, b in zip(names[use].tolist(), first[use].tolist(), last[use].tolist()):
                 whole = text[a : b + LENGTH]
                 earlier = seen.setdefault(whole, (*me, a))
-                if earlier[:2] != me or earlier[2] != a:
-                    if earlier[:2] != me or earlier[2] < a:
-                        rows.append((0, *me, a, b - a + 1, None))
-                    continue
-                if not is_hot:
+                if earlier == (*me, a):
                     rows.append((name, *me, a, b - a + 1, whole))
-                    continue
-                for s in range(a, b + 1):
-                    window = text[s : s + LENGTH]
-                    before = seen.setdefault(window, (*me, s))
-                    if before == (*me, s):
-                        rows.append((xxh3_64_intdigest(window) - 2**63, *me, s, 1, window))
-                    else:
-                        rows.append((0, *me, s, 1, None))
-        yield _sent(rows)
-
-
-def _sent(rows: list[tuple]) -> pa.RecordBatch:
+                else:
+                    rows.append((0, *me, a, b - a + 1, None))
+        if windows:
+            yield from _send_windows(*(np.concatenate(c) for c in zip(*windows)))
+        yield _sent(*(list(zip(*rows)) if rows else [[]] * 6))
+
+
+def _send_windows(one: np.ndarray, two: np.ndarray, doc: np.ndarray, content: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+    later = np.zeros(len(one), bool)
+    later[_later((one, two), (doc, content, start))] = True
+    a, b = _runs(doc[later], content[later], start[later])
+    yield _sent(np.zeros(len(a), np.int64), doc[later][a], content[later][a], start[later][a], b - a + 1, [None] * len(a))
+    keep = ~later
+    packed = pa.Array.from_buffers(pa.binary(8), int(keep.sum()), [None, pa.py_buffer(two[keep].tobytes())]).cast(pa.binary())
+    yield _sent(one[keep], doc[keep], content[keep], start[keep], np.ones(int(keep.sum()), np.int64), packed)
+
+
+def _sent(*columns) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    columns = list(zip(*rows)) if rows else [[]] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["route", "doc_id", "content", "start", "n", "bytes"])
+    made = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)]
+    return pa.RecordBatch.from_arrays(made, ["route", "doc_id", "content", "start", "n", "bytes"])
 
 
 def depth_ranks(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -166,54 +226,57 @@ def depth_ranks(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     return rank[: len(text)].astype(np.int64)
 
 
-def _earlier(doc: np.ndarray, content: np.ndarray, start: np.ndarray, n: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Row and window offset of every window whose longest previous factor has ``LENGTH`` bytes or more."""
+def _earlier(doc: np.ndarray, content: np.ndarray, start: np.ndarray, n: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """doc, content and start of every window of the stretches whose longest previous factor has ``LENGTH`` bytes or more."""
     lengths = np.asarray([len(t) for t in texts])
     rank = depth_ranks(np.frombuffer(b"".join(texts), np.uint8))
     row = np.repeat(np.arange(len(texts)), n)
     offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    at = np.repeat(np.cumsum(lengths) - lengths, n) + offset
     place = (doc[row], content[row], start[row] + offset)
-    order = np.lexsort((place[2], place[1], place[0], rank[at]))
-    sorted_rank = rank[at][order]
-    lead = np.maximum.accumulate(np.where(np.append(True, sorted_rank[1:] != sorted_rank[:-1]), np.arange(len(order)), 0))
-    first = order[lead]
-    later = np.zeros(len(order), bool)
-    for p in place:
-        later |= p[order] != p[first]
-    hit = np.sort(order[later])
-    return row[hit], offset[hit]
+    later = _later((rank[np.repeat(np.cumsum(lengths) - lengths, n) + offset],), place)
+    return tuple(p[later] for p in place)
+
+
+def _removed(sent: pa.Table) -> pa.RecordBatch:
+    """Removed spans of whole routes."""
+    size = pc.fill_null(pc.binary_length(sent["bytes"]), 0).to_numpy()
+    route, doc, content, start, n = (sent[c].to_numpy() for c in ("route", "doc_id", "content", "start", "n"))
+    spans = [(doc[size == 0], content[size == 0], start[size == 0], n[size == 0])]
+    alone = size == 8
+    hits = []
+    if alone.sum() > 1:
+        second = np.frombuffer(b"".join(sent["bytes"].filter(pa.array(alone)).to_pylist()), np.int64)
+        place = (doc[alone], content[alone], start[alone])
+        later = _later((route[alone], second), place)
+        hits.append(tuple(p[later] for p in place))
+    long = size >= LENGTH
+    if long.sum() > 1:
+        hits.append(_earlier(doc[long], content[long], start[long], n[long], sent["bytes"].filter(pa.array(long)).to_pylist()))
+    for d, c, s in hits:
+        order = np.lexsort((s, c, d))
+        d, c, s = d[order], c[order], s[order]
+        first, last = _runs(d, c, s)
+        spans.append((d[first], c[first], s[first], last - first + 1))
+    d, c, s, k = (np.concatenate(x) for x in zip(*spans))
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (d, c, s, s + k - 1 + LENGTH)], ["doc_id", "content", "start", "stop"])
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Removed spans, from sent stretches sorted by route."""
-    held: list[tuple] = []
-    size = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        done = [r for r in held if r[5] is None]
-        sent = [r for r in held if r[5] is not None]
-        spans = [(r[1], r[2], r[3], r[3] + r[4] - 1 + LENGTH) for r in done]
-        if len(sent) > 1:
-            doc, content, start, n = (np.asarray([r[k] for r in sent], np.int64) for k in (1, 2, 3, 4))
-            row, offset = _earlier(doc, content, start, n, [r[5] for r in sent])
-            if len(row):
-                run = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(offset) != 1)))
-                end = np.append(run[1:], len(row)) - 1
-                spans += zip(doc[row[run]].tolist(), content[row[run]].tolist(), (start[row[run]] + offset[run]).tolist(), (start[row[run]] + offset[end] + LENGTH).tolist())
-        columns = list(zip(*spans)) if spans else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "content", "start", "stop"])
-        held.clear()
-
+    """Removed spans, from sent stretches and windows sorted by route, in chunks that end with a route."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        for r in zip(*(c.to_pylist() for c in batch.columns)):
-            if size > CHUNK and held[-1][0] != r[0]:
-                yield from flush()
-                size = 0
-            held.append(r)
-            size += len(r[5]) if r[5] is not None else 16
+        for piece in blocks(iter([batch]), "bytes"):
+            held.append(piece)
+            if sum(b.nbytes for b in held) < CHUNK:
+                continue
+            table = pa.Table.from_batches(held)
+            route = table["route"].to_numpy()
+            cut = int(np.searchsorted(route, route[-1]))
+            if cut:
+                yield _removed(table.slice(0, cut).combine_chunks())
+                held = table.slice(cut).combine_chunks().to_batches()
     if held:
-        yield from flush()
+        yield _removed(pa.Table.from_batches(held).combine_chunks())
 
 
 def _cut(with_text: bool):
