@@ -127,5 +127,7 @@ def ablation(rows: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
 def keep(docs: DataFrame, policy: Policy = DEFAULT, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass the policy, with all their columns."""
     rows = docs.select(F.lit(0).alias("doc_id"), docs[text_col].cast("string").alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    passed = decide(_measured(rows, "row").withColumn("failed", _failed()), policy).where("kept")
+    decided = decide(_measured(rows, "row").withColumn("failed", _failed()), policy)
+    # The optimizer would move the condition down and repeat every measurement inside it; it does not move past an id.
+    passed = decided.withColumn("stay", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("stay") >= 0))
     return passed.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
