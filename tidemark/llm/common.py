@@ -76,3 +76,25 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
 
 def n_bytes(text) -> F.Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
+
+class Recent:
+    """A bounded cache in two generations: what was not used while ``size`` new entries came in is forgotten."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def fill(self, keys: set, make: Callable[[list], list]) -> dict:
+        """A dict that holds all of ``keys``; values not cached are made by ``make`` from a list of keys."""
+        missing = keys.difference(self.young)
+        if len(self.young) + len(missing) > self.size:
+            self.old, self.young = self.young, {}
+            missing = keys
+        if missing and self.old:
+            known = missing.intersection(self.old)
+            self.young.update((k, self.old[k]) for k in known)
+            missing = missing.difference(known)
+        if missing:
+            new = list(missing)
+            self.young.update(zip(new, make(new)))
+        return self.young

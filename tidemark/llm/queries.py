@@ -43,7 +43,7 @@ def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     out = shared_folder(spark, "token-files")
     token_files.write_token_files(table(spark, folder, "documents"), out, WORD_TOKENIZER, end_id=2)
-    return token_files.checksums(token_files.read_token_files(spark, out))
+    return token_files.checksums(spark, out)
 
 
 def op7_site_classifier(spark: SparkSession, folder: str) -> DataFrame:

@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import blocks, id_and_text, worker_state
+from tidemark.llm.common import Recent, blocks, id_and_text, worker_state
 
 SPACE = "▁"
-CACHE_WORDS = 250_000
+CACHE_WORDS = 160_000
 NONE = np.int32(2**31 - 1)
 _CUT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
@@ -40,7 +40,7 @@ class Pieces:
         if any(re.search(f"[^{SPACE}]{SPACE}|\n", names[i]) for i in plain):
             raise ValueError("pieces that go on after white space or hold a line break are not supported")
         of = {names[i]: i for i in plain}
-        self.end_id, self.limit = model.eos_id(), cache_words
+        self.end_id = model.eos_id()
         self.byte_ids = np.asarray([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
         self.code = {p: i for p, i in of.items() if len(p) == 1}
         # Order of the scores: the smaller, the sooner merged. Pieces of equal score share a rank.
@@ -64,7 +64,7 @@ class Pieces:
         self.safe[np.asarray(plain)[shared[dense] > 1]] = False
         text = [b"" if model.is_control(i) else " ⁇ ".encode() if model.is_unknown(i) else bytes([int(names[i][3:5], 16)]) if model.is_byte(i) else names[i].replace(SPACE, " ").encode() for i in range(size)]
         self.text = text
-        self.words: dict[str, bytes] = {"": b""}
+        self.words = Recent(cache_words)
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged piece of adjacent symbols (``NONE`` where they do not merge)."""
@@ -78,6 +78,8 @@ class Pieces:
         if not words:
             return []
         text = "".join(words)
+        if not text:
+            return [b""] * len(words)
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         distinct, inverse = np.unique(points, return_inverse=True)
         # A character that is no piece becomes a negative symbol, and bytes at the end.
@@ -139,15 +141,7 @@ class Pieces:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed 32-bit ids of texts, without begin or end."""
         cut = [self.cut(t) if t else [] for t in texts]
-        distinct = set().union(*cut)
-        missing = list(distinct.difference(self.words))
-        if len(self.words) + len(missing) > self.limit:
-            self.words.clear()
-            self.words[""] = b""
-            missing = list(distinct.difference(self.words))
-        if missing:
-            self.words.update(zip(missing, self.merge(missing)))
-        get = self.words.__getitem__
+        get = self.words.fill(set().union(*cut), self.merge).__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
     def decode(self, ids: list[int]) -> str:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import blocks, id_and_text, n_bytes, worker_state
+from tidemark.llm.common import Recent, blocks, id_and_text, n_bytes, worker_state
 from tidemark.llm.word_bpe import CACHE_PIECES, WordBpe
 
 #: Entries of the broadcast table (under 2 MB), items a sketch tracks, and sketches merged at the second level.
@@ -43,18 +43,14 @@ def _counts(path: str, shared, over: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = worker_state(("counts", path), lambda: WordBpe(path))
         frequent = shared.value
-        known = worker_state(("lengths", path, len(frequent)), lambda: dict(frequent))
+        rest = worker_state(("lengths", path), lambda: Recent(CACHE_PIECES))
+        lengths = lambda pieces: [len(ids) >> 2 for ids in coder.encode_pieces(pieces)]
         for batch in blocks(batches):
             texts = batch.column(1).to_pylist()
             split = [t.lower().split() if t and coder.is_plain(t) else None for t in texts]
             distinct = set().union(*(s for s in split if s))
-            missing = list(distinct.difference(known))
-            if len(known) + len(missing) > CACHE_PIECES:
-                known.clear()
-                known.update(frequent)
-                missing = list(distinct.difference(known))
-            if missing:
-                known.update((p, len(ids) >> 2) for p, ids in zip(missing, coder.encode_pieces(missing)))
+            known = rest.fill(distinct.difference(frequent), lengths)
+            known = {p: known[p] if p in known else frequent[p] for p in distinct}
             get = known.__getitem__
             counts = [sum(map(get, s)) if s is not None else len(coder.library(t)) >> 2 if t else 0 for s, t in zip(split, texts)]
             n = np.asarray(counts, np.int64)

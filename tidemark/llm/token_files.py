@@ -24,7 +24,7 @@ from tidemark.llm.word_bpe import encoder
 #: Rows of (part, first id) that may be broadcast: 16 MB.
 BROADCAST_PARTS = 1_000_000
 ORC_OPTIONS = {
-    "compression": "zstd", "orc.stripe.size": str(64 << 20), "orc.row.index.stride": "1000",
+    "compression": "snappy", "orc.stripe.size": str(8 << 20), "orc.row.index.stride": "1000",
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
 }
 
@@ -58,31 +58,43 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     encoded.write.options(**ORC_OPTIONS).orc(folder)
 
 
+FILE_COLUMNS = "doc_id long, n_tokens long, part int, at long, ids array<int>"
+
+
+def _starts(spark: SparkSession, folder: str) -> DataFrame:
+    """part and base (ids of all earlier parts): one row per file, from the narrow columns alone."""
+    totals = spark.read.schema(FILE_COLUMNS).orc(folder).groupBy("part").agg(F.sum("n_tokens").alias("total"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+
+
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids."""
-    files = spark.read.schema("doc_id long, n_tokens long, part int, at long, ids array<int>").orc(folder)
-    totals = files.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per file: broadcast while these are at most ``BROADCAST_PARTS``, so that the ids stay where they are read.
-    few = totals.limit(BROADCAST_PARTS + 1).count() <= BROADCAST_PARTS
-    base = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    base = _starts(spark, folder)
+    few = base.limit(BROADCAST_PARTS + 1).count() <= BROADCAST_PARTS
+    files = spark.read.schema(FILE_COLUMNS).orc(folder)
     return files.join(F.broadcast(base) if few else base, "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
 
 
 def lookup(spark: SparkSession, folder: str, doc_ids: list[int]) -> DataFrame:
     """The ids of a few documents; the condition reaches the ORC reader's indexes and Bloom filters."""
-    files = spark.read.schema("doc_id long, n_tokens long, part int, at long, ids array<int>").orc(folder)
+    files = spark.read.schema(FILE_COLUMNS).orc(folder)
     return files.where(F.col("doc_id").isin(doc_ids)).select("doc_id", "n_tokens", "ids")
 
 
-def checksums(rows: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and the CRC-32 of the ids as little-endian unsigned 32-bit integers."""
+def checksums(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens and the CRC-32 of the ids (as little-endian unsigned 32-bit integers) of every document in files.
+
+    Ids are checked where they are read; only the narrow rows meet the parts' starts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(3)
+            lists = batch.column(4)
             flat, cuts = memoryview(lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)).cast("B"), lists.offsets.to_pylist()
             crc = [zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            n = np.diff(np.asarray(cuts, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "part", "at", "n_tokens", "ids_crc32"])
 
-    return rows.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = spark.read.schema(FILE_COLUMNS).orc(folder).mapInArrow(run, "doc_id long, part int, at long, n_tokens long, ids_crc32 long")
+    return rows.join(_starts(spark, folder), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

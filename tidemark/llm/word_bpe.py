@@ -14,10 +14,10 @@ import unicodedata
 
 import numpy as np
 
-from tidemark.llm.common import worker_state
+from tidemark.llm.common import Recent, worker_state
 
-#: Pieces a worker keeps; the cache is emptied when it is full.
-CACHE_PIECES = 300_000
+#: Pieces, and pre-tokens, in a generation of a worker's cache.
+CACHE_PIECES = 160_000
 
 #: Code points below U+0250 but for U+0130 (two characters in lower case), the separators U+001C to U+001F and
 #: U+0085 (white space for one side only).
@@ -40,9 +40,8 @@ class WordBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.limit = cache_pieces
-        self.pieces: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
+        self.pieces = Recent(cache_pieces)
+        self.tokens = Recent(cache_pieces)
 
     def library(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -50,38 +49,25 @@ class WordBpe:
     def is_plain(self, text: str) -> bool:
         return PLAIN.fullmatch(text) is not None and not ("<|" in text and any(s in text for s in self.special))
 
-    def _encode_tokens(self, tokens: list[str]) -> None:
-        """Puts the ids of pre-tokens into the cache, all in one call of the library."""
+    def _encode_tokens(self, tokens: list[str]) -> list[bytes]:
+        """The ids of pre-tokens, all from one call of the library."""
         encoded = self.tokenizer.encode(" ".join(tokens), add_special_tokens=False)
         words = np.asarray([-1 if w is None else w for w in encoded.word_ids], np.int64)
         if not len(words) or words[-1] != len(tokens) - 1 or (np.diff(words) > 1).any() or words[0] != 0:
-            self.tokens.update((t, self.library(t)) for t in tokens)
-            return
+            return [self.library(t) for t in tokens]
         packed = np.asarray(encoded.ids, "<u4").tobytes()
         cuts = (np.searchsorted(words, np.arange(len(tokens) + 1)) * 4).tolist()
-        self.tokens.update((t, packed[cuts[i] : cuts[i + 1]]) for i, t in enumerate(tokens))
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """The ids of white-space free, lower-case, plain pieces."""
         cut = [PRE_TOKEN.findall(p) for p in pieces]
-        if len(self.tokens) > self.limit:
-            self.tokens.clear()
-        new = list(dict.fromkeys(t for tokens in cut for t in tokens if t not in self.tokens))
-        if new:
-            self._encode_tokens(new)
-        get = self.tokens.__getitem__
-        return [b"".join(map(get, tokens)) for tokens in cut]
+        get = self.tokens.fill(set().union(*cut), self._encode_tokens).__getitem__
+        return [get(tokens[0]) if len(tokens) == 1 else b"".join(map(get, tokens)) for tokens in cut]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [t.lower().split() if t and self.is_plain(t) else None for t in texts]
-        distinct = set().union(*(s for s in split if s))
-        missing = list(distinct.difference(self.pieces))
-        if len(self.pieces) + len(missing) > self.limit:
-            self.pieces.clear()
-            missing = list(distinct)
-        if missing:
-            self.pieces.update(zip(missing, self.encode_pieces(missing)))
-        get = self.pieces.__getitem__
+        get = self.pieces.fill(set().union(*(s for s in split if s)), self.encode_pieces).__getitem__
         return [b"".join(map(get, s)) if s is not None else self.library(t) if t else b"" for s, t in zip(split, texts)]
 
 
