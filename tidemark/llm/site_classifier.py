@@ -26,6 +26,8 @@ from tidemark.llm.common import blocks, byte_column, worker_state, written
 BUCKETS = 1 << 16
 TRAIN_ROWS = 6000
 STEPS = 150
+#: Training rows a bucket must occur in to get a weight.
+LEAST_ROWS = 4
 #: Shares of a text that single words do not show: symbols, capitals, digits, word repeats, words with a symbol.
 SHARES = 5
 _SYMBOLS = np.zeros(256, bool)
@@ -72,7 +74,7 @@ class Model:
     bias: np.ndarray
 
     def score(self, buckets: np.ndarray, shares: np.ndarray) -> np.ndarray:
-        return self.words[buckets].sum(axis=0) / np.sqrt(1.0 + len(buckets)) + shares @ self.shares + self.bias
+        return self.words[buckets].sum(axis=0) / np.sqrt(1.0 + np.count_nonzero(self.words[buckets, 0])) + shares @ self.shares + self.bias
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray) -> Model:
@@ -81,6 +83,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray) -> Model
     words, shares, bias = np.zeros((BUCKETS, k)), np.zeros((SHARES, k)), np.zeros(k)
     if not len(rows):
         return Model(words, shares, bias)
+    # Buckets of a few rows say nothing beyond these.
+    common = np.bincount(np.concatenate([b for b, _ in rows]), minlength=BUCKETS) >= LEAST_ROWS
+    rows = [(b[common[b]], s) for b, s in rows]
     lengths = np.asarray([len(b) for b, _ in rows])
     doc, bucket = np.repeat(np.arange(len(rows)), lengths), np.concatenate([b for b, _ in rows])
     scale = 1 / np.sqrt(1.0 + lengths)
