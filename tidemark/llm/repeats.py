@@ -161,13 +161,14 @@ def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     What has been met before in the block comes out as removed at once (no bytes).
     """
     for batch in blocks(batches):
-        ids, contents = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        # The content tells texts of one id apart; where an id has one text, its place needs none.
+        ids, contents = batch.column(0).to_pylist(), pc.if_else(batch.column(4), batch.column(2), 0).to_pylist()
         texts, named = byte_column(batch.column(1)).to_pylist(), batch.column(3)
         rows: list[tuple] = []
         seen: dict[bytes, tuple] = {}
         windows: list[tuple[np.ndarray, ...]] = []
         for i in sorted(range(len(ids)), key=lambda i: (ids[i], contents[i])):
-            text, wanted, me = texts[i], named[i].values, (ids[i], contents[i])
+            text, wanted, me = texts[i] or b"", named[i].values, (ids[i], contents[i])
             key, hot = wanted.field("name").to_numpy(), wanted.field("hot").to_numpy(zero_copy_only=False)
             order = np.argsort(key)
             key, hot = key[order], hot[order]
@@ -283,9 +284,9 @@ def _cut(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             out = []
-            for text, starts, stops in zip(byte_column(batch.column(1)).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            for text, content, of, starts, stops in zip(byte_column(batch.column(1)).to_pylist(), *(batch.column(k).to_pylist() for k in (2, 3, 4, 5))):
                 kept, at, spans, removed = [], 0, 0, 0
-                for a, b in sorted(zip(starts, stops)):
+                for a, b in sorted((a, b) for c, a, b in zip(of, starts, stops) if c in (0, content)):
                     if a > at or not spans:
                         kept.append(text[at:a])
                         spans += 1
@@ -294,7 +295,7 @@ def _cut(with_text: bool):
                     elif b > at:
                         removed += b - at
                         at = b
-                kept.append(text[at:])
+                kept.append((text or b"")[at:])
                 rest = b"".join(kept)
                 out.append((removed, spans, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_text else None))
             columns = list(zip(*out)) if out else [[]] * 4
@@ -321,25 +322,29 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     )
     named = known.where(F.col("doc_id").isNotNull() & (F.col("n_bytes") >= LENGTH))
     firsts = named.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last"))
-    copies = named.select("doc_id", "content", "digest").join(firsts, "digest").where(F.col("doc_id") > F.col("first")).select("doc_id", "content").distinct()
+    placed = named.select("doc_id", "content", "digest").join(firsts, "digest", "left")
+    placed = placed.withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
+    copies = placed.where("copy").select("doc_id", "content").distinct()
+    # Ids of copies only are done; the texts of an id with several are told apart by content.
+    ids = placed.groupBy("doc_id").agg(F.bool_and("copy").alias("done"), (F.min("content") != F.max("content")).alias("several"))
     entries = F.concat(
         F.transform("names", lambda n: F.struct(n.alias("name"), F.col("content").alias("c"))),
         F.transform("again", lambda n: F.struct(n.alias("name"), F.bitwise_not(F.col("content")).alias("c"))),
     )
     seen = named.select(F.explode(entries).alias("e")).groupBy("e.name").agg(F.min("e.c").alias("low"), F.max("e.c").alias("high"), F.count("*").alias("n"))
     repeated = seen.where(F.col("low") != F.col("high")).select("name", (F.col("n") > HOT).alias("hot"))
-    asked = named.select("doc_id", "content", F.explode("names").alias("name")).join(repeated, "name").join(copies, ["doc_id", "content"], "left_anti")
-    wanted = asked.groupBy("doc_id", "content").agg(F.collect_set(F.struct("name", "hot")).alias("names"))
-    texts = rows.where(F.col("doc_id").isNotNull()).select("doc_id", "content", "text").repartition("doc_id", "content")
-    sent = texts.join(wanted, ["doc_id", "content"]).select("doc_id", "text", "content", "names").mapInArrow(
+    asked = named.select("doc_id", F.explode("names").alias("name")).join(repeated, "name")
+    wanted = asked.groupBy("doc_id").agg(F.collect_set(F.struct("name", "hot")).alias("names")).join(ids.where(~F.col("done")), "doc_id")
+    texts = rows.where(F.col("doc_id").isNotNull()).select("doc_id", "content", "text").repartition("doc_id")
+    sent = texts.join(wanted, "doc_id").select("doc_id", "text", "content", "names", "several").mapInArrow(
         _send, "route long, doc_id long, content long, start long, n long, bytes binary"
     )
     # Spans found on the spot all have route 0; they are dealt out by place.
     spans = sent.repartition(F.when(F.col("bytes").isNull(), F.xxhash64("doc_id", "start")).otherwise(F.col("route"))).sortWithinPartitions("route").mapInArrow(
         _match, "doc_id long, content long, start long, stop long"
     )
-    spans = spans.groupBy("doc_id", "content").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    cut = texts.join(spans, ["doc_id", "content"]).select("doc_id", "text", "content", "spans.start", "spans.stop").mapInArrow(
+    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("content").alias("of"), "start", "stop")).alias("spans"))
+    cut = texts.join(spans, "doc_id").select("doc_id", "text", "content", "spans.of", "spans.start", "spans.stop").mapInArrow(
         _cut(with_text), "doc_id long, content long, n_removed long, n_spans long, kept_sha256 string, kept string"
     )
     cut = cut.dropDuplicates(["doc_id", "content"])
