@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Recent, blocks, id_and_text, n_bytes, worker_state
-from tidemark.llm.word_bpe import CACHE_PIECES, WordBpe
+from tidemark.llm.word_bpe import WordBpe
 
 #: Entries of the broadcast table (under 2 MB), items a sketch tracks, and sketches merged at the second level.
 TABLE_PIECES = 16_384
 TRACKED = 65_536
 GROUPS = 64
+#: Other pieces in a generation of a worker's cache.
+CACHE_PIECES = 160_000
 
 
 def frequent_pieces(docs: DataFrame, size: int = TABLE_PIECES) -> list[str]:
@@ -41,7 +43,7 @@ def frequent_pieces(docs: DataFrame, size: int = TABLE_PIECES) -> list[str]:
 
 def _counts(path: str, shared, over: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = worker_state(("counts", path), lambda: WordBpe(path))
+        coder = worker_state(("counts", path), lambda: WordBpe(path, CACHE_PIECES))
         frequent = shared.value
         rest = worker_state(("lengths", path), lambda: Recent(CACHE_PIECES))
         lengths = lambda pieces: [len(ids) >> 2 for ids in coder.encode_pieces(pieces)]

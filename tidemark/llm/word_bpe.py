@@ -1,8 +1,8 @@
-"""The lower-casing word tokenizer (``word_bpe_49k.json``) through a cache of white-space separated pieces.
+"""The lower-casing word tokenizer (``word_bpe_49k.json``) through a cache of pre-tokens.
 
 The tokenizer normalises (NFC, one space for white space, lower case), drops white space and cuts what is
-left into pre-tokens; no pre-token spans white space. So the ids of a text are the ids of its pieces, one
-after another. That is used for texts of plain Latin characters, where Python's lower case and white space
+left into pre-tokens; none spans white space. So the ids of a text are those of its pre-tokens, or of its white-space
+separated pieces, one after another. That is used for texts of plain Latin characters, where Python's lower case and white space
 agree with the tokenizer's; all other texts, and those with a special token's string, go through the
 library as a whole.
 """
@@ -16,8 +16,8 @@ import numpy as np
 
 from tidemark.llm.common import Recent, worker_state
 
-#: Pieces, and pre-tokens, in a generation of a worker's cache.
-CACHE_PIECES = 160_000
+#: Pre-tokens in a generation of a worker's cache.
+CACHE_TOKENS = 300_000
 
 #: Code points below U+0250 but for U+0130 (two characters in lower case), the separators U+001C to U+001F and
 #: U+0085 (white space for one side only).
@@ -35,13 +35,12 @@ PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}
 class WordBpe:
     """Encodes batches of texts; the ids of a piece are kept as packed little-endian 32-bit integers."""
 
-    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
+    def __init__(self, path: str, cache_tokens: int = CACHE_TOKENS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = Recent(cache_pieces)
-        self.tokens = Recent(cache_pieces)
+        self.tokens = Recent(cache_tokens)
 
     def library(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -66,9 +65,9 @@ class WordBpe:
         return [get(tokens[0]) if len(tokens) == 1 else b"".join(map(get, tokens)) for tokens in cut]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.lower().split() if t and self.is_plain(t) else None for t in texts]
-        get = self.pieces.fill(set().union(*(s for s in split if s)), self.encode_pieces).__getitem__
-        return [b"".join(map(get, s)) if s is not None else self.library(t) if t else b"" for s, t in zip(split, texts)]
+        cut = [PRE_TOKEN.findall(t.lower()) if t and self.is_plain(t) else None for t in texts]
+        get = self.tokens.fill(set().union(*(c for c in cut if c)), self._encode_tokens).__getitem__
+        return [b"".join(map(get, c)) if c is not None else self.library(t) if t else b"" for c, t in zip(cut, texts)]
 
 
 def encoder(path: str) -> WordBpe:
