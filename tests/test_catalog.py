@@ -56,7 +56,9 @@ def test_estimates_mark_rows(spark):
     mark = lambda **o: budget.mark_admitted(df, "k", F.col("w"), **o).filter("admitted").count()
     assert mark(estimate=0.1, spent=0.0, ceiling=1.05) == 11
     assert mark(estimate=0.1, spent=1.0, ceiling=1.0) == 0
-    assert mark(estimate=0.0, spent=0.0, ceiling=1.0) == 60
+    with pytest.raises(ValueError):
+        mark(estimate=0.0, spent=0.0, ceiling=1.0)
+    assert mark(estimate=0.0, spent=0.0, ceiling=float("inf")) == 60
     assert mark(estimate=0.1, spent=0.0, ceiling=100.0) == 60
 
 

@@ -71,9 +71,12 @@ def test_topics_and_allowlist(events):
     assert found(where(events)) == [1, 2, 3]
 
 
-def test_lookback_is_clamped(events):
+def test_lookback(events):
     now = 3000 + 120 * 60_000
-    assert found(where(events, minutes=10_000, now_ms=now, max_minutes=120)) == [3]
+    assert found(where(events, minutes=120, now_ms=now, max_minutes=120)) == [3]
+    assert found(where(events, minutes=50_000, now_ms=now)) == [1, 2, 3]
+    with pytest.raises(ValueError):
+        where(events, minutes=10_000, now_ms=now, max_minutes=120)
     assert found(where(events, minutes=0, now_ms=2000 + 60_000)) == [2, 3]
     with pytest.raises(ValueError):
         where(events, minutes=5)
@@ -98,3 +101,13 @@ def test_names():
     assert [filters.resolve_name(n) for n in ("status", "topic", "timestamp_ms", "value.items.sku", "address.city")] == [
         "value.status", "topic", "timestamp_ms", "value.items.sku", "value.address.city"
     ]
+
+
+def test_large_integers_and_decimals_compare_exactly(spark):
+    big = 2**53
+    rows = [(1, f'{{"n":{big}}}'), (2, f'{{"n":{big + 1}}}'), (3, '{"n":99.5}'), (4, '{"n":1e3}'), (5, '{"n":0.1}'), (6, '{"n":123456789012345678901234567890}'), (7, '{"n":"x"}')]
+    df = spark.createDataFrame([("t", 0, o, 0, v) for o, v in rows], "topic string, partition int, offset long, timestamp_ms long, value_json string")
+    hit = lambda **c: sorted(r.offset for r in where(df, clauses=[{"field": "n", **c}]).collect())
+    assert hit(eq=big + 1) == [2] and hit(eq=big) == [1] and hit(in_values=[big, 99.5, 1000]) == [1, 3, 4]
+    assert hit(eq=99) == [] and hit(eq=100) == [] and hit(eq=0.1) == [5]
+    assert hit(gte=big + 1) == [2, 6] and hit(gte=99.5, lte=1000) == [3, 4] and hit(lte=0.1) == [5]

@@ -30,8 +30,10 @@ def test_order_ties_and_missing_vectors(few):
 
 
 def test_limits(few):
-    assert search.clamp_limit(50, 10) == (10, True) and search.clamp_limit(0) == (1, True) and search.clamp_limit(7) == (7, False)
-    assert search.search(few, [1.0, 0.0], 50, max_results=2).count() == 2
+    assert search.clamp_limit(50, 10) == (10, True) and search.clamp_limit(0) == (1, False) and search.clamp_limit(700) == (700, False)
+    capped = search.search(few, [1.0, 0.0], 50, max_results=2)
+    assert [r.truncated for r in capped.collect()] == [True, True]
+    assert not search.search(few, [1.0, 0.0], 2, max_results=2).first().truncated
 
 
 def test_filters_threshold_allowlist(few):

@@ -133,3 +133,11 @@ def test_source_options():
         kafka.source_options("b:9092", [" "])
     with pytest.raises(ValueError):
         kafka.source_options("b:9092", ["a"], "middle")
+
+
+def test_only_whole_json_objects_are_bodies(spark):
+    good = ['{}', ' {"a": 1} ', '{"a":{"b":[1,2]}}', '{"é":"}"}']
+    bad = ["", "x", "[1]", "3", "{'a':1}", '{"a":1} trailing', '{"a":1}{"b":2}', '{"a":1},{"b":2}', '{"a":1}],[{"b":2}', '{"a":1}},"w":{"b":2}', '{"a":1,"a":2}', '{"a":"line\nbreak"}', '{"a":']
+    df = spark.createDataFrame([(t,) for t in good + bad], "t string")
+    got = [r.ok for r in df.select(envelope.is_json_object(F.col("t")).alias("ok")).collect()]
+    assert got == [True] * len(good) + [False] * len(bad)

@@ -192,11 +192,11 @@ def test_repeats_inside_a_stream(spark, tmp_path):
 
 
 def test_bucket():
-    full = Bucket(5, 60_000)
-    assert [full.take(0) for _ in range(6)] == [1, 1, 1, 1, 1, 0]
-    small = Bucket(2, 200)  # ten tokens a second
-    assert small.take(0, 2) == 2 and small.take(0) == 0 and small.retry_after_ms() == 100
-    assert [small.take(500) for _ in range(3)] == [1, 1, 0]
+    full = Bucket(3, 9_000)
+    assert [full.take(0) for _ in range(4)] == [1, 1, 1, 0]
+    small = Bucket(4, 1_000)  # one token in 250 ms
+    assert small.take(0, 4) == 4 and small.take(0) == 0 and small.retry_after_ms() == 250
+    assert [small.take(510) for _ in range(3)] == [1, 1, 0]
     late = Bucket(1, 1000)
     assert late.take(5000) == 1 and late.take(4000) == 0 and late.last == 5000 and late.take(6000) == 1
 
@@ -236,3 +236,9 @@ def test_stream_throttle_equals_batch(spark, tmp_path):
     query.awaitTermination()
     got = {r.offset: r.allowed for r in spark.table("calls").collect()}
     assert len(got) == 200 and sum(got.values()) > 2
+
+
+def test_throttle_keeps_calls_without_key_or_time(spark):
+    rows = [(None, 1, 0), (None, 2, 0), ("k", 3, None), ("k", 4, 0), (None, 5, None)]
+    got = {r.n: r.allowed for r in throttle.throttle(spark.createDataFrame(rows, "key string, n long, timestamp_ms long"), "key", ["n"], 1).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: True, 5: False}

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.timeparts import utc_day
+from tidemark.session import null_safe_join
 
 #: Money is summed as whole billionths, so totals do not depend on the order of addition.
 UNITS = 1_000_000_000
@@ -38,10 +38,6 @@ def spend_by_day(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("day", "provider").agg((F.sum(units(F.col("spend_usd"))) / F.lit(float(UNITS))).alias("spend_usd"))
 
 
-def ledger_rows(calls: DataFrame, provider: Column, created_ms: Column, cost: Column) -> DataFrame:
-    return calls.select(utc_day(created_ms).alias("day"), provider.alias("provider"), cost.alias("spend_usd"))
-
-
 def spent_before(
     calls: DataFrame, by: Sequence[str], order: Sequence[str], bucket: Column, cost: Column
 ) -> DataFrame:
@@ -58,7 +54,7 @@ def spent_before(
     bases = totals.select(*by, "_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     spent = F.col("_base") + F.coalesce(F.sum("_units").over(inside), F.lit(0))
-    return named.join(bases, [*by, "_bucket"]).withColumn("spent_units", spent).drop("_bucket", "_units", "_base")
+    return null_safe_join(named, bases, [*by, "_bucket"]).withColumn("spent_units", spent).drop("_bucket", "_units", "_base")
 
 
 def admit(
@@ -74,13 +70,16 @@ def mark_admitted(calls: DataFrame, key: str, waiting: Column, estimate: float,
     """Add ``admitted``: as many waiting calls as fit what is left today, each counted at ``estimate`` USD.
 
     Calls are taken in hash order of ``key``, which cuts evenly into buckets. Real costs are known
-    only afterwards and settle in the ledger.
+    only afterwards and settle in the ledger. An estimate of nothing would admit everything, so it is
+    refused unless the ceiling is infinite.
     """
     left = ceiling - spent
     if left <= 0:
         return calls.withColumn("admitted", F.lit(False))
-    if estimate <= 0:
+    if left == float("inf"):
         return calls.withColumn("admitted", waiting)
+    if estimate <= 0:
+        raise ValueError("a spend ceiling needs a positive estimate of what a call costs")
     ordered = calls.withColumns({"_all": F.lit(0), "_h": F.xxhash64(key)})
     cost = F.when(waiting, F.lit(float(estimate))).otherwise(F.lit(0.0))
     ranked = spent_before(ordered, ["_all"], ["_h", key], F.shiftright("_h", 50), cost)

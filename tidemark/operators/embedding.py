@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import vectors
+from tidemark.session import null_safe_join
 
 
 class Embedder(Protocol):
@@ -148,7 +149,7 @@ def reuse_counts(df: DataFrame, by: Sequence[str], order: Sequence[str], text: s
     )
     misses = first.groupBy("g").agg(F.count(F.lit(1)).alias("misses")).select("g.*", "misses")
     totals = df.filter(F.col(text).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("texts"))
-    joined = totals.join(misses, list(by), "left").withColumn("misses", F.coalesce("misses", F.lit(0)))
+    joined = null_safe_join(totals, misses, list(by), "left").withColumn("misses", F.coalesce("misses", F.lit(0)))
     return joined.select(*by, "texts", "misses", (F.col("texts") - F.col("misses")).alias("hits"))
 
 

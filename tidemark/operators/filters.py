@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -17,8 +18,10 @@ from tidemark.functions.json_text import json_path, leaf_kind
 from tidemark.schemas import CORE_COLUMNS
 
 MAX_CLAUSES = 10
-MAX_LOOKBACK_MINUTES = 10_080
 _NUMERIC = "^(BIGINT|INT|SMALLINT|TINYINT|FLOAT|DOUBLE|DECIMAL.*)$"
+_BINARY = "^(FLOAT|DOUBLE)$"
+#: Whole and decimal leaves are compared in this type, doubles as doubles.
+_EXACT = "decimal(38,18)"
 
 
 @dataclass(frozen=True)
@@ -52,6 +55,13 @@ def resolve_name(field: str) -> str:
     return f"value.{field}"
 
 
+def _exact_literal(value: Any) -> Column:
+    """A number as the decimal its shortest text says; one that does not fit the exact type stays a double."""
+    number = Decimal(value) if isinstance(value, (int, Decimal)) else Decimal(repr(value))
+    fits = number.is_finite() and number.copy_abs() < 10**20 and number.as_tuple().exponent >= -18
+    return F.lit(f"{number:f}").cast(_EXACT) if fits else F.lit(float(value))
+
+
 class _Leaf:
     """A resolved field on which typed comparisons can be built."""
 
@@ -115,24 +125,36 @@ class _Leaf:
         for pattern, cast, member in (
             ("^STRING$", "string", lambda v: isinstance(v, str)),
             ("^BOOLEAN$", "boolean", lambda v: isinstance(v, bool)),
-            (_NUMERIC, "double", lambda v: isinstance(v, (int, float)) and not isinstance(v, bool)),
         ):
             chosen = [v for v in values if member(v)]
             if chosen:
-                if cast == "double":
-                    chosen = [float(v) for v in chosen]
                 leaf = F.try_variant_get(self.variant, self.where, cast)
                 tests.append(self.kind.rlike(pattern) & leaf.isin(chosen))
-        return F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False)) if tests else F.lit(False)
+        numbers = [v for v in values if isinstance(v, (int, float, Decimal)) and not isinstance(v, bool)]
+        if numbers:
+            tests.append(self._number(lambda leaf, literal: reduce(or_, [leaf == literal(v) for v in numbers])))
+        return F.coalesce(reduce(or_, tests), F.lit(False)) if tests else F.lit(False)
+
+    def _number(self, test: Callable[[Column, Callable[[Any], Column]], Column]) -> Column:
+        """A test of a numeric leaf: exact for whole and decimal numbers, as doubles for doubles.
+
+        Integers beyond 2^53 stay apart, which a comparison of doubles would not do. A leaf too large for the exact type is
+        compared as a double.
+        """
+        binary = F.try_variant_get(self.variant, self.where, "double")
+        exact = F.try_variant_get(self.variant, self.where, _EXACT)
+        as_double = test(binary, lambda v: F.lit(float(v)))
+        as_exact = F.when(exact.isNull(), as_double).otherwise(test(exact, _exact_literal))
+        return self.kind.rlike(_NUMERIC) & F.when(self.kind.rlike(_BINARY), as_double).otherwise(as_exact)
 
     def between(self, gte: float | None, lte: float | None) -> Column:
-        def bounds(c: Column) -> Column:
-            tests = ([] if gte is None else [c >= gte]) + ([] if lte is None else [c <= lte])
+        def bounds(c: Column, literal: Callable[[Any], Any]) -> Column:
+            tests = ([] if gte is None else [c >= literal(gte)]) + ([] if lte is None else [c <= literal(lte)])
             return reduce(and_, tests)
 
         if self.variant is None:
-            return self._any(bounds) if isinstance(self.dtype, T.NumericType) else F.lit(False)
-        return self.kind.rlike(_NUMERIC) & bounds(F.try_variant_get(self.variant, self.where, "double"))
+            return self._any(lambda c: bounds(c, lambda v: v)) if isinstance(self.dtype, T.NumericType) else F.lit(False)
+        return F.coalesce(self._number(bounds), F.lit(False))
 
 
 def clause_predicate(df: DataFrame, spec: Clause | Mapping[str, Any]) -> Column:
@@ -156,14 +178,16 @@ def topic_predicate(topic: str | None, allowlist: Iterable[str] = ()) -> Column
 
 
 def lookback_predicate(
-    df: DataFrame, minutes: int, now_ms: int, max_minutes: int = MAX_LOOKBACK_MINUTES
+    df: DataFrame, minutes: int, now_ms: int, max_minutes: int | None = None
 ) -> Column:
-    """Events of the last ``minutes`` (clamped to [1, max]).
+    """Events of the last ``minutes`` (one at least). A longer look-back than ``max_minutes`` is an error.
 
     Where the source's own ``event_time`` column is present the filter is put on it, which is
     equivalent for whole-millisecond cut-offs and can be pushed into the scan.
     """
-    cutoff = int(now_ms) - max(1, min(int(minutes), max_minutes)) * 60_000
+    if max_minutes is not None and minutes > max_minutes:
+        raise ValueError(f"a look-back of {minutes} minutes exceeds the maximum of {max_minutes}")
+    cutoff = int(now_ms) - max(1, int(minutes)) * 60_000
     if "event_time" in df.columns and isinstance(df.schema["event_time"].dataType, T.TimestampNTZType):
         return F.col("event_time") >= timeparts.ntz_of_ms(cutoff)
     return F.col("timestamp_ms") >= cutoff
@@ -176,7 +200,7 @@ def where(
     clauses: Sequence[Clause | Mapping[str, Any]] = (),
     allowlist: Iterable[str] = (),
     now_ms: int | None = None,
-    max_minutes: int = MAX_LOOKBACK_MINUTES,
+    max_minutes: int | None = None,
 ) -> DataFrame:
     """The conjunction of all given conditions; with none the input comes back unchanged."""
     if len(clauses) > MAX_CLAUSES:

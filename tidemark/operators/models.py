@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.timeparts import utc_day
 from tidemark.operators import budget
-from tidemark.session import written_once
+from tidemark.session import null_safe_join, written_once
 
 
 @dataclass(frozen=True)
@@ -21,6 +21,8 @@ class Model:
 
     name: str
     complete: Callable[[str], tuple[str, float]]
+    #: What a call is expected to cost at most, for admission under a spend ceiling.
+    call_usd: float = 0.01
 
 
 def latest_cache(cache: DataFrame) -> DataFrame:
@@ -44,25 +46,47 @@ def ask(
     cache: DataFrame | None = None,
     spent: float = 0.0,
     ceiling: float = 1.0,
-    estimate: float = 0.0,
+    estimate: float | None = None,
 ) -> DataFrame:
     """Answer the ``prompt`` of every row that can be answered.
 
     Returns the kept columns, ``cache_key``, the cached ``payload_json`` if there is one, ``admitted``,
-    and for admitted rows ``text``, ``cost`` and ``error``. Cached rows are not asked; the others are
-    while the day's spend lies under the ceiling. A failed call gives null text and its error; it
-    does not fail the job. All of it is written to the shared folder in one pass, because asking
-    again could cost money and answer differently.
+    and for admitted rows ``text``, ``cost`` and ``error``. Cached rows are not asked. The others are asked in waves:
+    each admits as many calls as fit what is left of the ceiling at ``estimate`` (by default the model's own) and
+    settles what they really cost before the next, so a spend over the ceiling is at most the error of one wave's
+    estimates. A failed call gives null text and its error; it does not fail the job. Every wave is written to the
+    shared folder, because asking again could cost money and answer differently.
     """
-    if estimate > 0:
-        # Admission totals the waiting calls before it marks them; the prompts are made once.
-        asked = written_once(asked, "prompts")
+    each = model.call_usd if estimate is None else estimate
+    # Admission totals the waiting calls before it marks them; the prompts are made once.
+    asked = written_once(asked, "prompts")
     if cache is None:
-        looked_up = asked.withColumn("payload_json", F.lit(None).cast("string"))
+        waiting = asked.withColumn("payload_json", F.lit(None).cast("string"))
     else:
-        looked_up = asked.join(latest_cache(cache), "cache_key", "left")
-    marked = budget.mark_admitted(looked_up, "cache_key", F.col("payload_json").isNull(), estimate, spent, ceiling)
+        waiting = asked.join(latest_cache(cache), "cache_key", "left")
     kept = [*keep, "cache_key", "payload_json", "admitted"]
+    waves = []
+    while True:
+        marked = budget.mark_admitted(waiting, "cache_key", F.col("payload_json").isNull(), each, spent, ceiling)
+        answers = written_once(_call(marked, model, kept), "answers")
+        turned_away = ~F.col("admitted") & F.col("payload_json").isNull()
+        tally = answers.agg(
+            F.count_if("admitted").alias("made"), F.count_if(turned_away).alias("left"),
+            F.coalesce(F.sum(F.when(F.col("admitted"), budget.units(F.col("cost")))), F.lit(0)).alias("units"),
+        ).first()
+        spent += tally.units / budget.UNITS
+        if not tally.left or not tally.made or spent >= ceiling:
+            break
+        # What was turned away waits for the next wave.
+        waves.append(answers.filter(~turned_away))
+        waiting = null_safe_join(marked, answers.filter(turned_away).select("cache_key", *keep), ["cache_key", *keep], "left_semi").drop("admitted")
+    for wave in waves:
+        answers = answers.unionByName(wave)
+    return answers
+
+
+def _call(marked: DataFrame, model: Model, kept: Sequence[str]) -> DataFrame:
+    """One call of the model for every admitted row."""
     schema = T.StructType([marked.schema[c] for c in kept])
     schema = schema.add("text", "string").add("cost", "double").add("error", "string")
 
@@ -79,9 +103,9 @@ def ask(
                         answer = (None, 0.0, str(exc)[:500])
                 rows.append(answer)
             answers = pd.DataFrame(rows, columns=["text", "cost", "error"], index=batch.index)
-            yield pd.concat([batch[kept], answers], axis=1)
+            yield pd.concat([batch[list(kept)], answers], axis=1)
 
-    return written_once(marked.select(*kept, "prompt").mapInPandas(run, schema), "answers")
+    return marked.select(*kept, "prompt").mapInPandas(run, schema)
 
 
 def spend_rows(answers: DataFrame, provider: str, now_ms: int) -> DataFrame:

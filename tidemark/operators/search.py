@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator, Mapping, Sequence
+from functools import reduce
+from operator import or_
 from typing import Any
 
 import numpy as np
@@ -26,7 +28,6 @@ from tidemark.operators.filters import Clause, where
 from tidemark.session import local_rows
 
 SCORE_DECIMALS = 9
-MAX_RESULTS = 100
 VALUE_CAP = 8192
 PREVIEW_RESERVE = 128
 MMR_LAMBDA = 0.7
@@ -41,10 +42,16 @@ class EventNotFound(LookupError):
     """A referenced event is missing, off the allowlist or holds no vector."""
 
 
-def clamp_limit(limit: int, max_results: int = MAX_RESULTS) -> tuple[int, bool]:
-    """(limit within [1, max], whether it had to change)."""
-    clamped = max(1, min(int(limit), max_results))
-    return clamped, clamped != limit
+def clamp_limit(limit: int, max_results: int | None = None) -> tuple[int, bool]:
+    """(limit within [1, max], whether the maximum cut it). Without a maximum no limit is too large."""
+    wanted = max(1, int(limit))
+    clamped = wanted if max_results is None else min(wanted, max_results)
+    return clamped, clamped < wanted
+
+
+def _flagged(found: DataFrame, max_results: int | None, cut: bool) -> DataFrame:
+    """A caller that sets a maximum gets ``truncated``: whether fewer rows were looked for than asked."""
+    return found if max_results is None else found.withColumn("truncated", F.lit(cut))
 
 
 def cap_value(value_json: Column, cap: int = VALUE_CAP) -> tuple[Column, Column]:
@@ -105,7 +112,7 @@ def search(
     diverse: bool = False,
     allowlist: Iterable[str] = (),
     now_ms: int | None = None,
-    max_results: int = MAX_RESULTS,
+    max_results: int | None = None,
     value_cap: int = VALUE_CAP,
 ) -> DataFrame:
     """The ``limit`` events closest to a query vector, filtered before they are scored.
@@ -113,14 +120,15 @@ def search(
     Only the surviving rows' vectors are read; each task keeps its best ``limit`` rows and those
     alone are merged. ``diverse`` reranks a pool three times as large for variety.
     """
-    k, _ = clamp_limit(limit, max_results)
+    k, cut = clamp_limit(limit, max_results)
     kept = where(df, topic, minutes, clauses, allowlist, now_ms)
     pool = _top(kept, vector, k * MMR_POOL if diverse else k, threshold)
     if not diverse:
-        return results(pool, value_cap, F.col("score"))
+        return _flagged(results(pool, value_cap, F.col("score")), max_results, cut)
     shown = results(pool, value_cap, F.col("score"), "embedding")
     columns = [c for c in shown.columns if c != "embedding"]
-    return diversify(shown.withColumn("query_id", F.lit(0)), k, keep=columns).orderBy("rank").select(columns)
+    ranked = diversify(shown.withColumn("query_id", F.lit(0)), k, keep=columns).orderBy("rank").select(columns)
+    return _flagged(ranked, max_results, cut)
 
 
 def search_text(df: DataFrame, query: str, embedder, **options: Any) -> DataFrame:
@@ -173,7 +181,7 @@ def search_batch(
     limit: int = 10,
     query_id: str = "query_id",
     vector: str = "vector",
-    max_results: int = MAX_RESULTS,
+    max_results: int | None = None,
     exclude_self: bool = False,
 ) -> DataFrame:
     """The best ``limit`` events for each of many query vectors: (query_id, event_id, score, rank).
@@ -181,9 +189,9 @@ def search_batch(
     The query vectors go to the tasks in blocks of a checked size, one pass over the corpus per
     block; the corpus is not shuffled. A task multiplies each Arrow batch with the block and emits
     at most ``limit`` rows per query, so what is exchanged does not grow with the corpus.
-    ``exclude_self`` drops the event whose id equals the query's.
+    With ``max_results`` the rows carry ``truncated``. ``exclude_self`` drops the event whose id equals the query's.
     """
-    k, _ = clamp_limit(limit, max_results)
+    k, cut = clamp_limit(limit, max_results)
     wanted = k + 1 if exclude_self else k
     sized = queries.select(F.col(query_id).alias("q"), F.col(vector).alias("v"))
     count, dim = sized.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
@@ -198,7 +206,7 @@ def search_batch(
     if exclude_self:
         found = found.filter(F.col("event_id") != F.col("query_id").cast("string"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "event_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return _flagged(found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), max_results, cut)
 
 
 def _score_block(corpus: DataFrame, block: list, k: int, id_type: T.DataType) -> DataFrame:
@@ -249,7 +257,7 @@ def diversify(
 ) -> DataFrame:
     """Maximal marginal relevance per ``query_id``: (query_id, kept columns, rank).
 
-    The pool of a query is at most three times the result cap, so a group always fits a task.
+    The pool of a query is three times its limit.
     Candidates arrive best first; the earliest of equal candidates is taken. One without a vector
     competes with its plain relevance and repels nobody.
     """
@@ -289,7 +297,7 @@ def diversify(
 def search_batch_diverse(df: DataFrame, queries: DataFrame, limit: int = 10, **options: Any) -> DataFrame:
     """Diverse results for many queries: pool by :func:`search_batch`, vectors joined back, rerank."""
     k, _ = clamp_limit(limit)
-    pool = search_batch(df, queries, k * MMR_POOL, max_results=MAX_RESULTS * MMR_POOL, **options)
+    pool = search_batch(df, queries, k * MMR_POOL, **options)
     vectors_of = df.select(event_id().alias("event_id"), "embedding")
     return diversify(pool.join(vectors_of, "event_id"), k)
 
@@ -313,7 +321,7 @@ def similar(
     reference: str,
     limit: int = 10,
     allowlist: Iterable[str] = (),
-    max_results: int = MAX_RESULTS,
+    max_results: int | None = None,
     value_cap: int = VALUE_CAP,
 ) -> DataFrame:
     """Events most like a stored one, without the event itself."""
@@ -378,7 +386,7 @@ def search_pruned(
     pivots: Sequence[Sequence[float]],
     vector: Sequence[float],
     limit: int = 10,
-    max_results: int = MAX_RESULTS,
+    max_results: int | None = None,
     value_cap: int = VALUE_CAP,
 ) -> DataFrame:
     """Exact top-k that skips rows the triangle inequality rules out.
@@ -387,7 +395,7 @@ def search_pruned(
     within that angle of the query, so its angle to its own pivot is known to within it as well:
     one range per cell. Zero vectors, which have no angle, cannot beat a positive score.
     """
-    k, _ = clamp_limit(limit, max_results)
+    k, cut = clamp_limit(limit, max_results)
     query = np.asarray(vector, dtype=np.float64)
     matrix = np.asarray(pivots, dtype=np.float64)
     cosines = (matrix @ query) / (np.linalg.norm(matrix, axis=1) * np.linalg.norm(query))
@@ -398,15 +406,15 @@ def search_pruned(
         cells = [int(c) for c in order[:width]]
         near = _top(celled.filter(F.col("cell").isin(cells)), vector, k).select("score").collect()
         width *= 2
-    floor = min((row.score for row in near), default=-1.0)
-    if len(near) < k or floor <= 0.0:
-        return results(_top(celled, vector, k), value_cap, F.col("score"))
+    # With fewer rows than asked for, nothing can be ruled out: the reach is half a turn.
+    floor = min((row.score for row in near), default=-1.0) if len(near) >= k else -1.0
     reach = float(np.arccos(np.clip(floor, -1.0, 1.0))) + 1e-6
     bounds = [
         (F.col("cell") == int(c)) & F.col("radius").between(float(angles[c]) - reach, float(angles[c]) + reach)
         for c in range(len(matrix))
     ]
-    condition = bounds[0]
-    for bound in bounds[1:]:
-        condition = condition | bound
-    return results(_top(celled.filter(condition), vector, k), value_cap, F.col("score"))
+    if floor <= 0.0:
+        # Rows without an angle score zero. Their radius says nothing, so all rows of the first cell stay.
+        bounds.append((F.col("cell") == 0) | F.col("cell").isNull())
+    kept = celled.filter(reduce(or_, bounds))
+    return _flagged(results(_top(kept, vector, k), value_cap, F.col("score")), max_results, cut)

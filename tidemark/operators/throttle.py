@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.timeparts import floor_div
-from tidemark.session import written_once
+from tidemark.session import null_safe_join, written_once
 
 MINUTE_MS = 60_000
 
@@ -58,9 +58,13 @@ def throttle(
     sequential pass sees that timeline alone, streamed in time order and cut wherever the key
     stayed idle long enough for the bucket to be full again. The verdicts are joined back to the
     calls, which therefore stay spread out even when one key holds a third of them.
+
+    Calls without a key share one bucket. A call without a time cannot be metered: it is refused, with no time to wait.
     """
     if capacity <= 0:
         return calls.withColumns({"allowed": F.lit(True), "retry_after_sec": F.lit(0.0)})
+    timeless = calls.filter(F.col(time).isNull()).withColumns({"allowed": F.lit(False), "retry_after_sec": F.lit(None).cast("double")})
+    calls = calls.filter(F.col(time).isNotNull())
     slots = calls.groupBy(key, time).agg(F.count(F.lit(1)).alias("_n"))
     bin_ = floor_div(F.col(time), period_ms)
     bins = slots.select(key, bin_.alias("_bin")).distinct()
@@ -68,19 +72,19 @@ def throttle(
     # A whole empty bin between two active ones means the bucket has filled up.
     fresh = F.coalesce(F.col("_bin") - F.lag("_bin").over(along) > 1, F.lit(True)).cast("int")
     spells = bins.withColumn("_fresh", fresh).withColumn("_spell", F.sum("_fresh").over(along)).drop("_fresh")
-    timeline = slots.withColumn("_bin", bin_).join(spells, [key, "_bin"]).select(key, "_spell", time, "_n")
+    timeline = null_safe_join(slots.withColumn("_bin", bin_), spells, [key, "_bin"]).select(key, "_spell", time, "_n")
     # Used twice below, and the one step that cannot be split within a busy key: run it once.
     verdicts = written_once(_run(timeline, key, time, capacity, period_ms), "verdicts")
     # Only slots admitted in part need an order among their calls, and at most `capacity` of them pass.
     within = Window.partitionBy(key, time).orderBy(*order)
-    part = calls.join(verdicts.filter((F.col("_ok") > 0) & (F.col("_ok") < F.col("_n"))), [key, time])
+    part = null_safe_join(calls, verdicts.filter((F.col("_ok") > 0) & (F.col("_ok") < F.col("_n"))), [key, time])
     first = part.withColumn("_r", F.row_number().over(within)).filter(F.col("_r") <= capacity)
     cut = first.filter(F.col("_r") == F.col("_ok")).select(key, time, F.struct(*order).alias("_cut"))
-    judged = calls.join(verdicts.join(cut, [key, time], "left"), [key, time])
+    judged = null_safe_join(calls, null_safe_join(verdicts, cut, [key, time], "left"), [key, time])
     allowed = (F.col("_ok") == F.col("_n")) | F.coalesce(F.struct(*order) <= F.col("_cut"), F.lit(False))
     return judged.withColumns(
         {"allowed": allowed, "retry_after_sec": F.when(allowed, F.lit(0.0)).otherwise(F.col("_retry_ms") / F.lit(1000.0))}
-    ).drop("_n", "_ok", "_retry_ms", "_cut")
+    ).drop("_n", "_ok", "_retry_ms", "_cut").unionByName(timeless)
 
 
 def _run(timeline: DataFrame, key: str, time: str, capacity: int, period_ms: int) -> DataFrame:

@@ -50,7 +50,8 @@ class Settings:
     sample_count: int = 10
     retain_samples: bool = True
     daily_ceiling_usd: float = 1.0
-    call_estimate_usd: float = 0.0
+    #: None: the model's own figure.
+    call_estimate_usd: float | None = None
     drop_fields: tuple[str, ...] = ()
     patterns: tuple[str, ...] = ()
     min_overlap: float = relations.MIN_OVERLAP
@@ -310,7 +311,3 @@ def refresh_loop(refresh: Refresh, names: Iterable[str], interval_sec: float, cy
         done += 1
         if cycles is None or done < cycles:
             time.sleep(interval_sec)
-
-
-def union_all(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

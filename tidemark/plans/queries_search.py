@@ -12,7 +12,6 @@ from tidemark.operators import embedding, search, topics
 from tidemark.operators.embedding import HashingEmbedder, embed_column
 from tidemark.plans import inputs
 from tidemark.plans.queries_events import EV, NUMBER
-from tidemark.session import spread
 from tidemark.sources import tables
 
 QUERIES: dict = {}
@@ -61,7 +60,7 @@ def search_topk(spark, folder):
 @query(
     f"""WITH {VEC}, s AS (SELECT ref AS event_id, round(list_cosine_similarity(e, {Q_COS}), 9) AS s FROM vec
       WHERE label IN (1, 2, 3) AND 1704067200000 + vec_id * 60000 >= 1704067200000)
-    SELECT event_id, round(s, 6) AS score FROM s WHERE s >= 0.05 ORDER BY s DESC, event_id LIMIT 100"""
+    SELECT event_id, round(s, 6) AS score FROM s WHERE s >= 0.05 ORDER BY s DESC, event_id LIMIT 500"""
 )
 def search_threshold(spark, folder):
     found = search.search(
@@ -158,7 +157,7 @@ def similar_batch(spark, folder):
 def search_text(spark, folder):
     """From the table to the answer: text, vector, filters, threshold, top-k."""
     embedder = HashingEmbedder(DIM)
-    events = spread(tables.events(spark, folder))
+    events = tables.events(spark, folder)
     vectors = events.withColumn("embedding", embed_column(embedder, canonical_value(F.col("value"))))
     found = search.search_text(
         vectors, "purchase value 42", embedder, limit=20, minutes=10_080, now_ms=inputs.NOW_MS, threshold=0.0,
@@ -169,7 +168,7 @@ def search_text(spark, folder):
 
 @query(f"WITH {embedded('d', 'SELECT doc_id AS id, text FROM documents')} SELECT id AS doc_id, slot, round(w, 6) AS weight FROM d")
 def hash_embed(spark, folder):
-    docs = spread(tables.load(spark, folder, "documents"))
+    docs = tables.load(spark, folder, "documents")
     cells = docs.select("doc_id", F.posexplode(embed_column(HashingEmbedder(DIM), F.col("text"))).alias("slot", "w"))
     return cells.filter(F.col("w") != 0).select("doc_id", "slot", F.round("w", 6).alias("weight"))
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,9 +43,15 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the cluster's ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a local temporary folder is used.
+    Executors of a cluster do not see the driver's disk, so without that setting this raises. Only a session in a
+    single process (tests, a laptop) gets a local folder, and keeps to it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
@@ -65,16 +75,11 @@ def broadcast_if_few(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out to all cores before heavy per-row work, when the input has fewer files than cores.
-
-    A table of a few files with one large row group each would otherwise be parsed, hashed or embedded
-    on one core. With many files, as in any large table, the input comes back unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores)
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """An equi-join on columns of the same names in which nulls meet nulls; the left side's keys stay."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def local_rows(spark: SparkSession, rows: list[tuple], ddl: str | T.StructType) -> DataFrame:

@@ -52,6 +52,18 @@ def wrap_envelope(schema_id: Column, body: Column) -> Column:
     return F.concat(F.unhex(F.lit("00")), F.unhex(F.lpad(F.hex(schema_id.cast("long")), 8, "0")), body)
 
 
+def is_json_object(text: Column) -> Column:
+    """Whether the whole text is one JSON object, by the parser that reads it later.
+
+    That parser stops after the first value; inside brackets of two kinds nothing may follow it.
+    """
+    alone = F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT")
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    single = listed.isNotNull() & named.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.coalesce(alone & single, F.lit(False))
+
+
 def decode(raw: DataFrame, registry: DataFrame) -> DataFrame:
     """Decode framed records with JSON bodies into events; nothing is lost.
 
@@ -68,8 +80,7 @@ def decode(raw: DataFrame, registry: DataFrame) -> DataFrame:
         .withColumn("schema_id", schema_id)
         .withColumn("text", body.cast("string"))
     )
-    # The names of the outermost object; null unless the whole body is one well-formed object.
-    is_object = F.is_valid_utf8("text") & F.json_object_keys("text").isNotNull()
+    is_object = F.is_valid_utf8("text") & is_json_object(F.col("text"))
     joined = framed.join(known, F.col("schema_id") == F.col("known_id"), "left")
     error = (
         F.when((F.length("value") < 5) | (F.col("magic") != "00"), F.lit("record is not framed by a schema registry"))

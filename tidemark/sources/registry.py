@@ -19,8 +19,8 @@ SUBJECT_SUFFIX = "-value"
 
 
 def latest(registry: DataFrame) -> DataFrame:
-    """The newest version per subject, with its topic and schema fingerprint."""
-    newest = registry.groupBy("subject").agg(
+    """The newest version per topic's value subject, with its schema fingerprint; other subjects name no topic."""
+    newest = registry.filter(F.col("subject").endswith(SUBJECT_SUFFIX)).groupBy("subject").agg(
         F.max_by(F.struct("version", "schema_id", "schema_json"), F.col("version")).alias("s")
     )
     topic = F.regexp_replace("subject", SUBJECT_SUFFIX + "$", "")
