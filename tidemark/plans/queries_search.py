@@ -70,6 +70,15 @@ def search_threshold(spark, folder):
     return _scores(found)
 
 
+@query(
+    f"""WITH {VEC}, s AS (SELECT ref AS event_id, round(list_cosine_similarity(e, {Q_COS}), 9) AS s FROM vec)
+    SELECT event_id, round(s, 6) AS score FROM s ORDER BY s DESC, event_id LIMIT 400"""
+)
+def search_many(spark, folder):
+    """More hits than the cap of the engine this one follows."""
+    return _scores(search.search(tables.vectors(spark, folder), COSINES, 400))
+
+
 def centroids(spark, folder):
     """The mean vector per label: as many queries as labels, from the whole table."""
     cells = tables.load(spark, folder, "embeddings").select("label", F.posexplode("embedding").alias("pos", "x"))
