@@ -286,7 +286,7 @@ def _cut(with_text: bool):
             out = []
             for text, content, of, starts, stops in zip(byte_column(batch.column(1)).to_pylist(), *(batch.column(k).to_pylist() for k in (2, 3, 4, 5))):
                 kept, at, spans, removed = [], 0, 0, 0
-                for a, b in sorted((a, b) for c, a, b in zip(of, starts, stops) if c in (0, content)):
+                for a, b in sorted((a, b) for c, a, b in zip(of or (), starts or (), stops or ()) if c in (0, content)):
                     if a > at or not spans:
                         kept.append(text[at:a])
                         spans += 1
@@ -307,14 +307,13 @@ def _cut(with_text: bool):
     return run
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """doc_id, content, n_bytes, n_removed, n_spans, kept_sha256 and (if asked) ``kept``, the text that is left, of every row.
+def _cut_texts(rows: DataFrame, with_text: bool) -> DataFrame:
+    chosen = rows.select("doc_id", "text", "content", "spans.of", "spans.start", "spans.stop")
+    return chosen.mapInArrow(_cut(with_text), "doc_id long, content long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
-    ``content`` is the 64-bit hash of the text. Null or empty text: 0 bytes, nothing removed. A row with a null id takes no part
-    and keeps all. Rows of one id and different texts are ordered by ``content``; rows of one id and one text are the same
-    place and do not remove each other. ``kept`` is null where nothing was removed; characters cut in part are left out.
-    """
-    rows = id_and_text(docs, id_col, text_col).withColumn("content", F.xxhash64("text"))
+
+def _found(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Per row its size and digest; later copies of whole texts; texts dealt out by document; removed spans per document."""
     known = written(
         rows.select("doc_id", "text", "content").mapInArrow(
             _name_rows, "doc_id long, content long, n_bytes long, digest binary, names array<long>, again array<long>"
@@ -344,10 +343,19 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         _match, "doc_id long, content long, start long, stop long"
     )
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("content").alias("of"), "start", "stop")).alias("spans"))
-    cut = texts.join(spans, "doc_id").select("doc_id", "text", "content", "spans.of", "spans.start", "spans.stop").mapInArrow(
-        _cut(with_text), "doc_id long, content long, n_removed long, n_spans long, kept_sha256 string, kept string"
-    )
-    cut = cut.dropDuplicates(["doc_id", "content"])
+    return known, copies, texts, spans
+
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """doc_id, content, n_bytes, n_removed, n_spans, kept_sha256 and (if asked) ``kept``, the text that is left, of every row.
+
+    ``content`` is the 64-bit hash of the text. Null or empty text: 0 bytes, nothing removed. A row with a null id takes no part
+    and keeps all. Rows of one id and different texts are ordered by ``content``; rows of one id and one text are the same
+    place and do not remove each other. ``kept`` is null where nothing was removed; characters cut in part are left out.
+    """
+    rows = id_and_text(docs, id_col, text_col).withColumn("content", F.xxhash64("text"))
+    known, copies, texts, spans = _found(rows)
+    cut = _cut_texts(texts.join(spans, "doc_id"), with_text).dropDuplicates(["doc_id", "content"])
     gone = copies.withColumn("copy", F.lit(True))
     base = known.select("doc_id", "content", "n_bytes", "digest").join(cut, ["doc_id", "content"], "left").join(gone, ["doc_id", "content"], "left")
     copy = F.coalesce("copy", F.lit(False))
@@ -364,11 +372,17 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows that lose bytes and keep nothing but white space are left out; all others stay, with all columns.
     """
-    changed = removals(docs, id_col, text_col, with_text=True).where(F.col("n_removed") > 0)
-    changed = changed.select(F.col("doc_id").alias("__id"), F.col("content").alias("__content"), F.col("kept").alias("__kept")).dropDuplicates(["__id", "__content"])
-    same = (docs[id_col].cast("long") == F.col("__id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__content"))
-    both = docs.join(changed, same, "left").where(F.col("__kept").isNull() | (F.btrim(F.col("__kept"), F.lit(BLANKS)) != ""))
-    new = {text_col: F.coalesce("__kept", docs[text_col].cast("string"))}
+    rows = id_and_text(docs, id_col, text_col).withColumn("content", F.xxhash64("text"))
+    _, copies, texts, spans = _found(rows)
+    # What is left is cut from the texts that are dealt out already; only the narrow columns of ``docs`` meet it.
+    cut = _cut_texts(texts.join(spans, "doc_id", "left"), True).join(copies, ["doc_id", "content"], "left_anti").dropDuplicates(["doc_id", "content"])
+    cut = cut.where((F.col("n_removed") == 0) | (F.btrim("kept", F.lit(BLANKS)) != ""))
+    cut = cut.select(F.col("doc_id").alias("__id"), F.col("content").alias("__content"), F.col("n_removed").alias("__removed"), F.col("kept").alias("__kept"))
+    narrow = docs.where(docs[id_col].isNotNull()).withColumns({"__key": F.xxhash64(F.col(text_col).cast("string")), "__null": F.col(text_col).isNull()}).drop(text_col)
+    same = (F.col(id_col).cast("long") == F.col("__id")) & (F.col("__key") == F.col("__content"))
+    both = narrow.join(cut, same)
+    new = {text_col: F.when(~F.col("__null"), F.col("__kept"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("__kept").isNotNull(), F.length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"])
-    return both.select(*[new.get(c, docs[c]).alias(c) for c in docs.columns])
+        new["n_chars"] = F.when(F.col("__removed") > 0, F.length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    left = both.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return left.unionByName(docs.where(docs[id_col].isNull()).withColumn(text_col, F.col(text_col).cast("string")))
