@@ -127,6 +127,42 @@ def test_license_scan(spark):
     assert all(license_scan.TEMPLATES[k][0] in got[100 + k]["labels"] for k in range(len(texts)))
 
 
+def whole_templates(text):
+    """Labels and best score of every template at every position."""
+    words, labels, best = brute.plain_words(text), set(), 0.0
+    for label, phrase, template in license_scan.TEMPLATES:
+        wanted, key = template.split(), phrase.split()
+        offset = next(k for k in range(len(wanted)) if wanted[k : k + len(key)] == key)
+        for s in range(-len(wanted), len(words)):
+            at = [words[s + k] if 0 <= s + k < len(words) else None for k in range(len(wanted))]
+            if at[offset : offset + len(key)] == key:
+                score = sum(a == w for a, w in zip(at, wanted)) / len(wanted)
+                best = max(best, score)
+                if score >= license_scan.LEAST_SCORE:
+                    labels.add(label)
+    words = f" {' '.join(words)} "
+    return labels | {label for p, label in license_scan.PHRASES.items() if f" {p} " in words}, best
+
+
+def test_files_with_several_notices(spark):
+    """2 to 9 whole notices in one file, and notices far from rarer licence words: as a scan of every position finds."""
+    texts, rows = [t for _, _, t in license_scan.TEMPLATES], []
+    for n in range(2, 10):
+        for first in range(9):
+            chosen = [texts[(first + k * (2 if n < 5 else 1)) % 9] for k in range(n)]
+            rows.append((len(rows), f" {prose(900 + len(rows), 30)}. ".join(chosen)))
+    rare = "Mozilla, commons; attribution creative gnu foundation redistribution sublicense fee granted isc"
+    rows += [(1000 + k, f"{rare} {prose(k, 40)} {t} {prose(40 + k, 40)} {rare}") for k, t in enumerate(texts)]
+    # Frequencies of the licence words differ from table to table; with these, later templates have the commoner words.
+    rank = {w: n for n, w in enumerate(dict.fromkeys(w for t in texts for w in t.split()))}
+    for counts in (None, rank, {w: -n for w, n in rank.items()}):
+        got = by_id(license_scan.scan(documents(spark, rows), counts=counts))
+        for i, text in rows:
+            labels, score = whole_templates(text)
+            assert got[i]["labels"] == ",".join(sorted(labels)), (i, counts is None)
+            assert abs(got[i]["score"] - score) < 1e-12
+
+
 def test_license_odd_tables(spark):
     assert license_scan.scan(documents(spark, [])).collect() == []
     got = license_scan.scan(documents(spark, [(None, "mit license"), (1, None), (1, "mit license"), (1, "mit license")])).collect()

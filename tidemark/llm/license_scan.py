@@ -4,9 +4,9 @@ Two passes of column expressions, without a shuffle of documents:
 
 1. Document frequencies of all licence words over all documents (one small aggregate). Each template is indexed by its
    ``INDEXED`` words of highest inverse document frequency, with their places in the template.
-2. Per file: its ``LOOKED_UP`` indexed words of highest inverse document frequency are looked up. Every occurrence
-   votes, for each place of that word in a template, for the word position at which the template would start; starts
-   with two votes or more are candidates. A candidate counts if the template's key phrase stands at its place, and its
+2. Per file: all its indexed words are looked up (a file may hold every template). Every occurrence votes, for each
+   place of that word in a template, for the word position at which the template would start; starts with two votes
+   or more are candidates. A candidate counts if the template's key phrase stands at its place, and its
    score is the share of the template's words that stand at theirs.
 
 The index is a constant of a few dozen words, so nothing that grows with the data is broadcast.
@@ -37,7 +37,9 @@ TEMPLATES = (
     ("isc", "permission to use copy modify and or distribute", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("cc", "creative commons attribution", "this work is licensed under a creative commons attribution"),
 )
-INDEXED, LOOKED_UP, LEAST_SCORE = 4, 8, 0.6
+INDEXED, LEAST_SCORE = 4, 0.6
+#: Words of one file that are looked up: as many as the index can hold, that is all of them.
+LOOKED_UP = INDEXED * len(TEMPLATES)
 
 
 def _vocabulary() -> list[str]:
@@ -117,11 +119,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts
     rows = id_and_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     indexed, templates = _index(frequencies(rows) if counts is None else counts)
     rows = rows.withColumn("words", plain_words(ascii_lower(F.col("text"))))
-    top = F.slice(F.array_intersect(F.array(*[F.lit(w) for w in indexed]), "words"), 1, LOOKED_UP)
+    top = F.array_intersect(F.array(*[F.lit(w) for w in indexed]), "words")
     rows = rows.select("doc_id", "words", F.size("words").cast("long").alias("n_words"), top.alias("top"),
                        *[_starts("words", p).alias(f"base_{k}") for k, p in enumerate(PHRASES)])
     looked = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains("top", at("words", i)))
-    rows = rows.withColumn("places", F.when(F.size("top") > 1, looked).otherwise(F.array().cast("array<int>")))
+    rows = rows.withColumn("places", F.when(F.size("top") > 0, looked).otherwise(F.array().cast("array<int>")))
     some = F.size("places") > 1
     rows = rows.withColumn("votes", F.when(some, F.array(*[_votes(t) for t in templates])))
     rows = rows.withColumn("starts", F.transform("votes", _supported))
