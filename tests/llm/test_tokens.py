@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
@@ -62,6 +63,32 @@ def test_counts(spark, word_library):
         assert (got[i]["n_bytes"], got[i]["n_tokens"], got[i]["over_limit"]) == (len((text or "").encode()), n, n > 300)
 
 
+def test_counts_of_mixed_texts(word_library):
+    """A character that is no plain one sends its piece to the library, not the text; only special strings send a text."""
+    texts = mixed_texts(400) + ["It’s a — Привет мир, 日本語 text’s and plain words " * 3, "Ɔa xyzƎa ȺB İstanbul ΑΣ ΑΣ ́x e\u0301 a\u0300\u0327",
+                                "日" * 500 + " end", "odd’ <|endoftext|> one", "<|END’", "K<|endoftext|>’"]
+    n = [len(word_library.encode(t, add_special_tokens=False).ids) for t in texts]
+    whole: list[str] = []
+    library = WordBpe.library
+
+    def seen(self, text):
+        whole.append(text)
+        return library(self, text)
+
+    class Table:
+        value = {"привет": len(word_library.encode("привет", add_special_tokens=False).ids), "words": len(word_library.encode("words", add_special_tokens=False).ids)}
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(WordBpe, "library", seen)
+        patch.setattr(token_counts, "worker_state", lambda key, build: build())
+        batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts, "n_bytes": pa.array([0] * len(texts), pa.int64())})
+        [out] = token_counts._counts(WORDS, Table, 10)(iter([batch]))
+    assert out.column(2).to_pylist() == n
+    blank = set(" \t\n\x0b\x0c\r")
+    assert {t for t in whole if blank & set(t)} == {t for t in texts if "<|endoftext|>" in t and " " in t}
+    assert max(whole.count(t) for t in whole if t in ("—", "It’s", "text’s")) == 1
+
+
 def test_round_trip(spark, piece_library):
     rows = corpus()
     trip = sentence_pieces.round_trip(documents(spark, rows), MODEL)
