@@ -15,3 +15,9 @@ def test_query(spark, data, name):
 
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(queries()) and set(ORACLES) <= set(oracle_sql())
+
+
+def test_rules_read_a_stored_ledger(spark, data):
+    for name in ("op3_quality_rules", "op3_rule_ablation"):
+        files = QUERIES[name](spark, data).inputFiles()
+        assert files and all("quality-ledger" in f for f in files), name

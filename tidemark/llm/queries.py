@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat_format, decontaminate, license_scan, near_dedup, quality_rules, repeats, sentence_pieces, site_classifier, token_counts, token_files
-from tidemark.llm.common import shared_folder, table
+from tidemark.llm.common import shared_folder, table, written
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -24,14 +24,25 @@ def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _stored_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    return written(quality_rules.ledger(table(spark, folder, "documents")), "quality-ledger")
+
+
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    rows = quality_rules.decide(quality_rules.ledger(table(spark, folder, "documents")))
+    rows = quality_rules.decide(_stored_ledger(spark, folder))
     base = F.col("failed").bitwiseAND(F.lit(quality_rules.BASE.mask)) != 0
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed"
     )
 
 
+def op3_rule_ablation(spark: SparkSession, folder: str) -> DataFrame:
+    """Both policies' ablations from one stored ledger."""
+    rows = _stored_ledger(spark, folder)
+    base, full = (quality_rules.ablation(rows, p).withColumn("policy", F.lit(p.version)) for p in (quality_rules.BASE, quality_rules.DEFAULT))
+    return base.unionByName(full).select("policy", "rule", "n_failed", "n_only_this")
+
+
 def op4_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return sentence_pieces.digests(sentence_pieces.round_trip(table(spark, folder, "documents"), PIECE_MODEL))
 
@@ -68,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_near_dedup": op2_near_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op3_rule_ablation": op3_rule_ablation,
     "op4_sentence_pieces": op4_sentence_pieces,
     "op5_chat_format": op5_chat_format,
     "op6_token_files": op6_token_files,
@@ -134,3 +146,9 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN s ON d.doc_id = s.doc_id""",
 }
+
+ORACLES["op3_rule_ablation"] = f"""
+WITH f AS (SELECT failed FROM ({ORACLES["op3_quality_rules"]})), p(policy, mask) AS (VALUES ('base-1', 3), ('full-1', 63)),
+u(rule, bit) AS (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('repeated_lines', 8), ('word_length', 16), ('shouting', 32))
+SELECT policy, rule, count(*) FILTER (WHERE (failed & bit) <> 0) AS n_failed, count(*) FILTER (WHERE (failed & mask) = bit) AS n_only_this
+FROM f, p, u WHERE (mask & bit) <> 0 GROUP BY policy, rule"""
