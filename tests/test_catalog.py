@@ -316,3 +316,21 @@ def test_loop(spark, tmp_path):
     refresh = job(spark, tmp_path)
     catalog.refresh_loop(refresh, ["orders"], 0.0, cycles=2)
     assert refresh.tables.read("topics").count() == 1
+
+
+def test_fields_of_every_event_type(spark, data, tmp_path):
+    """An event type that no list names has its fields in the catalog and its rows in explain_field."""
+    from check import TABLES, compare, connect
+    from tidemark.plans import queries_catalog
+
+    for name in TABLES:
+        if name != "events":
+            (tmp_path / f"{name}.parquet").symlink_to(f"{data}/{name}.parquet")
+    events = spark.read.parquet(f"{data}/events.parquet")
+    other = F.when(F.col("event_id") % 3 == 0, "refund").otherwise(F.col("event_type"))
+    events.withColumn("event_type", other).write.parquet(f"file://{tmp_path}/events.parquet")
+    con = connect(data)
+    con.execute(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("catalog_view", "describe_topic", "explain_field"):
+        ok, note = compare(con, queries_catalog.QUERIES[name](spark, str(tmp_path)), queries_catalog.ORACLES[name])
+        assert ok, (name, note)

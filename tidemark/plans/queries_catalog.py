@@ -40,8 +40,8 @@ EVENT_FIELDS = "event_id,props,props.k,user_id,value"
 
 def _event_fields(spark, folder):
     ev = tables.events(spark, folder)
-    shape = ev.schema["value"].dataType
-    return registry.fields_of(spark, {t: shape for t in ("click", "error", "purchase", "signup", "view")})
+    fields = registry.fields_of(spark, {"": ev.schema["value"].dataType}).drop("topic")
+    return ev.select("topic").distinct().crossJoin(F.broadcast(fields))
 
 
 def _samples(spark, folder):
