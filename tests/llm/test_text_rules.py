@@ -61,7 +61,7 @@ def test_contamination_by_shuffle(spark, monkeypatch):
     rows = corpus()
     items = [(1, " ".join(rows[5][1].split()[:14]))]
     one = by_id(decontaminate.report(documents(spark, rows), items_of(spark, items)))
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
     assert by_id(decontaminate.report(documents(spark, rows), items_of(spark, items))) == one
 
 

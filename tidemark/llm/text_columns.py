@@ -28,6 +28,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.regexp_like(text, F.lit(_OTHER_CASE)), F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
 
 
+def plain_lower(text: Column) -> Column:
+    """A-Z in lower case, all else as it is; for few or short texts."""
+    return F.translate(text, _UPPER, _LOWER)
+
+
 def plain_words(lowered: Column) -> Column:
     """Words of letters, digits and non-ASCII characters of a text in lower case."""
     return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
