@@ -268,7 +268,10 @@ def _rest_links(members: DataFrame, sets: DataFrame, first: DataFrame, percent:
 
 
 def keep_one(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all columns, whose document is the first of its component (or has no id)."""
+    """The rows of ``docs``, with all columns, whose document is the first of its component (or has no id).
+
+    The ids that go are written first, so that their size decides how they meet the documents.
+    """
     dropped = link_components(docs, percent, id_col, text_col).where(F.col("doc_id") != F.col("component_id"))
-    gone = dropped.select(F.col("doc_id").alias("__gone")).distinct()
+    gone = written(dropped.select(F.col("doc_id").alias("__gone")).distinct(), "later-copies")
     return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")

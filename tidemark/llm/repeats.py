@@ -280,24 +280,35 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _removed(pa.Table.from_batches(held).combine_chunks())
 
 
+def _left(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
+    """What is left of a text without the spans, the bytes removed, and the number of maximal runs of these."""
+    kept, at, runs, removed = [], 0, 0, 0
+    for a, b in sorted(spans):
+        if a > at or not runs:
+            kept.append(text[at:a])
+            runs += 1
+            removed += b - a
+            at = b
+        elif b > at:
+            removed += b - at
+            at = b
+    kept.append(text[at:])
+    return b"".join(kept), removed, runs
+
+
+def _marked(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
+    """Text and removed spans of every row; the batch has doc_id, text, content, of, start, stop."""
+    for text, content, of, starts, stops in zip(byte_column(batch.column(1)).to_pylist(), *(batch.column(k).to_pylist() for k in (2, 3, 4, 5))):
+        yield text or b"", [(a, b) for c, a, b in zip(of or (), starts or (), stops or ()) if c in (0, content)]
+
+
 def _cut(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             out = []
-            for text, content, of, starts, stops in zip(byte_column(batch.column(1)).to_pylist(), *(batch.column(k).to_pylist() for k in (2, 3, 4, 5))):
-                kept, at, spans, removed = [], 0, 0, 0
-                for a, b in sorted((a, b) for c, a, b in zip(of or (), starts or (), stops or ()) if c in (0, content)):
-                    if a > at or not spans:
-                        kept.append(text[at:a])
-                        spans += 1
-                        removed += b - a
-                        at = b
-                    elif b > at:
-                        removed += b - at
-                        at = b
-                kept.append((text or b"")[at:])
-                rest = b"".join(kept)
-                out.append((removed, spans, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_text else None))
+            for text, spans in _marked(batch):
+                rest, removed, runs = _left(text, spans)
+                out.append((removed, runs, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_text else None))
             columns = list(zip(*out)) if out else [[]] * 4
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays(
@@ -307,6 +318,25 @@ def _cut(with_text: bool):
     return run
 
 
+#: Start of a mark that stands for the whole text: a later exact copy.
+COPY = -1
+
+
+def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with what is left of their texts; later copies of whole texts are left out."""
+    for batch in blocks(batches):
+        stay, kept, removed = [], [], []
+        for i, (text, spans) in enumerate(_marked(batch)):
+            if any(a == COPY for a, _ in spans):
+                continue
+            rest, n, _ = _left(text, spans)
+            stay.append(i)
+            kept.append(rest.decode("utf-8", "ignore"))
+            removed.append(n)
+        rest = batch.column(6).take(pa.array(stay, pa.int64()))
+        yield pa.RecordBatch.from_arrays([rest, pa.array(kept, pa.string()), pa.array(removed, pa.int64())], ["rest", "kept", "n_removed"])
+
+
 def _cut_texts(rows: DataFrame, with_text: bool) -> DataFrame:
     chosen = rows.select("doc_id", "text", "content", "spans.of", "spans.start", "spans.stop")
     return chosen.mapInArrow(_cut(with_text), "doc_id long, content long, n_removed long, n_spans long, kept_sha256 string, kept string")
@@ -334,18 +364,23 @@ def _found(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]
     repeated = seen.where(F.col("low") != F.col("high")).select("name", (F.col("n") > HOT).alias("hot"))
     asked = named.select("doc_id", F.explode("names").alias("name")).join(repeated, "name")
     wanted = asked.groupBy("doc_id").agg(F.collect_set(F.struct("name", "hot")).alias("names")).join(ids.where(~F.col("done")), "doc_id")
-    texts = rows.where(F.col("doc_id").isNotNull()).select("doc_id", "content", "text").repartition("doc_id")
-    sent = texts.join(wanted, "doc_id").select("doc_id", "text", "content", "names", "several").mapInArrow(
+    # Whatever else the rows carry goes along in both uses, so that both read one exchange.
+    others = [c for c in rows.columns if c not in ("doc_id", "content", "text")]
+    texts = rows.where(F.col("doc_id").isNotNull()).select("doc_id", "content", "text", *others).repartition("doc_id")
+    sent = texts.join(wanted, "doc_id").select("doc_id", "text", "content", "names", "several", *others).mapInArrow(
         _send, "route long, doc_id long, content long, start long, n long, bytes binary"
     )
     # Spans found on the spot all have route 0; they are dealt out by place.
     spans = sent.repartition(F.when(F.col("bytes").isNull(), F.xxhash64("doc_id", "start")).otherwise(F.col("route"))).sortWithinPartitions("route").mapInArrow(
         _match, "doc_id long, content long, start long, stop long"
     )
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("content").alias("of"), "start", "stop")).alias("spans"))
     return known, copies, texts, spans
 
 
+def _by_document(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("content").alias("of"), "start", "stop")).alias("spans"))
+
+
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, content, n_bytes, n_removed, n_spans, kept_sha256 and (if asked) ``kept``, the text that is left, of every row.
 
@@ -355,7 +390,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """
     rows = id_and_text(docs, id_col, text_col).withColumn("content", F.xxhash64("text"))
     known, copies, texts, spans = _found(rows)
-    cut = _cut_texts(texts.join(spans, "doc_id"), with_text).dropDuplicates(["doc_id", "content"])
+    cut = _cut_texts(texts.join(_by_document(spans), "doc_id"), with_text).dropDuplicates(["doc_id", "content"])
     gone = copies.withColumn("copy", F.lit(True))
     base = known.select("doc_id", "content", "n_bytes", "digest").join(cut, ["doc_id", "content"], "left").join(gone, ["doc_id", "content"], "left")
     copy = F.coalesce("copy", F.lit(False))
@@ -370,19 +405,24 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with what is left of each text, ``n_chars`` (where there is such a column) counted anew.
 
-    Rows that lose bytes and keep nothing but white space are left out; all others stay, with all columns.
+    Rows that lose bytes and keep nothing but white space are left out, later exact copies among them; all others stay, with
+    all columns. Null texts stay null; rows with a null id take no part and stay; repeated rows (one id, one text) are the
+    same place, and each stays as the one does. An empty table gives an empty one.
+
+    Later copies and removed spans, both narrow, meet each document in one join, and its other columns travel with its text, so
+    that the texts are shuffled once and nothing is joined after they have been cut.
     """
-    rows = id_and_text(docs, id_col, text_col).withColumn("content", F.xxhash64("text"))
+    narrow = [c for c in docs.columns if c != text_col]
+    rest = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(narrow)], docs[text_col].isNull().alias("is_null")).alias("rest")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), rest).withColumn("content", F.xxhash64("text"))
     _, copies, texts, spans = _found(rows)
-    # What is left is cut from the texts that are dealt out already; only the narrow columns of ``docs`` meet it.
-    cut = _cut_texts(texts.join(spans, "doc_id", "left"), True).join(copies, ["doc_id", "content"], "left_anti").dropDuplicates(["doc_id", "content"])
+    whole = copies.select("doc_id", "content", F.lit(COPY).cast("long").alias("start"), F.lit(0).cast("long").alias("stop"))
+    marked = texts.join(_by_document(spans.unionByName(whole)), "doc_id", "left")
+    kind = rows.schema["rest"].dataType.simpleString()
+    cut = marked.select("doc_id", "text", "content", "spans.of", "spans.start", "spans.stop", "rest").mapInArrow(_cut_rows, f"rest {kind}, kept string, n_removed long")
     cut = cut.where((F.col("n_removed") == 0) | (F.btrim("kept", F.lit(BLANKS)) != ""))
-    cut = cut.select(F.col("doc_id").alias("__id"), F.col("content").alias("__content"), F.col("n_removed").alias("__removed"), F.col("kept").alias("__kept"))
-    narrow = docs.where(docs[id_col].isNotNull()).withColumns({"__key": F.xxhash64(F.col(text_col).cast("string")), "__null": F.col(text_col).isNull()}).drop(text_col)
-    same = (F.col(id_col).cast("long") == F.col("__id")) & (F.col("__key") == F.col("__content"))
-    both = narrow.join(cut, same)
-    new = {text_col: F.when(~F.col("__null"), F.col("__kept"))}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("__removed") > 0, F.length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    left = both.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    new = {c: F.col(f"rest.c{i}") for i, c in enumerate(narrow)} | {text_col: F.when(~F.col("rest.is_null"), F.col("kept"))}
+    if "n_chars" in narrow:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(new["n_chars"])
+    left = cut.select(*[new[c].alias(c) for c in docs.columns])
     return left.unionByName(docs.where(docs[id_col].isNull()).withColumn(text_col, F.col(text_col).cast("string")))
