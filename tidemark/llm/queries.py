@@ -8,8 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, decontaminate, license_scan, near_dedup, quality_rules, repeats, sentence_pieces, site_classifier, token_counts, token_files
+from tidemark.llm import (
+    chat_format, decontaminate, license_scan, merkle_manifest, near_dedup, quality_rules, repeats, sentence_pieces, site_classifier, token_counts, token_files, warc,
+    whitening,
+)
 from tidemark.llm.common import shared_folder, table, written
+from tidemark.llm.manifest_sql import manifest_sql
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -75,6 +79,21 @@ def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.removals(table(spark, folder, "documents")).drop("content", "kept")
 
 
+def op11_warc_segments(spark: SparkSession, folder: str) -> DataFrame:
+    out = shared_folder(spark, "warc")
+    warc.write_archives(table(spark, folder, "pages"), out)
+    return warc.read_archives(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings")).drop("deviation_exact")
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    rows = merkle_manifest.manifest(table(spark, folder, "documents"))
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_near_dedup": op2_near_dedup,
@@ -87,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_license_scan": op9_license_scan,
     "op10_repeats": op10_repeats,
+    "op11_warc_segments": op11_warc_segments,
+    "op12_whitening": op12_whitening,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 _ALL_WORDS = """
 w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)"""
@@ -147,6 +169,18 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN s ON d.doc_id = s.doc_id""",
 }
 
+ORACLES["op13_merkle_manifest"] = manifest_sql()
+
+# Base32 five bits at a time: a digest has 160.
+ORACLES["op11_warc_segments"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+b AS (SELECT *, list_aggregate(list_transform(range(20), lambda i: lpad(bin(('0x' || substr(sha1(t), 2 * i + 1, 2))::INT), 8, '0')), 'string_agg', '') AS bits FROM p)
+SELECT page_id, strlen(t)::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + list_sum(list_transform(range(5), lambda k: substr(bits, 5 * i + k + 1, 1)::INT * (16 >> k)))::INT, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b"""
+
 ORACLES["op3_rule_ablation"] = f"""
 WITH f AS (SELECT failed FROM ({ORACLES["op3_quality_rules"]})), p(policy, mask) AS (VALUES ('base-1', 3), ('full-1', 63)),
 u(rule, bit) AS (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('repeated_lines', 8), ('word_length', 16), ('shouting', 32))
