@@ -166,6 +166,50 @@ def test_sparse_sites_shrink(spark):
     assert priors["b", "big"].shift_quality < priors["a", "one"].shift_quality
 
 
+def plain_posteriors(rows):
+    """Posterior (quality, toxic) by doc_id from (doc_id, host, path, z_quality, z_toxic), with all sums in numpy."""
+    out = {i: [] for i, *_ in rows}
+    odds = lambda p: np.log(np.clip(p, 1e-6, 1 - 1e-6) / (1 - np.clip(p, 1e-6, 1 - 1e-6)))
+
+    def sums(keys, p):
+        return {k: (keys.count(k), sum(x for a, x in zip(keys, p) if a == k), sum(x * x for a, x in zip(keys, p) if a == k)) for k in set(keys)}
+
+    def strength(groups):
+        n, total, squares = (sum(g[j] for g in groups.values()) for j in range(3))
+        of_means = sum(s * s / m for m, s, _ in groups.values()) / n
+        spread, inside = of_means - (total / n) ** 2, squares / n - of_means
+        return min(max(inside, 1e-9) / max(spread - inside * len(groups) / n, 1e-6), 1e6)
+
+    for t in (3, 4):
+        p = [1 / (1 + np.exp(-r[t])) for r in rows]
+        hosts, paths = sums([r[1] for r in rows], p), sums([(r[1], r[2]) for r in rows], p)
+        whole, of_host, of_path = sum(p) / len(p), strength(hosts), strength(paths)
+        for i, host, path, *z in rows:
+            n, s, _ = hosts[host]
+            prior = (s + of_host * whole) / (n + of_host)
+            n, s, _ = paths[host, path]
+            shift = odds((s + of_path * prior) / (n + of_path)) - odds(whole)
+            out[i].append(1 / (1 + np.exp(-(z[t - 3] + shift))))
+    return out
+
+
+def test_classifier_against_plain_version(spark):
+    pick, rows, labels = random.Random(4), [], []
+    for i in range(240):
+        bad = i % 7 == 3 or i % 3 == 0 and i < 90
+        text = prose(7000 + i, 50) + (" nasty vile" if bad else "")
+        rows.append((i, text, pick.choice(["en", "de"]), None if i % 11 == 0 else f"src{0 if i < 90 else i % 40}"))
+        labels.append((i, int(i % 5 > 0), int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    known = spark.createDataFrame(labels[:150], "doc_id long, quality int, toxic int")
+    got = by_id(site_classifier.classify(docs, known, docs["source"], docs["lang"]))
+    model = site_classifier.train(docs, known)
+    scored = [tuple(r) for r in site_classifier.evidence(docs, model, docs["source"], docs["lang"]).collect()]
+    for i, (quality, toxic) in plain_posteriors(scored).items():
+        assert abs(got[i]["quality"] - quality) < 2e-6 and abs(got[i]["toxic"] - toxic) < 2e-6, i
+        assert got[i]["kept"] == (got[i]["quality"] > 0.5 and got[i]["toxic"] < 0.5)
+
+
 def test_classifier_odd_tables(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     empty = documents(spark, [])
@@ -203,3 +247,28 @@ def test_pipeline_against_plain_version(spark, tmp_path):
     got = by_id(corpus_pipeline.run(spark, str(tmp_path)))
     assert {i: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for i, r in got.items()} == want
     assert 10 < len(want) < len(rows)
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None), (2, ""), (None, None)], None])
+def test_pipeline_on_odd_tables(spark, tmp_path, rows):
+    """Empty tables, an empty benchmark, null ids and repeated rows: rows without an id pass the stages that compare documents."""
+    import corpus_pipeline
+
+    long = [prose(8000 + k, 120) for k in range(3)]
+    rows = rows if rows is not None else [(1, long[0]), (1, long[0]), (None, long[1]), (None, long[1]), (3, long[2]), (4, long[2]), (5, None)]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(str(r.doc_id) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == (["1", "1", "3", "None", "None"] if len(rows) == 7 else [])
+
+
+def test_without_repeats_odd_tables(spark):
+    assert repeats.without_repeats(documents(spark, [])).collect() == []
+    passage = prose(77, 50)
+    rows = [(2, f"{prose(1, 30)} {passage}"), (2, f"{prose(1, 30)} {passage}"), (None, passage), (3, passage), (1, f"{prose(2, 30)} {passage} end"), (4, None), (4, ""), (5, "short"), (6, "short")]
+    got = sorted(((r.doc_id, r.text, r.n_chars, r.source) for r in repeats.without_repeats(documents(spark, rows)).collect()), key=repr)
+    first = f"{prose(2, 30)} {passage} end"
+    cut = next(t for i, t, *_ in got if i == 2)
+    assert f"{prose(1, 30)} {passage}".startswith(cut) and len(cut) <= len(prose(1, 30)) + 1
+    want = [(None, passage), (1, first), (2, cut), (2, cut), (4, None), (4, ""), (5, "short"), (6, "short")]
+    assert got == sorted(((i, t, len(t or ""), "src0") for i, t in want), key=repr)
