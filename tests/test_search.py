@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import ids
 from tidemark.operators import embedding, search
 from tidemark.operators.embedding import HashingEmbedder, embed_column
+from tidemark.plans import store, vector_index
 from tidemark.sources import tables
 
 DDL = "topic string, partition int, offset long, timestamp_ms long, key string, value_json string, embedding array<float>"
@@ -77,11 +80,41 @@ def test_batch_in_several_passes(spark, data, monkeypatch):
     df = tables.vectors(spark, data)
     queries = df.filter("offset < 40").select(ids.event_id().alias("query_id"), F.col("embedding").alias("vector"))
     whole = sorted(tuple(r) for r in search.search_batch(df, queries, 3).collect())
-    monkeypatch.setattr(search, "QUERY_BYTES_PER_PASS", 64 * 16 * 5)
+    # Many groups, blocks of five queries, pieces of seven vectors.
+    for name, value in (("GROUP_BYTES", 64 * 8 * 30), ("QUERY_BLOCK_BYTES", 64 * 8 * 5), ("PIECE_ROWS", 7)):
+        monkeypatch.setattr(search, name, value)
     assert sorted(tuple(r) for r in search.search_batch(df, queries, 3).collect()) == whole
     assert len(whole) == 120
 
 
+def test_batch_brings_nothing_to_the_driver(spark, data, monkeypatch):
+    """Queries stay rows: planning collects numbers only, and no broadcast holds them."""
+    df = tables.vectors(spark, data)
+    queries = df.select(ids.event_id().alias("query_id"), F.col("embedding").alias("vector"))
+    collect, sizes = type(df).collect, []
+
+    def counted(self):
+        rows = collect(self)
+        sizes.append(len(rows) * len(self.columns))
+        return rows
+
+    monkeypatch.setattr(type(df), "collect", counted)
+    out = search.search_batch(df, queries, 2)
+    monkeypatch.undo()
+    assert sizes == [1]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+    assert out.count() == 2 * df.count()
+
+
+def test_batch_odd_rows(spark, few):
+    queries = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", []), (None, [0.0, 1.0]), ("a2", [0.0, 0.0])], "query_id string, vector array<double>")
+    got = search.search_batch(few, queries, 2, with_vectors=True).collect()
+    best = {(r.query_id, r["rank"]): (r.event_id, r.embedding) for r in got}
+    assert best["a", 1] == ("clicks:0:6", [1.0, 0.0]) and best[None, 1] == ("clicks:0:4", [0.0, 1.0])
+    assert {q for q, _ in best} == {"a", None, "a2"} and best["a2", 1][0] == "clicks:0:4"
+    assert search.search_batch(few.limit(0), queries, 2).collect() == [] and search.search_batch(few, queries.limit(0), 2).collect() == []
+
 def test_batch_with_many_equal_vectors(spark):
     """A group of copies larger than a batch: the smallest ids win, none is lost."""
     df = spark.range(20_000).select(
@@ -136,7 +169,8 @@ def test_diverse_search(spark, data):
     vector = [1.0] + [0.0] * 63
     plain = search.search(df, vector, 15).collect()
     diverse = search.search(df, vector, 5, diverse=True).collect()
-    assert len(diverse) == 5 and {r.event_id for r in diverse} <= {r.event_id for r in plain} and diverse[0] == plain[0]
+    assert len(diverse) == 5 and {r.event_id for r in diverse} <= {r.event_id for r in plain} and diverse[0].event_id == plain[0].event_id
+    assert [r["rank"] for r in diverse] == [1, 2, 3, 4, 5]
     queries = spark.createDataFrame([(0, vector)], "query_id int, vector array<double>")
     batch = search.search_batch_diverse(df, queries, 5).orderBy("rank").collect()
     assert [r.event_id for r in batch] == [r.event_id for r in diverse]
@@ -163,6 +197,109 @@ def test_pruned_search_skips_rows(spark):
     assert [r.offset for r in out.collect()] == [0, 1, 2, 3, 4]
 
 
+# -- vector index ----------------------------------------------------------------------------------
+
+
+def clustered(spark, n, seed=3, dim=8, clusters=10):
+    """Tight groups of vectors far from each other, with some that have no angle."""
+    pick = np.random.default_rng(seed)
+    middles = pick.normal(size=(clusters, dim)) * 10
+    rows = [("t", i, json.dumps({"n": i}), (middles[i % clusters] + pick.normal(size=dim) * 0.2).tolist()) for i in range(n)]
+    rows += [("t", n, "{}", [0.0] * dim), ("t", n + 1, "{}", None)]
+    return store.stored_form(events(spark, rows), block_rows=1000), middles
+
+
+def files_and_rows(df):
+    """Files and rows that the scans of the cells read when the plan runs."""
+    df.collect()
+    plan, found = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(node):
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            return walk(node.executedPlan())
+        if node.nodeName().startswith(("ShuffleQueryStage", "BroadcastQueryStage", "TableCacheQueryStage")):
+            return walk(node.plan())
+        if node.nodeName().startswith("Scan parquet"):
+            m = node.metrics()
+            found.append((m.apply("numFiles").value(), m.apply("numOutputRows").value()))
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(plan)
+    return tuple(map(sum, zip(*found)))
+
+
+def found_in(df, vector, k):
+    return [(r.event_id, r.score) for r in search.search(df, vector, k).collect()]
+
+
+def test_stored_cells_are_exact_and_read_less(spark, tmp_path):
+    path = str(tmp_path / "table")
+    rows, middles = clustered(spark, 4000)
+    store.upsert(rows, path)
+    vector_index.create(spark, path, 12, block_bytes=16_384)
+    assert len(vector_index.pivots(spark, path)) == 12
+    table = store.read(spark, path)
+    for vector in (*middles[:3].tolist(), (middles[0] + 0.1).tolist()):
+        got = vector_index.search_table(spark, path, vector, 15).collect()
+        assert [(r.event_id, r.score) for r in got] == found_in(table, vector, 15)
+        assert json.loads(got[0].value_json)["n"] == got[0].offset
+    whole = vector_index.entries(spark, path)
+    files, read = files_and_rows(vector_index.find(spark, path, middles[1].tolist(), 15))
+    all_files, all_read = files_and_rows(whole)
+    assert files <= 3 < all_files and read < all_read / 4 and all_read == 4002
+    # Only some of a cell's row groups, where the range of radii is narrow.
+    cell = whole.filter(F.col("cell") >= 0).groupBy("cell").count().orderBy(F.desc("count")).first().cell
+    radii = [r.radius for r in whole.filter(F.col("cell") == cell).orderBy("radius").collect()]
+    part = whole.filter((F.col("cell") == cell) & F.col("radius").between(radii[0], radii[5])).select("radius", "embedding")
+    assert files_and_rows(part)[1] < len(radii)
+
+
+def test_index_follows_the_table(spark, tmp_path):
+    """New events, events embedded anew, a replay, and a form that was replaced twice."""
+    path = str(tmp_path / "table")
+    rows, middles = clustered(spark, 300)
+    store.upsert(rows.filter("offset < 200"), path)
+    vector_index.create(spark, path, 6)
+    store.upsert(rows.filter("offset >= 150"), path)
+    moved = rows.filter("offset IN (3, 13, 250)")
+    for far in (5, 4):
+        store.upsert(moved.withColumn("embedding", F.array(*[F.lit(float(x)) for x in middles[far]]).cast("array<float>")), path)
+    table = store.read(spark, path)
+    assert table.count() == 302 == vector_index.entries(spark, path).count()
+    for vector in (middles[4], middles[5], middles[3], np.zeros(8), -middles[2]):
+        for k in (5, 400):
+            got = vector_index.search_table(spark, path, vector.tolist(), k).collect()
+            assert [(r.event_id, r.score) for r in got] == found_in(table, vector.tolist(), k)
+    top = [r.event_id for r in vector_index.search_table(spark, path, middles[4].tolist(), 3).collect()]
+    assert top == ["t:0:13", "t:0:250", "t:0:3"]
+
+
+def test_probes_are_measured(spark, tmp_path):
+    path = str(tmp_path / "table")
+    rows, _ = clustered(spark, 2000, seed=8, clusters=25)
+    store.upsert(rows, path)
+    vector_index.create(spark, path, 20)
+    table, hits = store.read(spark, path), 0
+    asked = [r.embedding for r in rows.filter("offset % 100 = 0").collect() if r.embedding]
+    for vector in asked:
+        near = {r.offset for r in vector_index.find(spark, path, vector, 10, probes=4).collect()}
+        hits += len(near & {r.offset for r in search.search(table, vector, 10).collect()})
+    assert hits >= 0.9 * 10 * len(asked)
+
+
+def test_index_needs_a_table(spark, tmp_path):
+    path = str(tmp_path / "none")
+    with pytest.raises(ValueError):
+        vector_index.create(spark, path)
+    with pytest.raises(ValueError):
+        vector_index.find(spark, path, [1.0])
+    store.upsert(clustered(spark, 5)[0], path)
+    vector_index.create(spark, path, 2)
+    with pytest.raises(ValueError):
+        vector_index.create(spark, path)
+
+
 # -- embedders -------------------------------------------------------------------------------------
 
 

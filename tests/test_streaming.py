@@ -1,4 +1,5 @@
 import json
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,17 +36,72 @@ def test_upsert(spark, tmp_path):
     assert store.read(spark, path) is None
     assert store.upsert(stored(spark, first), path, dim=2) == "append"
     before = contents(spark, path)
-    assert store.upsert(stored(spark, first), path) == "rewrite" and contents(spark, path) == before
+    assert store.upsert(stored(spark, first), path) == "replace" and contents(spark, path) == before
     assert store.upsert(stored(spark, [event("007", 30, "n"), event("b", 1, "n")]), path) == "append"
-    assert store.upsert(stored(spark, [event("007", 3, "z"), event("007", 31, "n")]), path) == "rewrite"
+    assert store.upsert(stored(spark, [event("007", 3, "z"), event("007", 31, "n")]), path) == "replace"
+    assert store.upsert(stored(spark, [event("007", 3, "zz")]), path) == "replace"
     after = {(t, o): v for t, o, v in contents(spark, path)}
     assert len(after) == len(contents(spark, path)) == 28
-    assert after["007", 3] == "z" and after["007", 4] == "a" and after["b", 1] == "n"
+    assert after["007", 3] == "zz" and after["007", 4] == "a" and after["b", 1] == "n"
     # Values are filtered through their own column, topics and blocks through folders.
     plan = store.read(spark, path).filter("value_s = 'z' AND topic = '007' AND offset_block = 0")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(value_s,z)" in plan and "PartitionFilters: [isnotnull(topic" in plan
 
 
+def files_below(folder):
+    return {str(p.relative_to(folder)): p.read_bytes() for p in folder.rglob("*.parquet")}
+
+
+def test_nothing_that_was_written_is_touched(spark, tmp_path):
+    path = tmp_path / "events"
+    store.upsert(stored(spark, [event("t", i, "a") for i in range(20)]), str(path))
+    before = files_below(path)
+    store.upsert(stored(spark, [event("t", i, "b") for i in range(5, 30)]), str(path))
+    store.compact(spark, str(path), str(tmp_path / "compact"))
+    after = files_below(path)
+    assert before.items() <= after.items() and len(after) > len(before)
+    assert contents(spark, str(path)) == contents(spark, str(tmp_path / "compact")) == [("t", i, "b" if i >= 5 else "a") for i in range(30)]
+
+
+@pytest.mark.parametrize("arrived", [0, 1, 2])
+def test_a_write_that_dies_half_way(spark, tmp_path, arrived, monkeypatch):
+    """Part of a batch's files become visible, then the job dies; the batch comes again. No row is lost, none is there twice."""
+    path = str(tmp_path / "events")
+    old = [event("t", i, "old") for i in range(30)]
+    store.upsert(stored(spark, old), path)
+    batch = [event("t", i, "new") for i in range(20, 60)]
+    whole, calls = store._append, []
+
+    def dying(rows, folder, bloom):
+        calls.append(folder)
+        if len(calls) <= arrived:
+            # The first block's file of this write is in place, the rest is not.
+            whole(rows.filter("offset_block % 2 = 0"), folder, bloom)
+        if len(calls) == max(1, arrived):
+            raise RuntimeError("lost the driver")
+
+    monkeypatch.setattr(store, "_append", dying)
+    with pytest.raises(RuntimeError):
+        store.upsert(stored(spark, batch), path)
+    monkeypatch.undo()
+    seen = dict(((t, o), v) for t, o, v in contents(spark, path))
+    assert all(("t", i) in seen for i in range(30))
+    store.upsert(stored(spark, batch), path)
+    assert contents(spark, path) == [("t", i, "new" if i >= 20 else "old") for i in range(60)]
+
+
+def test_look_back_lists_only_its_days(spark, tmp_path):
+    path, day = str(tmp_path / "events"), 86_400_000
+    rows = [event("t", i, "a", ts=i * day // 4) for i in range(40)]
+    store.upsert(stored(spark, rows), path)
+    store.upsert(stored(spark, [event("t", 39, "b", ts=39 * day // 4)]), path)
+    now = 10 * day
+    recent = store.read(spark, path, since_ms=now - 3_600_000 * 6)
+    assert {f.split("event_date=")[1][:10] for f in recent.inputFiles()} == {"1970-01-10"}
+    assert [r.value_s for r in recent.filter(f"timestamp_ms >= {now - 3_600_000 * 6}").collect()] == ["b"]
+    assert store.read(spark, path, since_ms=20 * day) is None and store.read(spark, path, until_ms=day).count() == 8
+
+
 def test_last_of_a_batch_wins(spark, tmp_path):
     path = str(tmp_path / "events")
     store.upsert(stored(spark, [event("t", 1, "old", 5), event("t", 1, "new", 9), event("t", 1, "older", 1)]), path)
@@ -57,12 +113,19 @@ def test_wrong_dimension_fails(spark, tmp_path):
         store.upsert(stored(spark, [event("t", 1, "x")]), str(tmp_path / "events"), dim=3)
 
 
-def test_compaction_keeps_all(spark, tmp_path):
-    path, target = str(tmp_path / "events"), str(tmp_path / "compact")
-    for i in range(3):
-        store.upsert(stored(spark, [event("t", i, "x"), event("u", i, "x")]), path)
-    store.compact(spark, path, "t", target)
-    assert contents(spark, target) == [("t", i, "x") for i in range(3)]
+def test_compaction_makes_fewer_files(spark, tmp_path):
+    path, target = tmp_path / "events", tmp_path / "compact"
+    for i in range(4):
+        store.upsert(stored(spark, [event("t", i, "x"), event("u", i, "x")]), str(path))
+    store.upsert(stored(spark, [event("t", 2, "y"), event("u", 9, "x", ts=86_400_000)]), str(path))
+    store.compact(spark, str(path), str(target))
+    assert contents(spark, str(target)) == contents(spark, str(path))
+    assert len(files_below(target)) == 3 < len(files_below(path))
+    store.compact(spark, str(path), str(tmp_path / "day"), last=date(1970, 1, 1))
+    assert len(contents(spark, str(tmp_path / "day"))) == 8
+    # Writing goes on in the compacted table.
+    assert store.upsert(stored(spark, [event("t", 2, "z")]), str(target)) == "replace"
+    assert ("t", 2, "z") in contents(spark, str(target))
 
 
 # -- ingest ----------------------------------------------------------------------------------------

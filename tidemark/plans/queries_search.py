@@ -10,8 +10,9 @@ from tidemark.functions import ids
 from tidemark.functions.json_text import canonical_value
 from tidemark.operators import embedding, search, topics
 from tidemark.operators.embedding import HashingEmbedder, embed_column
-from tidemark.plans import inputs
+from tidemark.plans import inputs, store, vector_index
 from tidemark.plans.queries_events import EV, NUMBER
+from tidemark.session import shared_dir
 from tidemark.sources import tables
 
 QUERIES: dict = {}
@@ -115,10 +116,7 @@ def search_batch(spark, folder):
     SELECT unnest(chosen) AS event_id, generate_subscripts(chosen, 1)::INTEGER AS rank FROM pick WHERE n = 10"""
 )
 def search_diverse(spark, folder):
-    pool = search.search(tables.vectors(spark, folder), COSINES, 30)
-    vectors = tables.vectors(spark, folder).select(ids.event_id().alias("event_id"), "embedding")
-    ranked = search.diversify(pool.join(vectors, "event_id").withColumn("query_id", F.lit(0)), 10)
-    return ranked.select("event_id", "rank")
+    return search.search(tables.vectors(spark, folder), COSINES, 10, diverse=True).select("event_id", "rank")
 
 
 @query(
@@ -126,10 +124,15 @@ def search_diverse(spark, folder):
     SELECT event_id, round(s, 6) AS score FROM s ORDER BY s DESC, event_id LIMIT 10"""
 )
 def ann_search(spark, folder):
-    """Pruned by pivots, exact all the same."""
-    vectors = tables.vectors(spark, folder)
-    pivots = search.choose_pivots(vectors, 16)
-    return _scores(search.search_pruned(search.assign_cells(vectors, pivots), pivots, SINES, 10))
+    """From the cells of a stored table, pruned by pivots and exact all the same. A second write of some events moves their entries."""
+    path = shared_dir(spark, "indexed-events")
+    rows = store.stored_form(tables.vectors(spark, folder))
+    even = F.col("offset") % 2 == 0
+    store.upsert(rows.filter(even), path, DIM)
+    vector_index.create(spark, path)
+    again = rows.filter(~even | (F.col("offset") % 6 == 0))
+    store.upsert(again, path, DIM)
+    return _scores(vector_index.search_table(spark, path, SINES, 10))
 
 
 @query(

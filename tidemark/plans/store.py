@@ -1,16 +1,21 @@
-"""The event table: idempotent upserts into Parquet, laid out by event coordinates.
+"""The event table: idempotent, append-only upserts into Parquet, laid out by day and event coordinates.
 
-An event's folder follows from its identity: ``topic / partition / offset_block``. A replayed or
-re-embedded event therefore always meets its earlier copy in the same folder, and an upsert never
-has to look anywhere else. Inside a folder rows are sorted by time, so row-group statistics prune
-look-back filters. With a table format that knows MERGE, use :func:`merge_into` instead.
+Below a table's path lie ``events``, every event as first written, and ``replacements``, later forms of events that were there
+already, each with a version. Both are only ever appended to. A reader takes the events without those that were replaced, and
+the latest replacements; while there are none, it reads ``events`` as it is. Whatever of a write is visible when a job dies,
+nothing that was there before is gone, and the replayed batch finds what did arrive and replaces that.
+
+An event's folder is ``event_date / topic / partition / offset_block``. The broker sets coordinates and timestamp once, so a replayed or
+re-embedded event falls into the folder of its earlier copy, and a look-back lists only the folders of its days. Inside a file rows are
+sorted by time, so row-group statistics prune further. :func:`compact` copies what a reader sees into fresh files at another path; it
+never writes where it reads. With a table format that knows MERGE, use :func:`merge_into` instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date, datetime, timezone
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,9 +24,12 @@ from tidemark.functions.ids import event_id, point_id
 from tidemark.functions.json_text import json_path
 from tidemark.functions.timeparts import floor_div, utc_day
 from tidemark.operators.embedding import assert_dim
+from tidemark.session import written_once
 
 BLOCK_ROWS = 100_000
-LAYOUT = ("topic", "partition", "offset_block")
+LAYOUT = ("event_date", "topic", "partition", "offset_block")
+KEYS = (*LAYOUT, "point_id")
+EVENTS, REPLACEMENTS = "events", "replacements"
 
 
 def latest_per_key(rows: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
@@ -48,7 +56,7 @@ def stored_form(
         {
             "event_id": event_id(),
             "point_id": point_id(event_id()),
-            "event_date": utc_day(F.col("timestamp_ms")),
+            "event_date": utc_day(F.coalesce("timestamp_ms", F.lit(0))),
             "offset_block": floor_div(F.col("offset"), block_rows),
             **{
                 f"value_{name.replace('.', '_')}": F.try_variant_get(F.try_parse_json("value_json"), json_path(name), "string")
@@ -59,41 +67,76 @@ def stored_form(
 
 
 def unique_in_folders(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """The last-written row per event, with the rows of a folder side by side.
+    """The last-written row per event, with the rows of a block side by side.
 
-    The folder columns determine the partitioning and are part of the identity, so finding
-    duplicates needs no second exchange. A folder holds at most one block of offsets, so no topic,
-    however large, becomes one task.
+    Topic, partition and block determine the partitioning and are part of the identity, so finding duplicates needs no second
+    exchange. A block holds a bounded number of offsets, so no topic, however large, becomes one task.
     """
-    last = Window.partitionBy(*LAYOUT, "point_id").orderBy(*order)
-    return rows.repartition(*LAYOUT).withColumn("_last", F.row_number().over(last)).filter(F.col("_last") == 1).drop("_last")
+    block = LAYOUT[1:]
+    last = Window.partitionBy(*block, "point_id").orderBy(*order)
+    return rows.repartition(*block).withColumn("_last", F.row_number().over(last)).filter(F.col("_last") == 1).drop("_last")
 
 
-def _write(rows: DataFrame, path: str, mode: str, bloom: Sequence[str]) -> None:
-    writer = rows.sortWithinPartitions(*LAYOUT, "timestamp_ms").write.mode(mode).partitionBy(*LAYOUT)
-    if mode == "overwrite":
-        writer = writer.option("partitionOverwriteMode", "dynamic")
+def _append(rows: DataFrame, folder: str, bloom: Sequence[str]) -> None:
+    writer = rows.sortWithinPartitions(*LAYOUT, "timestamp_ms").write.mode("append").partitionBy(*LAYOUT)
     for column in bloom:
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
-    writer.parquet(path)
+    writer.parquet(folder)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+def exists(spark: SparkSession, folder: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame | None:
-    """The stored events, or None before the first write. Folder names keep their declared types."""
-    if not exists(spark, path):
-        return None
-    try:
-        found = spark.read.parquet(path).schema
-    except AnalysisException:
+def day_folders(spark: SparkSession, folder: str, first: date | None = None, last: date | None = None) -> list[str]:
+    """Folders of the days from ``first`` to ``last`` that exist, oldest first; one listing of the level of days."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return []
+    names = sorted(s.getPath().getName() for s in files.listStatus(where))
+    days = {n: date.fromisoformat(n.removeprefix("event_date=")) for n in names if n.startswith("event_date=")}
+    return [f"{folder}/{n}" for n, day in days.items() if (first is None or day >= first) and (last is None or day <= last)]
+
+
+def _scan(spark: SparkSession, folder: str, first: date | None = None, last: date | None = None) -> DataFrame | None:
+    """Rows of the given days, or None where there are none. Folder names keep their declared types."""
+    days = day_folders(spark, folder, first, last)
+    if not days:
         return None
-    kinds = {"topic": T.StringType(), "partition": T.IntegerType(), "offset_block": T.LongType()}
-    typed = T.StructType([T.StructField(f.name, kinds.get(f.name, f.dataType)) for f in found])
-    return spark.read.schema(typed).parquet(path)
+    reader = spark.read.option("basePath", folder)
+    kinds = {"event_date": T.DateType(), "topic": T.StringType(), "partition": T.IntegerType(), "offset_block": T.LongType()}
+    # The newest day has the columns that were added last.
+    typed = T.StructType([T.StructField(f.name, kinds.get(f.name, f.dataType)) for f in reader.parquet(days[-1]).schema])
+    return spark.read.option("basePath", folder).schema(typed).parquet(*days)
+
+
+def _day(ms: int | None) -> date | None:
+    return None if ms is None else datetime.fromtimestamp(ms / 1000, timezone.utc).date()
+
+
+def latest_replacements(replaced: DataFrame) -> DataFrame:
+    return latest_per_key(replaced, "point_id", [F.desc("version")])
+
+
+def read(spark: SparkSession, path: str, since_ms: int | None = None, until_ms: int | None = None) -> DataFrame | None:
+    """The stored events, or None before the first write; of the days from ``since_ms`` to ``until_ms`` only, if given.
+
+    The bounds choose whole days; put the exact condition on the rows.
+    """
+    days = (_day(since_ms), _day(until_ms))
+    events, replaced = _scan(spark, f"{path}/{EVENTS}", *days), _scan(spark, f"{path}/{REPLACEMENTS}", *days)
+    if events is None or replaced is None:
+        return events
+    return replace_rows(events, replaced)
+
+
+def replace_rows(events: DataFrame, replaced: DataFrame) -> DataFrame:
+    """Events with the latest of their replacements; an event that only stands among these counts too."""
+    latest = latest_replacements(replaced).drop("version")
+    left = events.join(replaced.select(*KEYS).distinct(), list(KEYS), "left_anti").select(*events.columns)
+    return left.unionByName(latest, allowMissingColumns=True)
 
 
 def upsert(
@@ -103,56 +146,59 @@ def upsert(
     order: Sequence[Column] | None = None,
     bloom: Sequence[str] = ("point_id",),
     unique: bool = False,
-    max_folders: int = 10_000,
 ) -> str:
-    """Write a batch in :func:`stored_form`; returns ``append`` or ``rewrite``.
+    """Write a batch in :func:`stored_form`; returns ``append`` or ``replace``. One writer at a time.
 
-    Only the ids of the folders a batch falls into are compared. A batch of new events is simply
-    appended. When some id is already there (a replay, or an event embedded anew) those folders
-    are rewritten with the batch's rows winning. So a crash between write and checkpoint heals
-    itself: the replayed batch finds its own rows and replaces them. ``unique`` says that the batch
-    went through :func:`unique_in_folders` already.
+    The batch's ids are compared with those stored in its days and blocks of offsets. New events are appended; events that are there
+    already (a replay, or an event embedded anew) are appended to the replacements, where they win. ``unique`` says that the batch went
+    through :func:`unique_in_folders` already. Where the table has a vector index, its cells follow.
     """
+    from tidemark.plans import vector_index
+
     if dim is not None:
         batch = assert_dim(batch, dim)
+    spark = batch.sparkSession
     fresh = batch if unique else unique_in_folders(batch, order or [F.desc("timestamp_ms")])
-    near = _touched(batch, fresh.schema, path, max_folders)
-    keys = [*LAYOUT, "point_id"]
-    if near is None or near.select(keys).join(batch.select(keys), keys, "left_semi").isEmpty():
-        _write(fresh, path, "append", bloom)
+    known = _known(batch, path)
+    if known is None or known.isEmpty():
+        _append(fresh, f"{path}/{EVENTS}", bloom)
+        vector_index.add(spark, path, fresh.withColumn("version", F.lit(0).cast("long")))
         return "append"
-    kept = near.join(batch.select(keys), keys, "left_anti")
-    merged = kept.select(*fresh.columns).unionByName(fresh)
-    _write(merged.repartition(*LAYOUT), path, "overwrite", bloom)
-    return "rewrite"
+    known = written_once(known.distinct(), "known-events")
+    _append(fresh.join(known, list(KEYS), "left_anti"), f"{path}/{EVENTS}", bloom)
+    earlier = _scan(spark, f"{path}/{REPLACEMENTS}")
+    # One number; the latest version counts, so a replay of a write that died half-way wins over what it left.
+    version = 1 + ((earlier.agg(F.max("version")).first()[0] or 0) if earlier is not None else 0)
+    again = fresh.join(known, list(KEYS), "left_semi").withColumn("version", F.lit(version).cast("long"))
+    _append(again, f"{path}/{REPLACEMENTS}", bloom)
+    new = fresh.join(known, list(KEYS), "left_anti").withColumn("version", F.lit(0).cast("long"))
+    vector_index.add(spark, path, new.unionByName(again))
+    return "replace"
+
+
+def _known(batch: DataFrame, path: str) -> DataFrame | None:
+    """Keys of the batch that are stored. Only the batch's days are listed, only its blocks of offsets read, and of these the ids."""
+    bounds = batch.agg(*[f(c).alias(f"{n}_{c}") for c in ("event_date", "offset_block") for n, f in (("low", F.min), ("high", F.max))]).first()
+    if bounds.low_event_date is None:
+        return None
+    stored = _scan(batch.sparkSession, f"{path}/{EVENTS}", bounds.low_event_date, bounds.high_event_date)
+    if stored is None:
+        return None
+    near = stored.filter(F.col("offset_block").between(bounds.low_offset_block, bounds.high_offset_block))
+    return near.select(*KEYS).join(batch.select(*KEYS), list(KEYS), "left_semi")
 
 
-def _touched(batch: DataFrame, schema: T.StructType, path: str, max_folders: int) -> DataFrame | None:
-    """Stored rows of the folders a batch falls into, or None when none of them exists.
+def compact(spark: SparkSession, path: str, target: str, first: date | None = None, last: date | None = None) -> None:
+    """Copy what a reader sees, of the given days or of all, into fresh, larger files at ``target``; replacements take their events' places.
 
-    Only those folders are listed and read. Their names are few: broker partitions times the blocks
-    a batch spans. A back-fill over more than ``max_folders`` reads the table and semi-joins instead.
+    Readers and writers change over to ``target`` when it is complete. Folders are dealt out by size, so that a large one is several
+    files and many small ones share a task.
     """
-    spark = batch.sparkSession
-    touched = batch.select(*LAYOUT).distinct()
-    folders = touched.limit(max_folders + 1).collect()
-    if len(folders) > max_folders:
-        if not exists(spark, path):
-            return None
-        return spark.read.schema(schema).parquet(path).join(touched, list(LAYOUT), "left_semi")
-    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    named = [
-        f"{path}/topic={escape(f.topic)}/partition={f.partition}/offset_block={f.offset_block}" for f in folders
-    ]
-    found = [name for name in named if exists(spark, name)]
-    return spark.read.schema(schema).option("basePath", path).parquet(*found) if found else None
-
-
-def compact(spark: SparkSession, path: str, topic: str, target: str, files_per_folder: int = 1) -> None:
-    """Copy a topic into fresh, larger files at ``target`` (salted, so a large folder is not one task)."""
-    rows = spark.read.parquet(path).filter(F.col("topic") == topic)
-    salt = F.pmod(F.xxhash64("point_id"), F.lit(files_per_folder))
-    _write(rows.repartition(*LAYOUT, salt), target, "append", ("point_id",))
+    events, replaced = _scan(spark, f"{path}/{EVENTS}", first, last), _scan(spark, f"{path}/{REPLACEMENTS}", first, last)
+    if events is None:
+        return
+    rows = events if replaced is None else replace_rows(events, replaced)
+    _append(rows.hint("rebalance", *LAYOUT), f"{target}/{EVENTS}", ("point_id",))
 
 
 def merge_into(batch: DataFrame, table: str) -> None:
