@@ -1,4 +1,6 @@
 import json
+import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from tidemark.operators import activity, annotate, budget, models, sampling, top
 from tidemark.plans import catalog
 
 NOW = 1_893_456_000_000  # 2030-01-01 00:00 UTC
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def rows(df, *columns):
@@ -65,50 +68,66 @@ def test_estimates_mark_rows(spark):
 # -- annotation ------------------------------------------------------------------------------------
 
 
+SECRET = "c_contact"
+
+
+def customer_topic(spark, data):
+    """The given customers as one topic: (columns, its records newest first)."""
+    rows = spark.read.parquet(f"{data}/customer.parquet").orderBy("c_custkey").limit(9)
+    rows = rows.withColumn(SECRET, F.concat(F.translate("c_name", "#", "."), F.lit("@crm.example")))
+    rows = rows.withColumn("c_memo", F.concat(F.lit("mail "), SECRET, F.lit(" on "), "c_mktsegment"))
+    records = [json.loads(r.j) for r in rows.select(F.to_json(F.struct(*rows.columns)).alias("j")).collect()]
+    return rows.dtypes, records[::-1]
+
+
 @pytest.fixture(scope="module")
-def tables(spark):
-    fields = spark.createDataFrame(
-        [("orders", "order_id", "string", False, None, "the id"), ("orders", "email", "string", True, None, None), ("orders", "price_minor", "long", False, None, None)],
-        schemas.FIELDS,
-    )
-    samples = spark.createDataFrame(
-        [("orders", 0, i, i, None, json.dumps({"order_id": f"o{i}", "email": "buyer7@shop.test", "note": "ring 020-771-4419"})) for i in range(4)], schemas.SAMPLES
-    )
-    names = spark.createDataFrame([("orders", "fp"), ("bare", None)], "name string, schema_fingerprint string")
+def tables(spark, data):
+    columns, records = customer_topic(spark, data)
+    fields = spark.createDataFrame([("customer", n, k, n == "c_acctbal", None, f"{n} of it" if n == "c_custkey" else None) for n, k in columns], schemas.FIELDS)
+    samples = spark.createDataFrame([("customer", 0, i, i, None, json.dumps(r)) for i, r in enumerate(records[::-1])], schemas.SAMPLES)
+    names = spark.createDataFrame([("customer", "fp"), ("bare", None)], "name string, schema_fingerprint string")
     return names, fields, samples
 
 
-def test_prompt(tables):
-    [row] = annotate.prompts(*tables, drop=["email"], max_samples=3).collect()
-    body = json.loads(row.prompt[row.prompt.index('{"topic"'):])
-    assert body["topic"] == "orders"
-    assert body["schema"] == [{"name": "email", "type": "string", "nullable": True}, {"name": "order_id", "type": "string", "doc": "the id"}, {"name": "price_minor", "type": "long"}]
-    assert [s["order_id"] for s in body["samples"]] == ["o3", "o2", "o1"]
-    assert "buyer7@shop.test" not in row.prompt and "020-771" not in row.prompt
-    short = annotate.prompts(*tables, max_chars=300).first().prompt
-    assert len(short) <= 300 and short.endswith('"...prompt_truncated"}')
+def body_of(prompt):
+    return json.loads(prompt[prompt.index('{"topic"'):])
+
+
+def test_prompt(spark, data, tables):
+    columns, records = customer_topic(spark, data)
+    [row] = annotate.prompts(*tables, drop=[SECRET], max_samples=3).collect()
+    body = body_of(row.prompt)
+    assert [(f["name"], f["type"]) for f in body["schema"]] == sorted(columns)
+    assert {f["name"] for f in body["schema"] if f.get("nullable")} == {"c_acctbal"} and {f["doc"] for f in body["schema"] if "doc" in f} == {"c_custkey of it"}
+    assert [s["c_custkey"] for s in body["samples"]] == [r["c_custkey"] for r in records[:3]]
+    assert not any(SECRET in s for s in body["samples"]) and not any(r[SECRET] in row.prompt for r in records)
+    assert all(r["c_mktsegment"] in s["c_memo"] for r, s in zip(records, body["samples"])) and not row.prompt_truncated
+    assert row.prompt.startswith(annotate.INSTRUCTION) and annotate.ANSWER in row.prompt
+    short = annotate.prompts(*tables, max_chars=300).first()
+    assert len(short.prompt) <= 300 and short.prompt.endswith('"...prompt_truncated"}') and short.prompt_truncated
 
 
 def test_long_samples_become_previews(spark, tables):
     names, fields, _ = tables
-    samples = spark.createDataFrame([("orders", 0, 1, 1, None, json.dumps({"x": "y" * 900}))], schemas.SAMPLES)
+    samples = spark.createDataFrame([("customer", 0, 1, 1, None, json.dumps({"x": "y" * 900}))], schemas.SAMPLES)
     row = annotate.prompts(names, fields, samples).first()
-    [sample] = json.loads(row.prompt[row.prompt.index('{"topic"'):])["samples"]
-    assert list(sample) == ["_preview"] and len(sample["_preview"]) == 800 and sample["_preview"].endswith("...trunc")
+    [sample] = body_of(row.prompt)["samples"]
+    assert list(sample) == ["_preview"] and len(sample["_preview"]) == 800 and sample["_preview"].endswith("...trunc") and row.prompt_truncated
 
 
 def test_cache_key_ignores_sample_order(spark, tables):
     names, _, samples = tables
-    key = lambda s, n: annotate.sample_fingerprints(s, n).filter("topic = 'orders'").first().cache_key
+    key = lambda s, n: annotate.sample_fingerprints(s, n).filter("topic = 'customer'").first().cache_key
     base = key(samples, names)
     assert key(samples.orderBy(F.desc("offset")), names) == base
     assert key(samples, names.withColumn("schema_fingerprint", F.lit("other"))) != base
     assert key(samples.filter("offset > 0"), names) != base
 
 
+MEANT = {"c_custkey": ("who", 0.875), "c_acctbal": ("what is owed", 0.75), "c_memo": ("unclear", 0.125)}
 ANSWER = {
-    "description": "Orders of the shop.", "description_confidence": 0.9,
-    "field_annotations": {"order_id": {"meaning": "key", "confidence": 0.95}, "price_minor": {"meaning": "sum", "confidence": 0.9}, "email": {"meaning": "unknown", "confidence": 0.1}, "none": {"meaning": ""}},
+    "description": "One row a customer", "description_confidence": 0.625,
+    "field_annotations": {n: {"meaning": m, "confidence": c} for n, (m, c) in MEANT.items()} | {"c_name": {"meaning": ""}},
 }
 
 
@@ -120,9 +139,9 @@ def answer(text=None, cost=0.02):
 def test_annotate_and_cache(spark, tables):
     out = annotate.annotate(*tables, answer(), NOW)
     [topic] = out.topics.collect()
-    assert (topic.topic, topic.inference_status, topic.description, topic.description_confidence) == ("orders", "inferred", "Orders of the shop.", 0.9)
+    assert (topic.topic, topic.inference_status, topic.description, topic.description_confidence) == ("customer", "inferred", "One row a customer", 0.625)
     notes = rows(out.annotations, "name", "inferred_meaning", "inferred_confidence")
-    assert notes == [("email", "unknown", 0.1), ("order_id", "key", 0.95), ("price_minor", "sum", 0.9)]
+    assert notes == sorted((n, *m) for n, m in MEANT.items())
     assert rows(out.spend, "provider", "spend_usd") == [("m", 0.02)]
 
     def refuse(prompt):
@@ -146,6 +165,33 @@ def test_failures_and_ceiling(spark, tables):
     assert out.cache.count() == 0 and out.spend.first().spend_usd == 0.02
 
 
+def test_one_call_for_equal_questions(spark, tmp_path):
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def complete(prompt):
+        (log / f"{prompt}-{uuid.uuid4().hex}").write_text("")
+        if prompt == "p3":
+            raise RuntimeError("down")
+        return prompt.upper(), 0.05
+
+    asked = [("a", "k1", "p1"), ("b", "k1", "p1"), ("b", "k1", "p1"), ("c", "k2", "p2"), ("d", "k3", "p3"), ("e", "k3", "p3"), ("f", None, "p4"), ("g", None, "p4")]
+    df = spark.createDataFrame(asked, "who string, cache_key string, prompt string").repartition(3)
+    model = models.Model("m", complete, call_usd=0.1)
+    got = models.ask(df, model, ["who"], ceiling=1.0).collect()
+    assert sorted(r.who for r in got) == sorted(w for w, _, _ in asked)
+    assert sorted(f.name[:2] for f in log.iterdir()) == ["p1", "p2", "p3", "p4"]
+    for r in got:
+        want = next(p for w, k, p in asked if w == r.who)
+        assert r.admitted and (r.text, r.error) == ((None, "down") if want == "p3" else (want.upper(), None))
+    paid = models.spend_rows(spark.createDataFrame([(r.admitted, r.cost) for r in got], "admitted boolean, cost double"), "m", NOW).agg(F.sum("spend_usd")).first()[0]
+    assert paid == pytest.approx(0.15)
+    # A ceiling of one estimated call: two calls of half of it are made, in two waves; the rest is turned away for all who asked.
+    made = models.ask(df, models.Model("m", lambda p: ("x", 0.05), call_usd=0.1), ["who"], ceiling=0.1).collect()
+    assert len({r.cache_key for r in made if r.admitted}) == 2 and len(made) == 8
+    assert all(r.text is None and r.cost == 0 for r in made if not r.admitted)
+
+
 def test_tolerant_answers(spark):
     good = json.dumps({"description": 5, "description_confidence": "0.4", "field_annotations": []})
     texts = [good, f"```json\n{good}\n```", f"well {good} ok", "nope"]
@@ -241,52 +287,52 @@ def test_activity(events):
 # -- refresh ---------------------------------------------------------------------------------------
 
 
-SCHEMA = json.dumps({"type": "record", "name": "O", "fields": [{"name": "order_id", "type": "string"}, {"name": "note", "type": "string"}]})
-
-
 def job(spark, tmp_path, **settings):
-    records = [("orders", 0, i, NOW - i, f"ring 020-771-441{i}", json.dumps({"order_id": f"o{i}", "email": "x", "note": "ring 020-771-4419"})) for i in range(5)]
-    events = spark.createDataFrame(records, "topic string, partition int, offset long, timestamp_ms long, key string, value_json string")
-    registry = spark.createDataFrame([("orders-value", 1, 7, SCHEMA)], schemas.REGISTRY)
+    columns, records = customer_topic(spark, DATA)
+    rows_ = [("customer", 0, i, NOW - i, r[SECRET], json.dumps(r)) for i, r in enumerate(records)]
+    events = spark.createDataFrame(rows_, "topic string, partition int, offset long, timestamp_ms long, key string, value_json string")
+    schema = json.dumps({"type": "record", "name": "customer", "fields": [{"name": n, "type": "string"} for n, _ in columns]})
+    registry = spark.createDataFrame([("customer-value", 1, 7, schema)], schemas.REGISTRY)
     store = catalog.CatalogTables(spark, str(tmp_path / "catalog"))
-    return catalog.Refresh(store, catalog.Sources(events, registry, model=answer()), catalog.Settings(drop_fields=("email",), **settings))
+    return catalog.Refresh(store, catalog.Sources(events, registry, model=answer()), catalog.Settings(drop_fields=(SECRET,), **settings))
 
 
 def test_refresh(spark, tmp_path):
     refresh = job(spark, tmp_path)
-    log = refresh.once(["orders", "ghost"], NOW)
+    log = refresh.once(["customer", "ghost"], NOW)
     assert [(a, r) for a, r, _, _ in log] == [(a, "ok") for a in (*catalog.ASPECTS, "relationships")], log
     read = refresh.tables.read
     by_name = {r.name: r for r in read("topics").collect()}
-    assert by_name["orders"].schema_subject == "orders-value" and by_name["orders"].inference_status == "inferred"
+    assert by_name["customer"].schema_subject == "customer-value" and by_name["customer"].inference_status == "inferred"
     assert by_name["ghost"].schema_subject is None and by_name["ghost"].inference_status == "pending"
-    assert by_name["orders"].description == "Orders of the shop." and by_name["ghost"].last_stats_refresh_ms == NOW
+    assert by_name["customer"].description == "One row a customer" and by_name["ghost"].last_stats_refresh_ms == NOW
+    _, records = customer_topic(spark, DATA)
     sampled = read("samples").collect()
-    assert len(sampled) == 5 and all("email" not in r.value_json and "415" not in r.value_json and "415" not in r.key for r in sampled)
-    assert rows(read("annotations"), "name") == [("order_id",)]
-    assert rows(read("activity"), "topic", "messages_last_hour") == [("ghost", 0), ("orders", 5)]
+    assert len(sampled) == len(records) and not any(r[SECRET] in s.value_json + s.key or SECRET in s.value_json for r in records for s in sampled)
+    assert rows(read("annotations"), "name") == [(n,) for n in sorted(MEANT)]
+    assert rows(read("activity"), "topic", "messages_last_hour") == [("customer", len(records)), ("ghost", 0)]
     assert refresh.spent("m", NOW) == pytest.approx(0.02)
     # Nothing is stale a moment later; after a minute only the counters are.
-    assert [a for a, *_ in refresh.once(["orders"], NOW + 1)] == ["relationships"]
-    assert [a for a, *_ in refresh.once(["orders"], NOW + 60_000, relationships=False)] == ["stats"]
-    assert catalog.ensure_fresh(refresh, "orders", NOW + 60_001).first().last_stats_refresh_ms == NOW + 60_000
+    assert [a for a, *_ in refresh.once(["customer"], NOW + 1)] == ["relationships"]
+    assert [a for a, *_ in refresh.once(["customer"], NOW + 60_000, relationships=False)] == ["stats"]
+    assert catalog.ensure_fresh(refresh, "customer", NOW + 60_001).first().last_stats_refresh_ms == NOW + 60_000
     assert read("runs").count() == 7
 
 
 def test_registry_outage_keeps_fields(spark, tmp_path):
     refresh = job(spark, tmp_path)
-    refresh.once(["orders"], NOW, relationships=False)
+    refresh.once(["customer"], NOW, relationships=False)
     refresh.sources.registry = spark.createDataFrame([], schemas.REGISTRY)
-    refresh.once(["orders"], NOW + 10**9, relationships=False)
-    assert refresh.tables.read("fields").count() == 2
+    refresh.once(["customer"], NOW + 10**9, relationships=False)
+    assert refresh.tables.read("fields").count() == len(customer_topic(spark, DATA)[0])
     assert refresh.tables.read("topics").first().schema_id == 7
     # A refresh of the schema does not wipe what was inferred.
-    assert refresh.tables.read("annotations").count() == 1
+    assert refresh.tables.read("annotations").count() == len(MEANT)
 
 
 def test_samples_are_not_retained_on_request(spark, tmp_path):
     refresh = job(spark, tmp_path, retain_samples=False)
-    refresh.once(["orders"], NOW, relationships=False)
+    refresh.once(["customer"], NOW, relationships=False)
     assert refresh.tables.read("samples").count() == 0
     assert refresh.tables.read("topics").first().inference_status == "inferred"
 
@@ -298,9 +344,9 @@ def test_failing_aspect_does_not_stop_the_others(spark, tmp_path):
         raise RuntimeError("no broker")
 
     refresh.sources.sampler = broken
-    log = {a: (r, e) for a, r, _, e in refresh.once(["orders"], NOW)}
+    log = {a: (r, e) for a, r, _, e in refresh.once(["customer"], NOW)}
     assert log["samples"] == ("error", "no broker") and log["stats"][0] == "ok" and log["inference"][0] == "ok"
-    assert catalog.stale_aspects(refresh.tables.read("topics"), spark.createDataFrame([("orders",)], "topic string"), NOW, refresh.settings.ttl()).filter("stale").first().aspect == "samples"
+    assert catalog.stale_aspects(refresh.tables.read("topics"), spark.createDataFrame([("customer",)], "topic string"), NOW, refresh.settings.ttl()).filter("stale").first().aspect == "samples"
 
 
 def test_unfinished_snapshot_is_ignored(spark, tmp_path):
@@ -314,7 +360,7 @@ def test_unfinished_snapshot_is_ignored(spark, tmp_path):
 
 def test_loop(spark, tmp_path):
     refresh = job(spark, tmp_path)
-    catalog.refresh_loop(refresh, ["orders"], 0.0, cycles=2)
+    catalog.refresh_loop(refresh, ["customer"], 0.0, cycles=2)
     assert refresh.tables.read("topics").count() == 1
 
 

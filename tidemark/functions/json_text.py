@@ -60,3 +60,8 @@ def scalar_at(text: Column, dotted: str) -> Column:
     kind = leaf_kind(variant, path)
     nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
     return F.when(~nested, F.try_variant_get(variant, path, "string"))
+
+
+def question(about: str, answer: str) -> str:
+    """What stands before the JSON of a prompt: the type that the answer is read with, and what it is about."""
+    return f"Return one value of type {answer}, as JSON, for {about}:\n"

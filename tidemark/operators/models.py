@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
@@ -23,6 +24,8 @@ class Model:
     complete: Callable[[str], tuple[str, float]]
     #: What a call is expected to cost at most, for admission under a spend ceiling.
     call_usd: float = 0.01
+    #: Calls that one task has under way; a task waits for answers, it does not compute them.
+    at_once: int = 4
 
 
 def latest_cache(cache: DataFrame) -> DataFrame:
@@ -48,27 +51,29 @@ def ask(
     ceiling: float = 1.0,
     estimate: float | None = None,
 ) -> DataFrame:
-    """Answer the ``prompt`` of every row that can be answered.
+    """Answer the ``prompt`` of every row that can be answered, with one call for each ``cache_key``.
 
     Returns the kept columns, ``cache_key``, the cached ``payload_json`` if there is one, ``admitted``,
-    and for admitted rows ``text``, ``cost`` and ``error``. Cached rows are not asked. The others are asked in waves:
-    each admits as many calls as fit what is left of the ceiling at ``estimate`` (by default the model's own) and
-    settles what they really cost before the next, so a spend over the ceiling is at most the error of one wave's
-    estimates. A failed call gives null text and its error; it does not fail the job. Every wave is written to the
-    shared folder, because asking again could cost money and answer differently.
+    and for admitted rows ``text``, ``cost`` and ``error``; of rows that share a key one carries the cost. Cached keys are not
+    asked. The others are asked in waves: each admits as many calls as fit what is left of the ceiling at ``estimate``
+    (by default the model's own) and settles what they really cost before the next, so a spend over the ceiling is at most
+    the error of one wave's estimates. A failed call gives null text and its error; it does not fail the job. Prompts, the
+    answers of every wave and what it leaves waiting are written to the shared folder, because asking again could cost money and
+    answer differently.
     """
     each = model.call_usd if estimate is None else estimate
-    # Admission totals the waiting calls before it marks them; the prompts are made once.
-    asked = written_once(asked, "prompts")
+    prompts = written_once(asked.withColumn("_row", F.monotonically_increasing_id()), "prompts")
+    # The first row of every key asks for all of them.
+    first = prompts.groupBy("cache_key").agg(F.min("_row").alias("_row")).select("_row")
+    waiting = prompts.join(first, "_row", "left_semi").select("_row", "cache_key", "prompt")
     if cache is None:
-        waiting = asked.withColumn("payload_json", F.lit(None).cast("string"))
+        waiting = waiting.withColumn("payload_json", F.lit(None).cast("string"))
     else:
-        waiting = asked.join(latest_cache(cache), "cache_key", "left")
-    kept = [*keep, "cache_key", "payload_json", "admitted"]
+        waiting = waiting.join(latest_cache(cache), "cache_key", "left")
     waves = []
     while True:
         marked = budget.mark_admitted(waiting, "cache_key", F.col("payload_json").isNull(), each, spent, ceiling)
-        answers = written_once(_call(marked, model, kept), "answers")
+        answers = written_once(_call(marked, model, ["_row", "cache_key", "payload_json", "admitted"]), "answers")
         turned_away = ~F.col("admitted") & F.col("payload_json").isNull()
         tally = answers.agg(
             F.count_if("admitted").alias("made"), F.count_if(turned_away).alias("left"),
@@ -79,31 +84,37 @@ def ask(
             break
         # What was turned away waits for the next wave.
         waves.append(answers.filter(~turned_away))
-        waiting = null_safe_join(marked, answers.filter(turned_away).select("cache_key", *keep), ["cache_key", *keep], "left_semi").drop("admitted")
+        left = answers.filter(turned_away).select("_row")
+        waiting = written_once(prompts.join(left, "_row", "left_semi").select("_row", "cache_key", "prompt"), "waiting")
+        waiting = waiting.withColumn("payload_json", F.lit(None).cast("string"))
     for wave in waves:
         answers = answers.unionByName(wave)
-    return answers
+    both = null_safe_join(prompts.drop("prompt"), answers.withColumnRenamed("_row", "_first"), ["cache_key"])
+    cost = F.when(F.col("_row") == F.col("_first"), F.col("cost")).otherwise(F.lit(0.0))
+    return both.select(*keep, "cache_key", "payload_json", "admitted", "text", cost.alias("cost"), "error")
 
 
 def _call(marked: DataFrame, model: Model, kept: Sequence[str]) -> DataFrame:
-    """One call of the model for every admitted row."""
+    """One call of the model for every admitted row, up to ``model.at_once`` of a task at a time."""
     schema = T.StructType([marked.schema[c] for c in kept])
     schema = schema.add("text", "string").add("cost", "double").add("error", "string")
 
+    def answer(row: tuple[str, bool]) -> tuple[str | None, float, str | None]:
+        prompt, admitted = row
+        if not admitted:
+            return None, 0.0, None
+        try:
+            text, cost = model.complete(prompt)
+            return text, float(cost), None
+        except Exception as exc:
+            return None, 0.0, str(exc)[:500]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for prompt, admitted in zip(batch["prompt"], batch["admitted"], strict=True):
-                answer = (None, 0.0, None)
-                if admitted:
-                    try:
-                        text, cost = model.complete(prompt)
-                        answer = (text, float(cost), None)
-                    except Exception as exc:
-                        answer = (None, 0.0, str(exc)[:500])
-                rows.append(answer)
-            answers = pd.DataFrame(rows, columns=["text", "cost", "error"], index=batch.index)
-            yield pd.concat([batch[list(kept)], answers], axis=1)
+        with ThreadPoolExecutor(model.at_once) as pool:
+            for batch in batches:
+                answers = list(pool.map(answer, zip(batch["prompt"], batch["admitted"], strict=True)))
+                columns = pd.DataFrame(answers, columns=["text", "cost", "error"], index=batch.index)
+                yield pd.concat([batch[list(kept)], columns], axis=1)
 
     return marked.select(*kept, "prompt").mapInPandas(run, schema)
 

@@ -376,14 +376,14 @@ def _prompt_sql() -> str:
     tail AS (SELECT *, row_number() OVER (PARTITION BY l_partkey, part ORDER BY off DESC) AS r FROM l QUALIFY r <= 10),
     top AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY ts DESC, part, off DESC) AS r2 FROM tail QUALIFY r2 <= 5),
     s AS (SELECT l_partkey, string_agg(v, ',' ORDER BY ts DESC, part, off) AS v FROM top GROUP BY 1)
-    SELECT concat('part-', p_partkey) AS topic, sha256(concat('{instruction}', '{{"topic":"part-', p_partkey, '","schema":[', {schema},
-    '],"samples":[', coalesce(v, ''), ']}}')) AS prompt FROM part LEFT JOIN s ON l_partkey = p_partkey"""
+    SELECT topic, sha256(p) AS prompt, length(p) > 16000 AS prompt_truncated FROM (SELECT concat('part-', p_partkey) AS topic, concat('{instruction}', '{{"topic":"part-', p_partkey, '","schema":[', {schema},
+    '],"samples":[', coalesce(v, ''), ']}}') AS p FROM part LEFT JOIN s ON l_partkey = p_partkey)"""
 
 
 @query(_prompt_sql())
 def annotation_prompt(spark, folder):
     rows = annotate.prompts(*_part_topics(spark, folder), drop=["email"])
-    return rows.select("topic", F.sha2("prompt", 256).alias("prompt"))
+    return rows.select("topic", F.sha2("prompt", 256).alias("prompt"), "prompt_truncated")
 
 
 def _annotator(prompt: str) -> tuple[str, float]:
@@ -424,6 +424,19 @@ def budget_gate_calls(spark, folder):
     )
 
 
+@query(
+    """SELECT concat('about ', c_nationkey, ' ', c_mktsegment) AS text, count(*) AS customers, 1::BIGINT AS paid FROM customer GROUP BY c_nationkey, c_mktsegment"""
+)
+def ask_repeated(spark, folder):
+    """Customers with one question for each nation and segment: one call for each, under a ceiling that just fits them all in waves."""
+    customers = tables.load(spark, folder, "customer")
+    about = F.concat_ws(" ", F.col("c_nationkey").cast("string"), "c_mktsegment")
+    asked = customers.select("c_custkey", F.md5(about).alias("cache_key"), about.alias("prompt"))
+    calls = asked.select("cache_key").distinct().count()
+    answers = models.ask(asked, models.Model("local", lambda prompt: (f"about {prompt}", 0.01), call_usd=0.02), ["c_custkey"], ceiling=0.01 * calls + 0.001)
+    return answers.groupBy("text").agg(F.count_distinct("c_custkey").alias("customers"), F.count_if(F.col("cost") > 0).alias("paid"))
+
+
 @query(
     """WITH r AS (SELECT o_orderkey, o_orderstatus AS st, o_totalprice / 200000 AS c FROM orders)
     SELECT o_orderkey AS order_id, st <> 'P' AS readable, CASE WHEN st <> 'P' THEN concat('order ', o_orderkey) END AS description,
