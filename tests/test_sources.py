@@ -1,4 +1,5 @@
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,6 +136,58 @@ def test_source_options():
         kafka.source_options("b:9092", ["a"], "middle")
 
 
+def test_flush_by_size_or_age():
+    options = kafka.source_options("b:9092", ["a"], max_per_trigger=50_000, min_per_trigger=32, max_delay="1s")
+    assert (options["minOffsetsPerTrigger"], options["maxTriggerDelay"], options["maxOffsetsPerTrigger"]) == ("32", "1s", "50000")
+    assert not {"minOffsetsPerTrigger", "maxTriggerDelay"} & set(kafka.source_options("b:9092", ["a"]))
+    for bad in ({"min_per_trigger": 5}, {"max_delay": "1s"}, {"min_per_trigger": 5, "max_delay": "1s", "max_per_trigger": 4}):
+        with pytest.raises(ValueError):
+            kafka.source_options("b:9092", ["a"], **bad)
+
+
+def test_sampler_reads_only_the_newest_offsets(spark):
+    known = spark.createDataFrame([("b", 0, 7), ("a", 1, 100), ("a", 0, 3)], "topic string, partition int, next_offset long")
+    options = kafka.sample_options("b:9092", known, 5)
+    assert json.loads(options["startingOffsets"]) == {"a": {"0": 0, "1": 95}, "b": {"0": 2}}
+    assert json.loads(options["endingOffsets"]) == {"a": {"0": 3, "1": 100}, "b": {"0": 7}}
+    assert json.loads(options["assign"]) == {"a": [0, 1], "b": [0]} and "subscribe" not in options
+    spans = [(t, p, e - json.loads(options["startingOffsets"])[t][p]) for t, ps in json.loads(options["endingOffsets"]).items() for p, e in ps.items()]
+    assert all(n <= 5 for _, _, n in spans)
+    for bad in ((known, 0), (known.limit(0), 5)):
+        with pytest.raises(ValueError):
+            kafka.sample_options("b:9092", *bad)
+
+
+def test_bounded_reads_do_not_change_their_start():
+    with pytest.raises(ValueError):
+        kafka.batch_options(kafka.source_options("b:9092", ["a"], "latest"))
+    options = kafka.batch_options(kafka.source_options("b:9092", ["a"], min_per_trigger=1, max_delay="1s", max_per_trigger=9))
+    assert options["startingOffsets"] == "earliest" and not any("Trigger" in k for k in options)
+
+
+def read_rows(body, schema_json):
+    """A stand-in for the codec: bodies are JSON, read by the fields of the schema."""
+    fields = ", ".join(f"{f['name']} {'string' if f['type'] == 'string' else 'bigint'}" for f in json.loads(schema_json)["fields"])
+    value = F.from_json(body.cast("string"), f"struct<{', '.join(x.replace(' ', ':', 1) for x in fields.split(', '))}>", {"mode": "PERMISSIVE"})
+    return value
+
+
+def test_bodies_are_read_by_their_own_schema(spark):
+    def schema(**fields):
+        return json.dumps({"type": "record", "name": "R", "fields": [{"name": n, "type": t} for n, t in fields.items()]})
+
+    known = spark.createDataFrame([("a-value", 1, 1, schema(n="long")), ("a-value", 2, 2, schema(n="long", s="string")), ("b-value", 1, 3, schema(x="string"))], schemas.REGISTRY)
+    records = [(1, b'{"n":4}'), (2, b'{"n":5,"s":"y"}'), (2, b"\xff\x00broken"), (9, b'{"n":4}'), (1, b'{"other":1}'), (2, b'{"n":null,"s":"z"}'), (3, b"")]
+    raw = [("t", 0, i, datetime(2024, 1, 1), None, b"\x00" + n.to_bytes(4, "big") + b, []) for i, (n, b) in enumerate(records)]
+    raw += [("t", 0, 90, datetime(2024, 1, 1), None, None, []), ("t", 0, 91, datetime(2024, 1, 1), None, b"\x01\x00", [])]
+    out = envelope.decode(spark.createDataFrame(raw, schemas.RAW), known, envelope.avro_bodies(read_rows))
+    got = {r.offset: r.value_json for r in envelope.good(out).collect()}
+    assert {i: json.loads(v) for i, v in got.items()} == {0: {"n": 4}, 1: {"n": 5, "s": "y"}, 5: {"n": None, "s": "z"}}
+    errors = {r.offset: r.error for r in envelope.rejects(out).collect()}
+    assert errors.pop(3) == "unknown schema id 9" and errors.pop(91).startswith("record is not framed")
+    assert set(errors) == {2, 4, 6} and set(errors.values()) == {"body does not fit its schema"}
+
+
 def test_only_whole_json_objects_are_bodies(spark):
     good = ['{}', ' {"a": 1} ', '{"a":{"b":[1,2]}}', '{"é":"}"}']
     bad = ["", "x", "[1]", "3", "{'a':1}", '{"a":1} trailing', '{"a":1}{"b":2}', '{"a":1},{"b":2}', '{"a":1}],[{"b":2}', '{"a":1}},"w":{"b":2}', '{"a":1,"a":2}', '{"a":"line\nbreak"}', '{"a":']

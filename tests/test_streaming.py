@@ -191,7 +191,7 @@ def test_restart_goes_on_and_replay_changes_nothing(spark, tmp_path):
     assert ids == [f"orders:0:{i}" for i in range(7)]
     # The same files under a new checkpoint are a full replay.
     registry = spark.createDataFrame([("orders-value", 1, 7, "{}")], schemas.REGISTRY)
-    job = ingest.Job(registry, HashingEmbedder(8), ingest.event_table(f"{base}/events", 8))
+    job = ingest.Job(registry, HashingEmbedder(8), ingest.event_table(f"{base}/events", 8), ingest.DROP)
     ingest.start(kafka.read_files(spark, folder), job, f"{base}/other", {"availableNow": True}).awaitTermination()
     assert [r.event_id for r in store.read(spark, f"{base}/events").orderBy("offset").collect()] == ids
 
@@ -214,6 +214,77 @@ def test_failing_sink_halts_without_skipping(spark, tmp_path, monkeypatch):
     assert store.read(spark, f"{base}/events").count() == 3
 
 
+def test_counters_go_on_over_restarts(spark, tmp_path):
+    """Good and bad records by topic, over two runs and a batch that came twice."""
+    folder, base = str(tmp_path / "raw"), str(tmp_path)
+    counters = ingest.batch_folder(f"{base}/counters")
+    bad = lambda topic, i: (topic, 0, i, None, b"\x00\x00\x00\x00\x07[1]")
+    write_raw(spark, folder, [*good_rows(0, 4), bad("orders", 4), bad("clicks", 0), ("clicks", 0, 1, None, None)])
+    run(spark, folder, base, counters=counters)
+    write_raw(spark, folder, [*good_rows(5, 2), *good_rows(2, 1, "clicks"), bad("clicks", 3)])
+    fails = []
+
+    def flaky(rows, batch_id):
+        counters(rows, batch_id)
+        if not fails:
+            fails.append(batch_id)
+            raise RuntimeError("after the write")
+
+    run(spark, folder, base, counters=flaky)
+    totals = ingest.counter_totals(spark.read.parquet(f"{base}/counters"))
+    assert {r.topic: (r.messages_ingested, r.decode_failures, r.next_offset) for r in totals.collect()} == {"orders": (6, 1, 7), "clicks": (1, 2, 4)}
+    assert fails and spark.read.parquet(f"{base}/letters").count() == 3
+
+
+def test_letters_of_another_checkpoint_stay(spark, tmp_path):
+    folder = str(tmp_path / "raw")
+    write_raw(spark, folder, [*good_rows(0, 1), ("orders", 0, 9, None, b"bad")])
+    registry = spark.createDataFrame([("orders-value", 1, 7, "{}")], schemas.REGISTRY)
+    job = ingest.Job(registry, HashingEmbedder(8), ingest.event_table(f"{tmp_path}/events", 8), ingest.letter_folder(f"{tmp_path}/letters"))
+    for name in ("one", "two"):
+        ingest.start(kafka.read_files(spark, folder), job, f"{tmp_path}/{name}", {"availableNow": True}).awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/letters").count() == 2
+
+
+def test_rejects_are_kept_or_waived(spark, tmp_path):
+    registry = spark.createDataFrame([("orders-value", 1, 7, "{}")], schemas.REGISTRY)
+    with pytest.raises(ValueError, match="cannot be decoded"):
+        ingest.start(None, ingest.Job(registry, HashingEmbedder(8), lambda *a: None), str(tmp_path))
+
+
+def test_other_bodies_in_the_stream(spark, tmp_path):
+    """A decode strategy of one's own: the body is a number, 13 cannot be read."""
+    folder, base = str(tmp_path / "raw"), str(tmp_path)
+    write_raw(spark, folder, [("orders", 0, i, None, framed(str(i).encode())) for i in (1, 13, 2)])
+
+    def numbers(rows, registry):
+        text = F.col("body").cast("string")
+        return rows.withColumns({"value_json": F.concat(F.lit('{"n":'), text, F.lit("}")), "body_error": F.when(text == "13", F.lit("unlucky"))})
+
+    run(spark, folder, base, bodies=numbers)
+    assert [r.value_json for r in store.read(spark, f"{base}/events").orderBy("offset").collect()] == ['{"n":1}', '{"n":2}']
+    assert [(r.offset, r.error) for r in spark.read.parquet(f"{base}/letters").collect()] == [(13, "unlucky")]
+
+
+def test_flush_by_size_and_by_age(spark, tmp_path):
+    """Eight files at once come in batches of at most three; a file that comes later is not held back for others."""
+    folder, sizes = str(tmp_path / "raw"), []
+    for i in range(8):
+        write_raw(spark, folder, good_rows(10 * i, 2))
+    registry = spark.createDataFrame([("orders-value", 1, 7, "{}")], schemas.REGISTRY)
+    job = ingest.Job(registry, HashingEmbedder(8), lambda events, n: sizes.append(events.count()), ingest.DROP)
+    files = len(list((tmp_path / "raw").glob("*.parquet")))
+    query = ingest.start(kafka.read_files(spark, folder, files_per_trigger=3), job, str(tmp_path / "c"), {"processingTime": "200 milliseconds"})
+    try:
+        query.processAllAvailable()
+        assert sum(sizes) == 16 and len(sizes) >= files / 3 and max(sizes) <= 6
+        write_raw(spark, folder, good_rows(100, 1))
+        query.processAllAvailable()
+        assert sum(sizes) == 17
+    finally:
+        query.stop()
+
+
 def test_retry_pauses(monkeypatch):
     pauses, calls = [], []
     monkeypatch.setattr(ingest.time, "sleep", pauses.append)

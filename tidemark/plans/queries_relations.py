@@ -187,23 +187,39 @@ def token_bucket(spark, folder):
     return out.select(ids.event_id().alias("event_id"), "allowed", F.round("retry_after_sec", 6).alias("retry_after_sec"))
 
 
+def _ingested(spark, folder, names, replay: bool):
+    """Folder of a run of the ingest stream over the events file, and of another from the start if asked."""
+    root = shared_dir(spark, "ingest")
+    shape = tables.load(spark, folder, "events").schema
+    job = ingest.Job(
+        inputs.event_registry(spark, folder), HashingEmbedder(64), ingest.event_table(f"{root}/events", 64),
+        ingest.batch_folder(f"{root}/letters"), counters=ingest.batch_folder(f"{root}/counters"),
+    )
+    for run in ("first", "replay")[: 2 if replay else 1]:
+        raw = inputs.raw_events(spark, folder, spark.readStream.schema(shape).parquet(f"{folder}/{names}"))
+        ingest.start(raw, job, f"{root}/checkpoint-{run}", {"availableNow": True}).awaitTermination()
+    return root
+
+
 @query(
     f"""WITH {RAW} SELECT ref AS event_id, schema_id, true AS stored, CAST(NULL AS VARCHAR) AS error FROM bodies WHERE {ERROR} IS NULL
     UNION ALL SELECT ref, NULL, false, {ERROR} FROM bodies WHERE {ERROR} IS NOT NULL"""
 )
 def ingest_stream(spark, folder):
     """The events file as a stream through decode, embed and upsert; replayed once to no effect."""
-    root = shared_dir(spark, "ingest")
-    shape = tables.load(spark, folder, "events").schema
-    table, letters = f"{root}/events", f"{root}/letters"
-    job = ingest.Job(
-        inputs.event_registry(spark, folder), HashingEmbedder(64), ingest.event_table(table, 64), ingest.letter_folder(letters)
-    )
-    for run in ("first", "replay"):
-        raw = inputs.raw_events(spark, folder, spark.readStream.schema(shape).parquet(f"{folder}/events*.parquet"))
-        ingest.start(raw, job, f"{root}/checkpoint-{run}", {"availableNow": True}).awaitTermination()
-    stored = store.read(spark, table).select("event_id", "schema_id", F.lit(True).alias("stored"), F.lit(None).cast("string").alias("error"))
-    rejected = spark.read.parquet(letters).select(
+    root = _ingested(spark, folder, "events*.parquet", True)
+    stored = store.read(spark, f"{root}/events").select("event_id", "schema_id", F.lit(True).alias("stored"), F.lit(None).cast("string").alias("error"))
+    rejected = spark.read.parquet(f"{root}/letters").select(
         ids.event_id().alias("event_id"), F.lit(None).cast("int").alias("schema_id"), F.lit(False).alias("stored"), "error"
-    )
+    ).distinct()
     return stored.unionByName(rejected)
+
+
+@query(
+    f"""WITH {RAW} SELECT topic, count(*) FILTER (WHERE {ERROR} IS NULL) AS messages_ingested,
+    count(*) FILTER (WHERE {ERROR} IS NOT NULL) AS decode_failures, max(off) + 1 AS next_offset FROM bodies GROUP BY 1"""
+)
+def ingest_stream_counters(spark, folder):
+    """Good and bad records by topic, as the stream counted them."""
+    root = _ingested(spark, folder, "events*.parquet", False)
+    return ingest.counter_totals(spark.read.parquet(f"{root}/counters"))

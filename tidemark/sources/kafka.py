@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,12 +70,20 @@ def source_options(
     start: str = "earliest",
     max_per_trigger: int | None = None,
     security: dict[str, str] | None = None,
+    min_per_trigger: int | None = None,
+    max_delay: str | None = None,
 ) -> dict[str, str]:
+    """Options of the stream. ``min_per_trigger`` and ``max_delay`` flush by size or age: a micro-batch starts when that many records
+    wait, or when the last one lies that far back (``"1s"``, ``"15m"``), whichever comes first; ``max_per_trigger`` bounds it above."""
     names = [t.strip() for t in topics if t.strip()]
     if not names:
         raise ValueError("name at least one topic")
     if start not in ("earliest", "latest"):
         raise ValueError("start must be 'earliest' or 'latest'")
+    if (min_per_trigger is None) != (max_delay is None):
+        raise ValueError("a least batch size needs a longest delay, and the other way round")
+    if min_per_trigger is not None and max_per_trigger is not None and min_per_trigger > max_per_trigger:
+        raise ValueError("the least batch size exceeds the largest")
     options = {
         "kafka.bootstrap.servers": servers,
         "subscribe": ",".join(names),
@@ -85,9 +94,38 @@ def source_options(
     }
     if max_per_trigger:
         options["maxOffsetsPerTrigger"] = str(max_per_trigger)
+    if min_per_trigger:
+        options |= {"minOffsetsPerTrigger": str(min_per_trigger), "maxTriggerDelay": str(max_delay)}
     return options
 
 
+def sample_options(servers: str, next_offsets: DataFrame, count: int, security: dict[str, str] | None = None) -> dict[str, str]:
+    """Options of a batch read of the last ``count`` offsets of every partition.
+
+    ``next_offsets`` has topic, partition and next_offset (``activity.next_offsets``), one row per broker partition. Compacted or
+    expired offsets make the read shorter, not longer.
+    """
+    if count < 1:
+        raise ValueError("sample at least one offset")
+    rows = next_offsets.orderBy("topic", "partition").collect()  # one per broker partition
+    if not rows:
+        raise ValueError("no partition to sample")
+    first: dict[str, dict[str, int]] = {}
+    last: dict[str, dict[str, int]] = {}
+    for r in rows:
+        first.setdefault(r.topic, {})[str(r.partition)] = max(0, r.next_offset - count)
+        last.setdefault(r.topic, {})[str(r.partition)] = r.next_offset
+    return {
+        "kafka.bootstrap.servers": servers,
+        "assign": json.dumps({t: [int(p) for p in parts] for t, parts in first.items()}),
+        "startingOffsets": json.dumps(first),
+        "endingOffsets": json.dumps(last),
+        "includeHeaders": "true",
+        "failOnDataLoss": "false",
+        **(security or {}),
+    }
+
+
 def read_stream(spark: SparkSession, options: dict[str, str]) -> DataFrame:
     """Raw records of the subscribed topics. Needs the Kafka connector on the class path."""
     return spark.readStream.format("kafka").options(**options).load().select(
@@ -95,21 +133,30 @@ def read_stream(spark: SparkSession, options: dict[str, str]) -> DataFrame:
     )
 
 
+def batch_options(options: dict[str, str]) -> dict[str, str]:
+    """Options without what only a stream knows. A batch from the latest offset on would be empty, so that is an error."""
+    if options.get("startingOffsets") == "latest":
+        raise ValueError("a bounded read cannot start at the latest offset; name offsets, or use sample_options")
+    return {k: v for k, v in options.items() if k not in ("maxOffsetsPerTrigger", "minOffsetsPerTrigger", "maxTriggerDelay")}
+
+
 def read_batch(spark: SparkSession, options: dict[str, str]) -> DataFrame:
     """The same records as a bounded read (for samplers and back-fills)."""
-    bounded = {k: v for k, v in options.items() if k != "maxOffsetsPerTrigger"}
-    if bounded.get("startingOffsets") == "latest":
-        bounded["startingOffsets"] = "earliest"
+    bounded = batch_options(options)
     return spark.read.format("kafka").options(**bounded).load().select(
         "topic", "partition", "offset", "timestamp", "key", "value", "headers"
     )
 
 
-def read_files(spark: SparkSession, path: str, fmt: str = "parquet", files_per_trigger: int | None = None) -> DataFrame:
-    """A stream over files that hold raw records, for replays and tests."""
+def read_files(
+    spark: SparkSession, path: str, fmt: str = "parquet", files_per_trigger: int | None = None, bytes_per_trigger: int | None = None
+) -> DataFrame:
+    """A stream over files that hold raw records, for replays and tests; a micro-batch ends at that many files or bytes."""
     reader = spark.readStream.schema(schemas.RAW).format(fmt)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    if bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
     return reader.load(path)
 
 

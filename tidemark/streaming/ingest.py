@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions import privacy
 from tidemark.functions.json_text import canonical_json
+from tidemark.operators.activity import ingest_counters
 from tidemark.operators.embedding import embed_column, probe_dim
 from tidemark.plans import store
 from tidemark.sources import envelope
@@ -19,22 +20,30 @@ from tidemark.sources import envelope
 RETRIES = 3
 
 
+#: Says that rejects may go unkept; they are counted all the same.
+DROP = object()
+
+
 @dataclass(frozen=True)
 class Job:
     """Settings of an ingest job.
 
     ``registry`` may be a function that reads the latest snapshot for each batch.
     ``drop_fields`` are removed before the text is made, so they reach neither payload nor vector.
-    ``sink(events, batch_id)`` and ``dead_letters(rejects, batch_id)`` may be any writer.
+    ``sink(events, batch_id)`` and ``dead_letters(rejects, batch_id)`` may be any writer; a job without a place for
+    its rejects must say so with ``DROP``. ``counters(rows, batch_id)`` gets the batch's records by topic, good and bad.
+    ``bodies`` is the decode strategy (``envelope.json_bodies``, ``envelope.avro_bodies()``).
     """
 
     registry: DataFrame | Callable[[], DataFrame]
     embedder: object
     sink: Callable[[DataFrame, int], None]
-    dead_letters: Callable[[DataFrame, int], None] | None = None
+    dead_letters: Callable[[DataFrame, int], None] | object | None = None
     drop_fields: tuple[str, ...] = ()
     include_headers: bool = False
     promote: tuple[str, ...] = ()
+    bodies: envelope.Bodies = envelope.json_bodies
+    counters: Callable[[DataFrame, int], None] | None = None
 
 
 def event_table(path: str, dim: int) -> Callable[[DataFrame, int], None]:
@@ -46,15 +55,28 @@ def event_table(path: str, dim: int) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def letter_folder(path: str) -> Callable[[DataFrame, int], None]:
-    """A dead-letter sink with one folder per batch, so a replayed batch replaces its own letters."""
+def batch_folder(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink with one folder per query and batch: a replayed batch replaces its own rows, another checkpoint's batches stay."""
 
-    def write(rejects: DataFrame, batch_id: int) -> None:
-        rejects.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    def write(rows: DataFrame, batch_id: int) -> None:
+        query = rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        rows.write.mode("overwrite").parquet(f"{path}/query={query}/batch={batch_id}")
 
     return write
 
 
+def letter_folder(path: str) -> Callable[[DataFrame, int], None]:
+    """A dead-letter sink into files."""
+    return batch_folder(path)
+
+
+def counter_totals(counters: DataFrame) -> DataFrame:
+    """Totals by topic over everything that ``counters`` sinks wrote, so over restarts as well."""
+    return counters.groupBy("topic").agg(
+        F.sum("messages_ingested").alias("messages_ingested"), F.sum("decode_failures").alias("decode_failures"), F.max("next_offset").alias("next_offset")
+    )
+
+
 def prepare(decoded: DataFrame, job: Job) -> tuple[DataFrame, DataFrame]:
     """(events ready to store, rejects) of decoded records.
 
@@ -92,9 +114,13 @@ def start(
     """Start the stream. Offsets advance only after the sink has written a batch.
 
     Together with ids derived from coordinates a replayed batch leaves the table unchanged. The
-    embedder's vector length is checked before the first record is read. Counters per batch are
-    observed metrics and show up in the query progress.
+    embedder's vector length is checked before the first record is read. Records and tombstones per batch are
+    observed metrics and show up in the query progress; failures by topic go to ``job.counters``.
+    ``trigger`` is how often new records are looked for; how many make a batch, and how long fewer may wait, is the source's
+    (``kafka.source_options``).
     """
+    if job.dead_letters is None:
+        raise ValueError("name a sink for records that cannot be decoded, or DROP")
     if hasattr(job.embedder, "embed"):
         probe_dim(job.embedder, job.embedder.dim)
     counted = raw.observe(
@@ -103,12 +129,14 @@ def start(
 
     def each(batch: DataFrame, batch_id: int) -> None:
         registry = job.registry() if callable(job.registry) else job.registry
-        kept = envelope.decode(batch, registry).persist()
+        kept = envelope.decode(batch, registry, job.bodies).persist()
         try:
             events, rejects = prepare(kept, job)
             retrying(lambda: job.sink(events, batch_id))
-            if job.dead_letters is not None:
+            if job.dead_letters is not DROP:
                 retrying(lambda: job.dead_letters(rejects, batch_id))
+            if job.counters is not None:
+                retrying(lambda: job.counters(ingest_counters(kept), batch_id))
         finally:
             kept.unpersist()
 
