@@ -115,12 +115,40 @@ def test_repeats_odd_tables(spark):
     assert [r.n_removed for r in got if r.doc_id == 5] == [len(text)]
 
 
-def test_depth_ranks():
-    pick = random.Random(5)
-    data = np.frombuffer("".join(pick.choice("ab") for _ in range(300)).encode(), np.uint8)
-    ranks = repeats.depth_ranks(data, 12)
-    cut = [bytes(data[i : i + 12]) for i in range(288)]
-    assert [sorted(set(cut)).index(c) for c in cut] == [sorted(set(ranks[:288].tolist())).index(r) for r in ranks[:288].tolist()]
+@pytest.mark.parametrize("bits", [21, 3])
+def test_longest_previous_factors(monkeypatch, bits):
+    """Against a search for every entry, with repeated rows, for texts of few and of many repeats."""
+    monkeypatch.setattr(repeats, "_BITS", bits)
+    pick, depth = random.Random(5), 12
+    for letters, n in (("ab", 300), ("a", 80), ("abcdefgh", 200), ("\0a", 90)):
+        pieces = ["".join(pick.choice(letters) for _ in range(pick.randint(depth, n // 3))) for _ in range(6)]
+        pieces += [pieces[0], pieces[3][2:] + pieces[1]]
+        text, entries, place, at = "".join(pieces), [], [], 0
+        for k, piece in enumerate(pieces):
+            count = len(piece) - depth + 1
+            entries += range(at, at + count)
+            # The last but one is the first one again: the same places.
+            place += range(count) if k == 6 else range(at, at + count)
+            at += len(piece)
+        data = np.frombuffer(text.encode(), np.uint8)
+        got = repeats.longest_previous_factors(data, np.asarray(entries), np.asarray(place), depth)
+
+        def common(a, b):
+            return next((k for k in range(depth) if text[a + k] != text[b + k]), depth)
+
+        want = [max((common(e, f) for f, q in zip(entries, place) if q < p), default=0) for e, p in zip(entries, place)]
+        assert got.tolist() == want
+
+
+def test_hot_names_are_counted_by_stretch(spark, monkeypatch):
+    """Few documents that repeat one line very often, and many that share a passage: windows travel, and the bytes left are the same."""
+    line, passage = prose(60, 30), prose(61, 40)
+    rows = [(k, f"{prose(k, 20)} " + f"{line} " * 30) for k in range(6)] + [(10 + k, f"{prose(70 + k, 20)} {passage} {prose(170 + k, 9)}") for k in range(60)]
+    for hot, salts in ((50, 2), (1, 64)):
+        monkeypatch.setattr(repeats, "HOT", hot)
+        monkeypatch.setattr(repeats, "SALTS", salts)
+        monkeypatch.setattr(repeats, "CHUNK", 4000)
+        check_repeats(spark, rows)
 
 
 def test_without_repeats(spark, repeat_rows):

@@ -1,10 +1,9 @@
 """Suffix-array dedup (operator 10): bytes of any string of ``LENGTH`` bytes that stands earlier are removed.
 
 The longest previous factor of a position is the longest string starting there that also starts earlier. In suffix order
-it is reached from the nearest entries before and after that have a smaller place in the corpus. A byte goes if it is covered by a
-position whose longest previous factor is ``LENGTH`` or more, so suffixes are sorted to that depth only: entries
-of one rank then form a run, and within a run, ordered by place, the previous smaller place of every entry but the first is
-its neighbour. The first copy stays.
+it is reached from the nearest entries before and after that have a smaller place in the corpus (the previous and next smaller
+positions). A byte goes if it is covered by a position whose longest previous factor is ``LENGTH`` or more, so suffixes are
+sorted to that depth and factors counted up to it. The first copy stays.
 
 What must meet in one task are equal windows of ``LENGTH`` bytes. Each window is named by the least hash of the k-grams in
 it (its minimizer), which equal windows share; neighbouring windows mostly share it too, so a text has one stretch of windows
@@ -14,9 +13,11 @@ per 40 bytes or so:
 2. Names that occur in two different contents, or twice in one, are found by a combining aggregate and joined back to the
    documents. All else, most of the corpus, is done with.
 3. Documents with such names send those stretches (bytes and place) to the task of the name, after repeats within a
-   block of documents have been found on the spot. Names in more than ``HOT`` contents are split: each of their windows
-   goes to the task of its own hash (as 128 bits of hash, without bytes), so a passage in a third of all documents is no single task.
-4. Each task sorts suffixes by prefix doubling in chunks of ``CHUNK`` bytes, never cutting a name's group.
+   block of documents have been found on the spot. Names of more than ``HOT`` stretches are split: each of their windows goes, with its
+   bytes, to one of ``SALTS`` tasks of its own hash, and the first ones of these meet in a second round, so a passage in
+   a third of all documents is no single task.
+4. Each task makes the suffix order by prefix doubling, the smaller positions, and from these the longest previous factors, in chunks
+   of ``CHUNK`` bytes that never cut a name's group. Hot or not, it is the bytes that are compared.
 
 Later exact copies of a whole text are removed at once; every string in them stands in the first copy too. Texts are
 shuffled by document once, and read from that exchange by step 3 and by the final cut.
@@ -38,9 +39,11 @@ from tidemark.llm.text_columns import BLANKS
 
 LENGTH = 100
 GRAM = 20
-#: Contents with one name that still go to one task: about 3 MB of stretches.
+#: Stretches with one name that still go to one task: about 3 MB.
 HOT = 20_000
-CHUNK = 3 << 19
+#: Tasks that the copies of one window of a hot name are dealt to before its first ones meet.
+SALTS = 64
+CHUNK = 1 << 20
 PART = 1 << 18
 _U = np.uint64
 
@@ -96,19 +99,20 @@ def stretches(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 def _name_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in blocks(batches):
         texts = byte_column(batch.column(1)).to_pylist()
-        names, again = [], []
+        names, again, counts = [], [], []
         for t in texts:
             name, _, _, moves = stretches(t or b"")
             found, times = np.unique(name, return_counts=True)
             names.append(found)
+            counts.append(times.astype(np.int32))
             again.append(np.union1d(found[times > 1], name[moves]))
         lists = [
             pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in part])]).astype(np.int32)), pa.array(np.concatenate(part)))
-            for part in (names, again)
+            for part in (names, again, counts)
         ]
         digest = pa.array([hashlib.sha256(t or b"").digest() for t in texts], pa.binary())
         size = pa.array([len(t or b"") for t in texts], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), size, digest, *lists], ["doc_id", "content", "n_bytes", "digest", "names", "again"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), size, digest, *lists], ["doc_id", "content", "n_bytes", "digest", "names", "again", "times"])
 
 
 def window_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -137,26 +141,23 @@ def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first[1:], len(columns[0])) - 1
 
 
-def _later(ranks: tuple[np.ndarray, ...], places: tuple[np.ndarray, ...]) -> np.ndarray:
-    """Entries that have an equal rank at a smaller place.
-
-    In suffix order, with equal ranks ordered by place, the previous smaller place of an entry is the entry before it,
-    and shares its rank unless it leads the run. Entries at the very place of the run's first are the same occurrence.
-    """
-    order = np.lexsort((*reversed(places), *reversed(ranks)))
+def _copies(hashes: tuple[np.ndarray, ...], places: tuple[np.ndarray, ...], windows: np.ndarray) -> np.ndarray:
+    """Rows with the bytes of another row of equal hashes at a smaller place; the bytes are compared."""
+    order = np.lexsort((*reversed(places), *reversed(hashes)))
     new = np.zeros(len(order), bool)
     new[:1] = True
-    for r in ranks:
-        new[1:] |= r[order[1:]] != r[order[:-1]]
+    for h in hashes:
+        new[1:] |= h[order[1:]] != h[order[:-1]]
     first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
     later = np.zeros(len(order), bool)
     for p in places:
         later |= p[order] != p[first]
+    later[later] = (windows[order[later]] == windows[first[later]]).all(axis=1)
     return np.sort(order[later])
 
 
 def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches of repeated names with their bytes, and single windows (their second hash) of hot names.
+    """Stretches of repeated names with their bytes, and single windows of hot names (salt above zero) with theirs.
 
     What has been met before in the block comes out as removed at once (no bytes).
     """
@@ -167,6 +168,7 @@ def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         seen: dict[bytes, tuple] = {}
         windows: list[tuple[np.ndarray, ...]] = []
+        held: list[np.ndarray] = []
         for i in sorted(range(len(ids)), key=lambda i: (ids[i], contents[i])):
             text, wanted, me = texts[i] or b"", named[i].values, (ids[i], contents[i])
             key, hot = wanted.field("name").to_numpy(), wanted.field("hot").to_numpy(zero_copy_only=False)
@@ -180,6 +182,7 @@ def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 one, two = window_hashes(text)
                 start = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[is_hot].tolist(), last[is_hot].tolist())])
                 windows.append((one[start], two[start], np.full(len(start), me[0]), np.full(len(start), me[1]), start))
+                held.append(np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), LENGTH)[start])
             use &= ~is_hot
             for name, a, b in zip(names[use].tolist(), first[use].tolist(), last[use].tolist()):
                 whole = text[a : b + LENGTH]
@@ -189,81 +192,178 @@ def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     rows.append((0, *me, a, b - a + 1, None))
         if windows:
-            yield from _send_windows(*(np.concatenate(c) for c in zip(*windows)))
+            yield from _send_windows(*(np.concatenate(c) for c in zip(*windows)), np.concatenate(held))
         yield _sent(*(list(zip(*rows)) if rows else [[]] * 6))
 
 
-def _send_windows(one: np.ndarray, two: np.ndarray, doc: np.ndarray, content: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _send_windows(one: np.ndarray, two: np.ndarray, doc: np.ndarray, content: np.ndarray, start: np.ndarray, held: np.ndarray) -> Iterator[pa.RecordBatch]:
     later = np.zeros(len(one), bool)
-    later[_later((one, two), (doc, content, start))] = True
+    later[_copies((one, two), (doc, content, start), held)] = True
     a, b = _runs(doc[later], content[later], start[later])
     yield _sent(np.zeros(len(a), np.int64), doc[later][a], content[later][a], start[later][a], b - a + 1, [None] * len(a))
     keep = ~later
-    packed = pa.Array.from_buffers(pa.binary(8), int(keep.sum()), [None, pa.py_buffer(two[keep].tobytes())]).cast(pa.binary())
-    yield _sent(one[keep], doc[keep], content[keep], start[keep], np.ones(int(keep.sum()), np.int64), packed)
+    salt = (_mix(doc[keep].view(_U) + _U(1)) % _U(SALTS)).astype(np.int32) + 1
+    yield _sent(one[keep], doc[keep], content[keep], start[keep], np.ones(int(keep.sum()), np.int64), _window_column(held[keep]), salt)
+
+
+def _window_column(windows: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(LENGTH), len(windows), [None, pa.py_buffer(np.ascontiguousarray(windows).tobytes())]).cast(pa.binary())
 
 
 def _sent(*columns) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
     made = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)]
-    return pa.RecordBatch.from_arrays(made, ["route", "doc_id", "content", "start", "n", "bytes"])
+    salt = pa.array(columns[6] if len(columns) > 6 else np.zeros(len(made[0]), np.int32))
+    return pa.RecordBatch.from_arrays([*made, salt], ["route", "doc_id", "content", "start", "n", "bytes", "salt"])
+
+
+#: Bits of a rank or an index while three of them fit one sorted word.
+_BITS = 21
+
+
+def _ranked(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Dense rank of every pair, and the indices in order of pairs, then of index."""
+    n = len(high)
+    if n < 1 << _BITS and int(high.max(initial=0)) < 1 << _BITS and int(low.max(initial=0)) < 1 << _BITS:
+        key = np.sort((high << _U(2 * _BITS)) | (low << _U(_BITS)) | np.arange(n, dtype=_U))
+        order, key = (key & _U((1 << _BITS) - 1)).astype(np.int64), key >> _U(_BITS)
+    else:
+        key = (high << _U(32)) | low
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+    new = np.zeros(n, np.int64)
+    new[1:] = key[1:] != key[:-1]
+    rank = np.empty(n, _U)
+    rank[order] = np.cumsum(new).astype(_U)
+    return rank, order
+
+
+def suffix_order(text: np.ndarray, depth: int = LENGTH) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
+    """Ranks of the places by their first bytes, for a growing number of bytes up to ``depth``, by prefix doubling; and the places
+    in suffix order to that depth, equal ones by place. Beyond the end zeros follow."""
+    size = 5  # forty bits and an index fit one word
+    padded = np.append(text, np.zeros(2 * depth, np.uint8)).astype(_U)
+    high, low = (padded[:-4] << _U(8)) | padded[1:-3], (padded[2:-2] << _U(16)) | (padded[3:-1] << _U(8)) | padded[4:]
+    if len(high) < 1 << _BITS:
+        key = np.sort((((high << _U(24)) | low) << _U(_BITS)) | np.arange(len(high), dtype=_U))
+        order, key = (key & _U((1 << _BITS) - 1)).astype(np.int64), key >> _U(_BITS)
+        new = np.zeros(len(key), np.int64)
+        new[1:] = key[1:] != key[:-1]
+        rank = np.empty(len(key), _U)
+        rank[order] = np.cumsum(new).astype(_U)
+    else:
+        rank, order = _ranked(high, low)
+    levels = [(size, rank)]
+    while size < depth:
+        step = min(size, depth - size)
+        rank, order = _ranked(rank[:-step], rank[step:])
+        size += step
+        levels.append((size, rank))
+    return levels, order[order < len(text)]
+
+
+def _common(levels: list[tuple[int, np.ndarray]], text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """Length of the common prefix of the suffixes at ``a`` and ``b``, up to ``depth``."""
+    found = np.zeros(len(a), np.int64)
+    padded = np.append(text, np.zeros(2 * depth, np.uint8))
+    for size, rank in reversed(levels):
+        last = len(rank) - 1
+        same = (rank[np.minimum(a + found, last)] == rank[np.minimum(b + found, last)]) & (found + size <= depth)
+        found += np.where(same, size, 0)
+    # Levels do not halve exactly at the top, and stop at five bytes.
+    open_ = np.arange(len(a))
+    while len(open_):
+        x, y = a[open_] + found[open_], b[open_] + found[open_]
+        open_ = open_[(found[open_] < depth) & (padded[x] == padded[y])]
+        found[open_] += 1
+    return found
+
+
+def _smaller_before(place: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every entry the nearest one before with a smaller place (-1: none), and the common prefix of the two.
+
+    All entries step at once to what their candidate has found so far; what lies between is no smaller, so each step is
+    right, and steps grow as they go.
+    """
+    near, low = np.arange(len(place)) - 1, common.copy()
+    open_ = np.flatnonzero((near >= 0) & (place[near] >= place))
+    while len(open_):
+        at = near[open_]
+        step, least = near[at], np.minimum(low[open_], low[at])
+        near[open_], low[open_] = step, least
+        open_ = open_[(step >= 0) & (place[step] >= place[open_])]
+    low[near < 0] = 0
+    return near, low
 
 
-def depth_ranks(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """Rank of the suffix at every place by its first ``depth`` bytes (equal strings, equal rank), by prefix doubling.
+def longest_previous_factors(text: np.ndarray, entries: np.ndarray, place: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+    """Longest previous factor (up to ``depth``) of every entry: the common prefix with the previous or the next smaller place in suffix order.
 
-    Places within ``depth`` of the end are ranked as if zeros followed.
+    ``entries`` are places in ``text``, ``place`` what stands for them in the corpus, both ascending; equal places are one occurrence.
     """
-    padded = np.append(text, np.zeros(depth, np.uint8)).astype(_U)
-    h, size = padded, 1
-    while size < 8:
-        h = (h[:-size] << _U(8 * size)) | h[size:]
-        size *= 2
-    rank = np.unique(h, return_inverse=True)[1].astype(_U)
-    while size < depth:
-        step = min(size, depth - size)
-        rank = np.unique((rank[:-step] << _U(32)) | rank[step:], return_inverse=True)[1].astype(_U)
-        size += step
-    return rank[: len(text)].astype(np.int64)
+    levels, order = suffix_order(text, depth)
+    index = np.full(len(text), -1)
+    index[entries] = np.arange(len(entries))
+    mine = index[order]
+    mine = mine[mine >= 0]
+    at, p, rank = entries[mine], place[mine], levels[-1][1]
+    common = np.zeros(len(at), np.int64)
+    equal = np.zeros(len(at), bool)
+    equal[1:] = rank[at[1:]] == rank[at[:-1]]
+    common[equal] = depth
+    rest = np.flatnonzero(~equal[1:]) + 1
+    common[rest] = _common(levels, text, at[rest - 1], at[rest], depth)
+    _, before = _smaller_before(p, common)
+    # The same from the other end; the common prefix with the next entry stands one further.
+    _, after = _smaller_before(p[::-1], np.append(0, common[:0:-1]))
+    out = np.empty(len(entries), np.int64)
+    out[mine] = np.maximum(before, after[::-1])
+    return out
 
 
 def _earlier(doc: np.ndarray, content: np.ndarray, start: np.ndarray, n: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """doc, content and start of every window of the stretches whose longest previous factor has ``LENGTH`` bytes or more."""
+    """Row, doc, content and start of every window of the stretches whose longest previous factor has ``LENGTH`` bytes or more."""
+    by_place = np.lexsort((start, content, doc))
+    doc, content, start, n = doc[by_place], content[by_place], start[by_place], n[by_place]
+    texts = [texts[i] for i in by_place.tolist()]
     lengths = np.asarray([len(t) for t in texts])
-    rank = depth_ranks(np.frombuffer(b"".join(texts), np.uint8))
     row = np.repeat(np.arange(len(texts)), n)
     offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    place = (doc[row], content[row], start[row] + offset)
-    later = _later((rank[np.repeat(np.cumsum(lengths) - lengths, n) + offset],), place)
-    return tuple(p[later] for p in place)
+    entries = np.repeat(np.cumsum(lengths) - lengths, n) + offset
+    # Stretches of one text do not overlap, so their windows are in order; a repeated row stands at the same places.
+    same = np.zeros(len(texts), bool)
+    same[1:] = (doc[1:] == doc[:-1]) & (content[1:] == content[:-1]) & (start[1:] == start[:-1])
+    place = np.maximum.accumulate(np.where(same, 0, np.cumsum(n) - n))[row] + offset
+    later = longest_previous_factors(np.frombuffer(b"".join(texts), np.uint8), entries, place) >= LENGTH
+    return by_place[row[later]], doc[row[later]], content[row[later]], (start[row] + offset)[later]
 
 
-def _removed(sent: pa.Table) -> pa.RecordBatch:
-    """Removed spans of whole routes."""
+def _removed(sent: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Removed spans of some rows (no bytes, start and length in windows), and the windows of a salt that were not removed, without their salt."""
     size = pc.fill_null(pc.binary_length(sent["bytes"]), 0).to_numpy()
-    route, doc, content, start, n = (sent[c].to_numpy() for c in ("route", "doc_id", "content", "start", "n"))
+    doc, content, start, n, salt = (sent[c].to_numpy() for c in ("doc_id", "content", "start", "n", "salt"))
     spans = [(doc[size == 0], content[size == 0], start[size == 0], n[size == 0])]
-    alone = size == 8
-    hits = []
-    if alone.sum() > 1:
-        second = np.frombuffer(b"".join(sent["bytes"].filter(pa.array(alone)).to_pylist()), np.int64)
-        place = (doc[alone], content[alone], start[alone])
-        later = _later((route[alone], second), place)
-        hits.append(tuple(p[later] for p in place))
-    long = size >= LENGTH
-    if long.sum() > 1:
-        hits.append(_earlier(doc[long], content[long], start[long], n[long], sent["bytes"].filter(pa.array(long)).to_pylist()))
-    for d, c, s in hits:
+    stay = salt > 0
+    long = np.flatnonzero(size >= LENGTH)
+    if len(long) > 1:
+        rows, d, c, s = _earlier(doc[long], content[long], start[long], n[long], sent["bytes"].take(pa.array(long)).to_pylist())
+        stay[long[rows]] = False
         order = np.lexsort((s, c, d))
         d, c, s = d[order], c[order], s[order]
         first, last = _runs(d, c, s)
         spans.append((d[first], c[first], s[first], last - first + 1))
     d, c, s, k = (np.concatenate(x) for x in zip(*spans))
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (d, c, s, s + k - 1 + LENGTH)], ["doc_id", "content", "start", "stop"])
+    yield _sent(np.zeros(len(d), np.int64), d, c, s, k, [None] * len(d))
+    if stay.any():
+        kept = sent.filter(pa.array(stay)).combine_chunks()
+        yield _sent(*(kept[c].combine_chunks() for c in ("route", "doc_id", "content", "start", "n", "bytes")))
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Removed spans, from sent stretches and windows sorted by route, in chunks that end with a route."""
+    """Removed spans, from sent stretches and windows sorted by route and salt, in chunks that end with a route.
+
+    Windows of a salt may be cut anywhere: their first ones meet afterwards.
+    """
     held: list[pa.RecordBatch] = []
     for batch in batches:
         for piece in blocks(iter([batch]), "bytes"):
@@ -272,12 +372,12 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             table = pa.Table.from_batches(held)
             route = table["route"].to_numpy()
-            cut = int(np.searchsorted(route, route[-1]))
+            cut = int(np.searchsorted(route, route[-1])) if table["salt"][-1].as_py() == 0 else len(route)
             if cut:
-                yield _removed(table.slice(0, cut).combine_chunks())
+                yield from _removed(table.slice(0, cut).combine_chunks())
                 held = table.slice(cut).combine_chunks().to_batches()
     if held:
-        yield _removed(pa.Table.from_batches(held).combine_chunks())
+        yield from _removed(pa.Table.from_batches(held).combine_chunks())
 
 
 def _left(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -342,11 +442,14 @@ def _cut_texts(rows: DataFrame, with_text: bool) -> DataFrame:
     return chosen.mapInArrow(_cut(with_text), "doc_id long, content long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
+_SENT = "route long, doc_id long, content long, start long, n long, bytes binary, salt int"
+
+
 def _found(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Per row its size and digest; later copies of whole texts; texts dealt out by document; removed spans per document."""
     known = written(
         rows.select("doc_id", "text", "content").mapInArrow(
-            _name_rows, "doc_id long, content long, n_bytes long, digest binary, names array<long>, again array<long>"
+            _name_rows, "doc_id long, content long, n_bytes long, digest binary, names array<long>, again array<long>, times array<int>"
         ), "stretches",
     )
     named = known.where(F.col("doc_id").isNotNull() & (F.col("n_bytes") >= LENGTH))
@@ -357,10 +460,10 @@ def _found(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]
     # Ids of copies only are done; the texts of an id with several are told apart by content.
     ids = placed.groupBy("doc_id").agg(F.bool_and("copy").alias("done"), (F.min("content") != F.max("content")).alias("several"))
     entries = F.concat(
-        F.transform("names", lambda n: F.struct(n.alias("name"), F.col("content").alias("c"))),
-        F.transform("again", lambda n: F.struct(n.alias("name"), F.bitwise_not(F.col("content")).alias("c"))),
+        F.zip_with("names", "times", lambda n, k: F.struct(n.alias("name"), F.col("content").alias("c"), k.alias("n"))),
+        F.transform("again", lambda n: F.struct(n.alias("name"), F.bitwise_not(F.col("content")).alias("c"), F.lit(0).alias("n"))),
     )
-    seen = named.select(F.explode(entries).alias("e")).groupBy("e.name").agg(F.min("e.c").alias("low"), F.max("e.c").alias("high"), F.count("*").alias("n"))
+    seen = named.select(F.explode(entries).alias("e")).groupBy("e.name").agg(F.min("e.c").alias("low"), F.max("e.c").alias("high"), F.sum("e.n").alias("n"))
     repeated = seen.where(F.col("low") != F.col("high")).select("name", (F.col("n") > HOT).alias("hot"))
     asked = named.select("doc_id", F.explode("names").alias("name")).join(repeated, "name")
     wanted = asked.groupBy("doc_id").agg(F.collect_set(F.struct("name", "hot")).alias("names")).join(ids.where(~F.col("done")), "doc_id")
@@ -368,11 +471,14 @@ def _found(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]
     others = [c for c in rows.columns if c not in ("doc_id", "content", "text")]
     texts = rows.where(F.col("doc_id").isNotNull()).select("doc_id", "content", "text", *others).repartition("doc_id")
     sent = texts.join(wanted, "doc_id").select("doc_id", "text", "content", "names", "several", *others).mapInArrow(
-        _send, "route long, doc_id long, content long, start long, n long, bytes binary"
+        _send, _SENT
     )
-    # Spans found on the spot all have route 0; they are dealt out by place.
-    spans = sent.repartition(F.when(F.col("bytes").isNull(), F.xxhash64("doc_id", "start")).otherwise(F.col("route"))).sortWithinPartitions("route").mapInArrow(
-        _match, "doc_id long, content long, start long, stop long"
+    # Spans found on the spot have no bytes; they are dealt out by place.
+    key = F.when(F.col("bytes").isNull(), F.xxhash64("doc_id", "start")).otherwise(F.col("route"))
+    first = written(sent.repartition(key, "salt").sortWithinPartitions("route", "salt").mapInArrow(_match, _SENT), "first-matches")
+    rest = first.where(F.col("bytes").isNotNull()).repartition("route").sortWithinPartitions("route").mapInArrow(_match, _SENT)
+    spans = first.where(F.col("bytes").isNull()).unionByName(rest).select(
+        "doc_id", "content", "start", (F.col("start") + F.col("n") - 1 + LENGTH).alias("stop")
     )
     return known, copies, texts, spans
 
