@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -132,3 +133,30 @@ def test_odd_tables(spark):
     token_files.write_token_files(again, folder, WORDS, 2)
     rows = token_files.checksums(spark, folder).orderBy("start").collect()
     assert [r.doc_id for r in rows] == [None, None, 3, 3] and rows[-1].start + rows[-1].n_tokens == 9
+
+
+def test_long_words_equal_the_library_in_time(piece_library):
+    """Text without white space: letters at random, encoded data, mixed scripts, repeats, and characters that are no piece."""
+    pick = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    texts = [
+        "".join(pick.choice(letters) for _ in range(100_000)), "".join(pick.choice("日本語のテキスト漢字かな交じり文") for _ in range(30_000)),
+        "a" * 20_001, "ab" * 9_999, "".join(pick.choice("theinger") for _ in range(40_000)), "é" * 700 + "\U0001f600\u0378" * 300 + "x" * 5000,
+        ("word" + "y" * 300 + " ") * 5, "z" * 256, "z" * 257, "".join(chr(pick.randrange(0x21, 0x2000)) for _ in range(20_000)),
+    ]
+    coder = Pieces(MODEL)
+    started = time.perf_counter()
+    got = coder.encode(texts)
+    assert time.perf_counter() - started < 60
+    for text, packed in zip(texts, got):
+        assert np.frombuffer(packed, "<i4").tolist() == piece_library.encode(text)
+    assert all(len(w) <= sentence_pieces.LONG for w in coder.words.young)
+
+
+def test_long_and_short_words_merge_alike(monkeypatch, piece_library):
+    """Every word by either way."""
+    texts = [t for _, t in corpus() if t]
+    for limit in (0, 3):
+        monkeypatch.setattr(sentence_pieces, "LONG", limit)
+        for text, packed in zip(texts, Pieces(MODEL).encode(texts)):
+            assert np.frombuffer(packed, "<i4").tolist() == piece_library.encode(text)

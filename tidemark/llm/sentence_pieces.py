@@ -7,10 +7,15 @@ flat array of symbols, the rank of every adjacent pair, the least rank of each w
 words at once, compaction, until no word has a pair left. If no piece that a merged piece can grow into ranks
 before it or beside it, all its occurrences in a word merge in one round (leftmost first, without overlap); otherwise
 only the leftmost does. That gives exactly the order of the library: best score first, then leftmost.
+
+A word of more than ``LONG`` characters (text without white space, encoded data) would take a round over all its symbols for each of the
+thousands of ranks in it. Such words keep their pairs by rank instead, with links to the neighbours in place of compaction: a round takes the
+pairs of the least rank of all of them, and makes new pairs beside the merges only. They are not kept in the worker's cache.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -23,6 +28,7 @@ from tidemark.llm.common import Recent, blocks, id_and_text, worker_state
 
 SPACE = "▁"
 CACHE_WORDS = 160_000
+LONG = 256
 NONE = np.int32(2**31 - 1)
 _CUT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
@@ -73,6 +79,81 @@ class Pieces:
         hit = (self.keys[at] == key) & (left >= 0) & (right >= 0)
         return np.where(hit, self.rank[at], NONE), self.merged[at]
 
+    def _symbols(self, text: str) -> np.ndarray:
+        """One symbol a character; a character that is no piece becomes a negative one, and bytes at the end."""
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        distinct, inverse = np.unique(points, return_inverse=True)
+        return np.asarray([self.code.get(chr(c), -1 - int(c)) for c in distinct], np.int32)[inverse]
+
+    def _packed(self, symbols: np.ndarray, word: np.ndarray, n: int) -> list[bytes]:
+        """The ids of ``n`` words, from symbols in order of words."""
+        if (symbols < 0).any():
+            symbols, word = self._to_bytes(symbols, word)
+        packed = symbols.astype("<i4").tobytes()
+        cuts = (np.searchsorted(word, np.arange(n + 1)) * 4).tolist()
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def merge_long(self, words: list[str]) -> list[bytes]:
+        """The packed ids of long words, by rounds that touch only the pairs of one rank."""
+        if not words:
+            return []
+        symbols = self._symbols("".join(words)).copy()
+        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        n = len(symbols)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        ends = np.append(word[1:] != word[:-1], True)
+        after[ends] = -1
+        before[np.append(True, ends[:-1])] = -1
+        rank, merged = np.full(n, NONE), np.zeros(n, np.int32)
+        kept: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def note(at: np.ndarray) -> None:
+            """Rank the pairs that start at these symbols, and put them with others of their ranks."""
+            at = at[at >= 0]
+            right = after[at]
+            rank[at], merged[at] = self._pairs(symbols[at], np.where(right >= 0, symbols[right], -1))
+            at = at[rank[at] < NONE]
+            if not len(at):
+                return
+            at = at[np.argsort(rank[at], kind="stable")]
+            ranks = rank[at]
+            first = np.flatnonzero(np.append(True, ranks[1:] != ranks[:-1]))
+            for r, part in zip(ranks[first].tolist(), np.split(at, first[1:])):
+                if r not in kept:
+                    kept[r] = []
+                    heapq.heappush(heap, r)
+                kept[r].append(part)
+
+        note(np.arange(n))
+        alive = np.ones(n, bool)
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(kept.pop(r)))
+            at = at[alive[at] & (rank[at] == r)]
+            if not len(at):
+                continue
+            safe = self.safe[merged[at]]
+            lead = np.append(True, word[at[1:]] != word[at[:-1]])
+            # In a run of overlapping pairs (a symbol repeated), every second one merges.
+            new_run = np.append(True, after[at[:-1]] != at[1:])
+            run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
+            take = np.where(safe, (np.arange(len(at)) - run_start) % 2 == 0, lead)
+            chosen, left = at[take], at[~take & ~safe]
+            gone = after[chosen]
+            symbols[chosen] = merged[chosen]
+            alive[gone], rank[gone] = False, NONE
+            after[chosen] = after[gone]
+            followed = after[chosen] >= 0
+            before[after[chosen][followed]] = chosen[followed]
+            note(np.unique(np.concatenate([before[chosen], chosen])))
+            if len(left):
+                if r not in kept:
+                    kept[r] = []
+                    heapq.heappush(heap, r)
+                kept[r].append(left)
+        return self._packed(symbols[alive], word[alive], len(words))
+
     def merge(self, words: list[str]) -> list[bytes]:
         """The packed ids of words, all merged together."""
         if not words:
@@ -80,11 +161,7 @@ class Pieces:
         text = "".join(words)
         if not text:
             return [b""] * len(words)
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        distinct, inverse = np.unique(points, return_inverse=True)
-        # A character that is no piece becomes a negative symbol, and bytes at the end.
-        table = np.asarray([self.code.get(chr(c), -1 - int(c)) for c in distinct], np.int32)
-        symbols = table[inverse]
+        symbols = self._symbols(text)
         lengths = np.asarray([len(w) for w in words])
         word = np.repeat(np.arange(len(words)), lengths)
         done_symbols, done_words = [], []
@@ -114,12 +191,7 @@ class Pieces:
             symbols, word = symbols[keep], word[keep]
         symbols, word = np.concatenate(done_symbols), np.concatenate(done_words)
         order = np.argsort(word, kind="stable")
-        symbols, word = symbols[order], word[order]
-        if (symbols < 0).any():
-            symbols, word = self._to_bytes(symbols, word)
-        packed = symbols.astype("<i4").tobytes()
-        cuts = (np.searchsorted(word, np.arange(len(words) + 1)) * 4).tolist()
-        return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
+        return self._packed(symbols[order], word[order], len(words))
 
     def _to_bytes(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Writes the characters that are no piece as the ids of their UTF-8 bytes."""
@@ -141,8 +213,12 @@ class Pieces:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed 32-bit ids of texts, without begin or end."""
         cut = [self.cut(t) if t else [] for t in texts]
-        get = self.words.fill(set().union(*cut), self.merge).__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        every = set().union(*cut)
+        long = [w for w in every if len(w) > LONG]
+        known = self.words.fill(every.difference(long), self.merge)
+        if long:
+            known = known | dict(zip(long, self.merge_long(long)))
+        return [b"".join(map(known.__getitem__, c)) for c in cut]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces joined, control ids left out, the added white space in front taken off."""
@@ -157,7 +233,8 @@ def pieces(path: str) -> Pieces:
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", end: bool = True) -> DataFrame:
     """doc_id and ids (array of int) of every row, with the end id at the end if asked.
 
-    Null or empty text: the end id alone. Rows with a null id and repeated rows keep their rows.
+    Null or empty text: the end id alone. Rows with a null id and repeated rows keep their rows. Texts of any length are encoded whole, also
+    without white space in them.
     """
     return _run(docs, model, id_col, text_col, end, False)
 
