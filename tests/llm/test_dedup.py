@@ -5,6 +5,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import by_id, changed, corpus, documents, prose
 from pyspark.sql import functions as F
@@ -115,6 +116,37 @@ def test_repeats_odd_tables(spark):
     assert [r.n_removed for r in got if r.doc_id == 5] == [len(text)]
 
 
+def test_a_pair_is_compared_in_its_first_bucket_only():
+    """Three members of three components: two are alike and share bands 1 and 4, the third is like neither in size."""
+    alike, other = np.arange(100, dtype=np.uint64), np.arange(1000, 1020, dtype=np.uint64)
+    bands = np.arange(3 * near_dedup.BANDS).reshape(3, -1)
+    for band in (1, 4):
+        bands[:, band] = -band
+
+    def tile(band):
+        table = pa.table({
+            "key": [-band] * 3, "i": [0] * 3, "j": [0] * 3, "band": pa.array([band] * 3, pa.int32()), "rep": [1, 2, 3], "component": [1, 2, 3], "asks": [False, True, True],
+            "items": [x.tobytes() for x in (alike, alike[5:], other)], "bands": bands.tolist(),
+        })
+        return near_dedup._tile(75)(table).to_pylist()
+
+    assert tile(1) == [{"a": 2, "b": 1}] and tile(4) == []
+
+
+def test_templates_below_the_threshold(spark):
+    """Texts of one template share buckets without links; some are near copies of each other beside it."""
+    frame, rows = prose(500, 60).split(" "), []
+    for k in range(160):
+        words, pick = list(frame), random.Random(k % 140)
+        for i in pick.sample(range(60), 6):
+            words[i] = f"own{k % 140}x{i}"
+        rows.append((k, " ".join(words) + (" more" if k >= 140 else "")))
+    want = brute.near_components(rows)
+    got = by_id(near_dedup.link_components(documents(spark, rows)))
+    assert {i: r["component_id"] for i, r in got.items()} == {i: c for i, (_, c) in want.items()}
+    assert len({c for _, c in want.values()}) > 20
+
+
 @pytest.mark.parametrize("bits", [21, 3])
 def test_longest_previous_factors(monkeypatch, bits):
     """Against a search for every entry, with repeated rows, for texts of few and of many repeats."""

@@ -15,8 +15,10 @@ the full sets, never on sketches:
 
 1. star: every member of a bucket against the bucket's smallest member; verified links give components;
 2. rest: in buckets whose members are still in different components, every member outside the first one's component
-   against all members of other components, in tiles of at most ``TILE`` by ``TILE`` members.
+   against all members of other components that are large and small enough, in tiles of at most ``TILE`` by ``TILE`` members, a pair that
+   meets in several buckets in the first of them only.
 
+Which buckets these are, a combining aggregate over the components of their members tells, so a bucket of very many copies is no single task.
 Pairs known to be connected are not compared again: the component of a large group of near copies is found by
 comparisons with a few members, and no pair is given up. Nothing is capped.
 """
@@ -171,24 +173,31 @@ def _verify(percent: int):
 
 
 def _tile(percent: int):
-    """Links between members of different components in one tile, one per member and other component."""
+    """Links between members of different components in one tile, one per member and other component.
+
+    Pairs that share an earlier band have met there: by the star in a bucket of two, else in a tile.
+    """
 
     def run(tile: pa.Table) -> pa.Table:
         ids, comps = tile["rep"].to_numpy(), tile["component"].to_numpy()
         rest = np.asarray(tile["asks"].to_pylist(), bool)
         sets = [np.frombuffer(x, _U) for x in tile["items"].to_pylist()]
         sizes = np.asarray([len(s) for s in sets])
+        earlier = np.stack(tile["bands"].to_numpy())[:, : tile["band"][0].as_py()]
         owner = np.repeat(np.arange(len(sets)), sizes)
         _, code = np.unique(np.concatenate(sets), return_inverse=True)
         starts = np.concatenate([[0], np.cumsum(sizes)])
         out = []
         mark = np.zeros(int(code.max()) + 1, bool)
         for i in np.flatnonzero(rest).tolist():
+            new = (comps != comps[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])) & ~(earlier == earlier[i]).any(axis=1)
+            if not new.any():
+                continue
             mine = code[starts[i] : starts[i + 1]]
             mark[mine] = True
             both = np.bincount(owner[mark[code]], minlength=len(sets))
             mark[mine] = False
-            hit = (100 * both >= percent * (sizes + sizes[i] - both)) & (comps != comps[i])
+            hit = new & (100 * both >= percent * (sizes + sizes[i] - both))
             _, first = np.unique(comps[hit], return_index=True)
             out += [(int(ids[i]), int(x)) for x in ids[hit][first]]
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
@@ -207,7 +216,7 @@ def link_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     named = sketched.where(F.col("doc_id").isNotNull())
     classes = named.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     reps = named.select("doc_id", "set_key", "bands").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_key"], "left_semi")
-    keyed = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
+    keyed = reps.select(F.col("doc_id").alias("rep"), F.posexplode("bands").alias("band", "key"))
     # Buckets of two members or more, and their smallest member.
     sizes = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("other")).where(F.col("hub") != F.col("other"))
     members = written(keyed.join(sizes.select("key", "hub"), "key"), "bucket-members")
@@ -228,7 +237,7 @@ def link_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     ties = placed.join(shared, "doc_id").select("a", F.col("rep").alias("b")).where(F.col("a") != F.col("b"))
     links = written(verified.select("a", "b").unionByName(ties), "star-links")
     first = components(links, "star")
-    more = written(_rest_links(members, sets, first, percent), "rest-links")
+    more = written(_rest_links(members, sets, reps.select(F.col("doc_id").alias("rep"), "bands"), first, percent), "rest-links")
     if more.limit(1).count():
         first = components(links.unionByName(more), "all")
     labelled = placed.join(first.withColumnRenamed("node", "rep"), "rep", "left").select(
@@ -239,20 +248,23 @@ def link_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     )
 
 
-def _rest_links(members: DataFrame, sets: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+def _rest_links(members: DataFrame, sets: DataFrame, bands_of: DataFrame, first: DataFrame, percent: int) -> DataFrame:
     """Links that the comparisons with the buckets' smallest members did not make, between components."""
     label = first.withColumnRenamed("node", "rep")
     placed = members.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    hub = members.select(F.col("hub").alias("rep")).distinct().join(label, "rep", "left").select(
-        F.col("rep").alias("hub"), F.coalesce("component", "rep").alias("hub_component")
-    )
-    placed = placed.join(hub, "hub").withColumn("asks", F.col("component") != F.col("hub_component"))
-    # Members in the hub's component, and the rest; buckets of two have been compared in full.
+    # Buckets of two have been compared in full, those of one component need no comparison.
+    mixed = placed.groupBy("key").agg(F.min("hub").alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
+    mixed = written(mixed.where((F.col("low") != F.col("high")) & (F.col("n") > 2)).select("key", "hub"), "open-buckets")
+    # A member is the smallest of one bucket a band at most.
+    main = mixed.join(label.withColumnsRenamed({"rep": "hub", "component": "hub_component"}), "hub", "left")
+    main = main.select("key", F.coalesce("hub_component", "hub").alias("hub_component"))
+    placed = placed.join(main, "key").withColumn("asks", F.col("component") != F.col("hub_component"))
+    # Members in the hub's component, and the rest.
     counts = placed.groupBy("key").agg(
         F.sum(F.col("asks").cast("long")).alias("n_rest"), F.sum((~F.col("asks")).cast("long")).alias("n_main")
-    ).where((F.col("n_rest") > 0) & (F.col("n_rest") + F.col("n_main") > 2))
+    )
     open_ = placed.join(counts, "key").select(
-        "key", "rep", "component", "asks", F.ceil(F.col("n_rest") / TILE).alias("rests"), F.ceil(F.col("n_main") / TILE).alias("mains")
+        "key", "band", "rep", "component", "asks", F.ceil(F.col("n_rest") / TILE).alias("rests"), F.ceil(F.col("n_main") / TILE).alias("mains")
     )
     chunk = F.pmod(F.xxhash64("rep"), F.when(F.col("asks"), F.col("rests")).otherwise(F.col("mains")))
     open_ = open_.withColumn("chunk", chunk)
@@ -261,10 +273,9 @@ def _rest_links(members: DataFrame, sets: DataFrame, first: DataFrame, percent:
     with_main = F.transform(F.sequence(F.lit(1).cast("long"), F.col("mains")), lambda j: F.struct(F.col("chunk").alias("i"), (-j).alias("j")))
     from_main = F.transform(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1), lambda i: F.struct(i.alias("i"), (-F.col("chunk") - 1).alias("j")))
     tiles = F.when(F.col("asks"), F.when(F.col("mains") > 0, F.concat(with_rest, with_main)).otherwise(with_rest)).otherwise(from_main)
-    spread = open_.select("key", "rep", "component", "asks", F.explode(tiles).alias("tile")).select("key", "tile.i", "tile.j", "rep", "component", "asks")
-    return spread.join(sets, "rep").select("key", "i", "j", "rep", "component", "asks", "items").groupBy("key", "i", "j").applyInArrow(
-        _tile(percent), "a long, b long"
-    )
+    spread = open_.select("key", "band", "rep", "component", "asks", F.explode(tiles).alias("tile")).select("key", "band", "tile.i", "tile.j", "rep", "component", "asks")
+    full = spread.join(sets, "rep").join(bands_of, "rep").select("key", "i", "j", "band", "rep", "component", "asks", "items", "bands")
+    return full.groupBy("key", "i", "j").applyInArrow(_tile(percent), "a long, b long")
 
 
 def keep_one(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
