@@ -1,6 +1,7 @@
 """Quality ledger, decontamination, license scan and chats against plain versions."""
 
 import hashlib
+import random
 
 import brute
 from fixtures import by_id, corpus, documents, prose
@@ -183,3 +184,26 @@ def test_chats(spark):
     assert got[3] == (4, "\n".join(f"<|im_start|>{r}\n{t or ''}<|im_end|>" for r, t in talk))
     assert got[9] == (2, "<|im_start|>user\nhi<|im_end|>\n<|im_start|>user\nhi<|im_end|>")
     assert chats(spark, []) == {}
+
+
+def test_chats_over_ranges_of_turns(spark, monkeypatch):
+    """Turn numbers far apart, missing, equal and below zero, in ranges of two: as one list of turns gives."""
+    monkeypatch.setattr(chat_format, "RANGE_BITS", 1)
+    pick, rows = random.Random(3), []
+    for c in range(40):
+        turns = sorted(pick.sample(range(-6, 60), pick.randint(1, 12)))
+        for t in turns:
+            rows += [(c, None if t == -6 else t, pick.choice(["user", "bot", None]), f"text {t % 3}")] * (2 if t % 7 == 0 else 1)
+        rows += [(100 + c, t, r, x) for i, t, r, x in list(rows) if i == c and t is not None and t < pick.randint(0, 40)]
+    listed = {}
+    for c, t, r, x in rows:
+        listed.setdefault(c, []).append((t is not None, t or 0, r or "", x))
+    chats = {c: tuple(x[2:] for x in sorted(v)) for c, v in listed.items()}
+    whole = set(chats.values())
+    want = {}
+    for c in sorted(chats, reverse=True):
+        if not any(len(o) > len(chats[c]) and o[: len(chats[c])] == chats[c] for o in whole):
+            want = {k: v for k, v in want.items() if v != chats[c]} | {c: chats[c]}
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"range": F.lit("clash"), "a": F.lit(1)})
+    got = {r.conv_id: r.chat for r in chat_format.render(df).collect()}
+    assert got == {c: "\n".join(f"<|im_start|>{r}\n{t}<|im_end|>" for r, t in v) for c, v in want.items()}
