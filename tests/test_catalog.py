@@ -300,7 +300,7 @@ def job(spark, tmp_path, **settings):
 def test_refresh(spark, tmp_path):
     refresh = job(spark, tmp_path)
     log = refresh.once(["customer", "ghost"], NOW)
-    assert [(a, r) for a, r, _, _ in log] == [(a, "ok") for a in (*catalog.ASPECTS, "relationships")], log
+    assert [(a, r) for a, r, *_ in log] == [(a, "ok") for a in (*catalog.ASPECTS, "relationships")], log
     read = refresh.tables.read
     by_name = {r.name: r for r in read("topics").collect()}
     assert by_name["customer"].schema_subject == "customer-value" and by_name["customer"].inference_status == "inferred"
@@ -344,18 +344,91 @@ def test_failing_aspect_does_not_stop_the_others(spark, tmp_path):
         raise RuntimeError("no broker")
 
     refresh.sources.sampler = broken
-    log = {a: (r, e) for a, r, _, e in refresh.once(["customer"], NOW)}
+    log = {a: (r, e) for a, r, _, e, _ in refresh.once(["customer"], NOW)}
     assert log["samples"] == ("error", "no broker") and log["stats"][0] == "ok" and log["inference"][0] == "ok"
     assert catalog.stale_aspects(refresh.tables.read("topics"), spark.createDataFrame([("customer",)], "topic string"), NOW, refresh.settings.ttl()).filter("stale").first().aspect == "samples"
 
 
-def test_unfinished_snapshot_is_ignored(spark, tmp_path):
-    store = catalog.CatalogTables(spark, str(tmp_path / "c"))
-    store.write("spend", spark.sql("SELECT DATE'2030-01-01' day, 'p' provider, 1.0D spend_usd"))
-    (tmp_path / "c" / "spend" / "snapshot=9").mkdir()
-    assert store.read("spend").count() == 1
-    store.append("spend", spark.sql("SELECT DATE'2030-01-01' day, 'p' provider, 2.0D spend_usd"))
-    assert store.read("spend").count() == 2
+def test_one_bad_topic_does_not_stop_the_others(spark, tmp_path):
+    refresh = job(spark, tmp_path)
+    asked = []
+
+    def sampler(events, count):
+        names = {r.topic for r in events.select("topic").distinct().collect()}
+        asked.append(names)
+        if "customer" in names:
+            raise RuntimeError("no broker for customer")
+        return sampling.recent_samples(events, count)
+
+    other = refresh.sources.events.withColumn("topic", F.concat(F.lit("t"), F.col("offset")))
+    refresh.sources.events = refresh.sources.events.unionByName(other)
+    refresh.sources.sampler = sampler
+    names = ["customer", *[f"t{i}" for i in range(9)]]
+    log = [r for r in refresh.once(names, NOW, relationships=False) if r[0] == "samples"]
+    assert [(r, e, t) for _, r, _, e, t in log] == [("ok", None, None), ("error", "no broker for customer", "customer")]
+    assert {r.topic for r in refresh.tables.read("samples").collect()} == {f"t{i}" for i in range(9)} and len(asked) <= 9
+    stale = catalog.stale_aspects(refresh.tables.read("topics"), spark.createDataFrame([(n,) for n in names], "topic string"), NOW, refresh.settings.ttl())
+    assert rows(stale.filter("stale AND aspect = 'samples'"), "topic") == [("customer",)]
+    assert refresh.tables.read("runs").filter("topic = 'customer'").count() == 1
+
+
+def test_a_broken_source_is_not_asked_for_every_topic(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "MAX_FAILING", 2)
+    refresh, calls = job(spark, tmp_path), []
+
+    def step(names, now_ms):
+        calls.append(names)
+        raise RuntimeError("down")
+
+    log = refresh._tracked("samples", step, [f"t{i}" for i in range(64)], NOW)
+    assert len(log) == 64 and {r[1] for r in log} == {"error"} and {r[4] for r in log} == {f"t{i}" for i in range(64)}
+    assert len(calls) < 12
+
+
+def test_a_write_without_marks_is_not_seen(spark, tmp_path, monkeypatch):
+    tables = catalog.CatalogTables(spark, str(tmp_path / "c"))
+    keys = lambda *names: spark.createDataFrame([(n,) for n in names], "topic string")
+    notes = lambda *found: spark.createDataFrame([(t, n, "m", 1.0) for t, n in found], schemas.ANNOTATIONS)
+    assert tables.read("annotations").count() == 0
+    tables.replace("annotations", notes(("a", "x"), ("a", "y"), ("b", "x")), keys("a", "b", "c"))
+    whole = type(keys("a")).distinct
+
+    def dying(self):
+        raise RuntimeError("lost the driver")
+
+    monkeypatch.setattr(type(keys("a")), "distinct", dying)
+    with pytest.raises(RuntimeError):
+        tables.replace("annotations", notes(("a", "lost")), keys("a"))
+    monkeypatch.setattr(type(keys("a")), "distinct", whole)
+    assert rows(tables.read("annotations"), "topic", "name") == [("a", "x"), ("a", "y"), ("b", "x")]
+    tables.replace("annotations", notes(("a", "z")), keys("a", "b"))
+    assert rows(tables.read("annotations"), "topic", "name") == [("a", "z")]
+    fresh = catalog.compact(tables, str(tmp_path / "d"))
+    assert rows(fresh.read("annotations"), "topic", "name") == [("a", "z")]
+
+
+def test_appending_reads_nothing(spark, tmp_path, monkeypatch):
+    tables = catalog.CatalogTables(spark, str(tmp_path / "c"))
+    spend = lambda usd: spark.sql(f"SELECT DATE'2030-01-01' day, 'p' provider, {usd}D spend_usd")
+    monkeypatch.setattr(catalog.CatalogTables, "_scan", lambda *a: pytest.fail("read"))
+    for usd in (1.0, 2.0):
+        tables.append("spend", spend(usd))
+    monkeypatch.undo()
+    assert rows(tables.read("spend"), "spend_usd") == [(1.0,), (2.0,)]
+    with pytest.raises(ValueError):
+        tables.append("fields", spend(1.0))
+
+
+def test_topics_are_folded_by_column(spark, tmp_path):
+    tables = catalog.CatalogTables(spark, str(tmp_path / "c"))
+    write = lambda **v: tables.update_topics(spark.createDataFrame([tuple(v.values())], ", ".join(f"{k} {'long' if k.endswith('ms') else 'string'}" for k in v)))
+    write(name="a", schema_subject="s1", last_schema_refresh_ms=1)
+    write(name="a", description="d", inference_status="inferred")
+    write(name="a", schema_subject=None, last_schema_refresh_ms=9)
+    write(name="b", last_stats_refresh_ms=3)
+    for t in (tables, catalog.compact(tables, str(tmp_path / "d"))):
+        got = {r.name: (r.schema_subject, r.description, r.inference_status, r.last_schema_refresh_ms, r.last_stats_refresh_ms) for r in t.read("topics").collect()}
+        assert got == {"a": ("s1", "d", "inferred", 9, None), "b": (None, None, "pending", None, 3)}
 
 
 def test_loop(spark, tmp_path):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.functions import privacy
 from tidemark.operators import activity, annotate, models, relations, sampling
+from tidemark.plans import store
 from tidemark.sources import registry as registry_source
 from tidemark.session import local_rows
 
@@ -23,6 +24,9 @@ STAMPS = {
     "stats": "last_stats_refresh_ms",
     "inference": "last_inference_refresh_ms",
 }
+#: Topics that may fail one by one before an aspect counts as broken.
+MAX_FAILING = 16
+# The defaults of ``Settings`` are the periods and bounds that users of the catalog know.
 #: Columns a new topic row always overwrites, also with null; all others keep the old value then.
 OVERWRITTEN = ("schema_subject", "schema_id", "schema_version", "inference_status")
 
@@ -103,42 +107,93 @@ def stale_aspects(topics: DataFrame, names: DataFrame, now_ms: int, ttl: dict[st
 # -- tables ----------------------------------------------------------------------------------------
 
 
+#: Tables whose rows are replaced key by key; of the others, ``topics`` is folded by column and the rest only grows.
+REPLACED = {"fields": "topic", "annotations": "topic", "samples": "topic", "activity": "topic", "relationships": "source_topic"}
+
+
 class CatalogTables:
-    """Catalog tables as snapshot folders: a write lands in a new folder, readers take the newest
-    complete one. A job that dies half-way leaves the previous snapshot in force. One writer per table.
+    """The catalog as plain Parquet that is only ever appended to, folded when it is read. One writer at a time.
+
+    * Cache, spend and run log: appended rows, read as they are.
+    * Replaced tables: the new rows of some keys with a version, and after them one mark per key with the same version. A reader
+      takes every key's rows of its latest mark. Rows of a write that died before its marks are never seen.
+    * Topics: each write has the columns it changes; a reader takes the last known value of every column.
+
+    :func:`compact` copies what a reader sees into a fresh folder.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _snapshots(self, table: str) -> list[int]:
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return []
-        found = []
-        for status in fs.listStatus(folder):
-            name = status.getPath().getName()
-            done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-            if name.startswith("snapshot=") and fs.exists(done):
-                found.append(int(name.split("=")[1]))
-        return sorted(found)
+    def _scan(self, folder: str, schema: str) -> DataFrame | None:
+        return self.spark.read.schema(schema).parquet(folder) if store.exists(self.spark, folder) else None
+
+    def _rows(self, table: str) -> DataFrame | None:
+        versioned = table == "topics" or table in REPLACED
+        return self._scan(f"{self.root}/{table}", TABLES[table] + (", version BIGINT" if versioned else ""))
+
+    def _marks(self, table: str) -> DataFrame | None:
+        return self._scan(f"{self.root}/{table}_marks", f"{REPLACED[table]} STRING, version BIGINT")
 
     def read(self, table: str) -> DataFrame:
-        taken = self._snapshots(table)
-        if not taken:
+        rows, columns = self._rows(table), schemas._schema(TABLES[table]).fieldNames()
+        if rows is None or (table in REPLACED and self._marks(table) is None):
             return local_rows(self.spark, [], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}/snapshot={taken[-1]}")
-
-    def write(self, table: str, rows: DataFrame) -> None:
-        taken = self._snapshots(table)
+        if table == "topics":
+            return fold_topics(rows).select(columns)
+        if table not in REPLACED:
+            return rows
+        key = REPLACED[table]
+        latest = self._marks(table).groupBy(key).agg(F.max("version").alias("version"))
+        return rows.join(latest, [key, "version"], "left_semi").select(columns)
+
+    def _version(self, *written: DataFrame | None) -> int:
+        """One more than any version there is, whether its write was finished or not; one number from each part."""
+        return 1 + max([r.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0] for r in written if r is not None], default=0)
+
+    def _shaped(self, table: str, rows: DataFrame) -> DataFrame:
         wanted = schemas._schema(TABLES[table])
-        shaped = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])
-        shaped.write.mode("overwrite").parquet(f"{self.root}/{table}/snapshot={taken[-1] + 1 if taken else 0}")
+        return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
 
     def append(self, table: str, rows: DataFrame) -> None:
-        self.write(table, self.read(table).unionByName(rows.select(*self.read(table).columns)))
+        """Add rows to a table that only grows; nothing of it is read."""
+        if table == "topics" or table in REPLACED:
+            raise ValueError(f"{table} is not a table that only grows")
+        self._shaped(table, rows).write.mode("append").parquet(f"{self.root}/{table}")
+
+    def replace(self, table: str, rows: DataFrame, keys: DataFrame) -> None:
+        """``rows`` take the place of all rows of ``keys`` (one column), also where there are none."""
+        version = self._version(self._rows(table), self._marks(table))
+        self._shaped(table, rows).withColumn("version", F.lit(version).cast("long")).write.mode("append").parquet(f"{self.root}/{table}")
+        marks = keys.toDF(REPLACED[table]).distinct().withColumn("version", F.lit(version).cast("long"))
+        marks.write.mode("append").parquet(f"{self.root}/{table}_marks")
+
+    def update_topics(self, rows: DataFrame) -> None:
+        """New values of some columns of some topics; null or missing ones keep what is known."""
+        version = self._version(self._rows("topics"))
+        self._shaped("topics", rows).withColumn("version", F.lit(version).cast("long")).write.mode("append").parquet(f"{self.root}/topics")
+
+
+def fold_topics(rows: DataFrame) -> DataFrame:
+    """The last known value of every column by topic, over rows with a ``version``."""
+    columns = [c for c in rows.columns if c not in ("name", "version")]
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("version"))).alias(c) for c in columns]
+    folded = rows.groupBy("name").agg(*last)
+    return folded.withColumn("inference_status", F.coalesce("inference_status", F.lit("pending")))
+
+
+def compact(tables: CatalogTables, root: str) -> CatalogTables:
+    """The same catalog with one write per table, in a fresh folder; readers and the writer change over to it."""
+    fresh = CatalogTables(tables.spark, root)
+    for table in TABLES:
+        rows = tables.read(table)
+        if table == "topics":
+            fresh.update_topics(rows)
+        elif table in REPLACED:
+            fresh.replace(table, rows, rows.select(REPLACED[table]))
+        else:
+            fresh.append(table, rows)
+    return fresh
 
 
 # -- refresh ---------------------------------------------------------------------------------------
@@ -166,7 +221,8 @@ class Refresh:
     def once(self, names: Iterable[str], now_ms: int, force: bool = False, relationships: bool = True) -> list[tuple]:
         """Refresh what is stale, then the relationships; returns the run log rows.
 
-        An aspect that fails is logged and the others go on.
+        An aspect that fails is tried again for halves of its topics, until the topics that fail are alone; these are
+        logged and the others go on.
         """
         spark = self.tables.spark
         listed = sorted(set(names))
@@ -177,35 +233,52 @@ class Refresh:
         for row in due.filter(F.lit(force) | F.col("stale")).select("topic", "aspect").collect():
             stale[row.aspect].append(row.topic)
         steps = [(a, getattr(self, f"_{a}")) for a in ASPECTS if stale[a]]
-        log = [self._tracked(aspect, step, stale[aspect], now_ms) for aspect, step in steps]
+        log = [row for aspect, step in steps for row in self._tracked(aspect, step, stale[aspect], now_ms)]
         if relationships:
-            log.append(self._tracked("relationships", self._relationships, listed, now_ms))
+            log.append(self._tried("relationships", self._relationships, listed, now_ms))
         self.tables.append("runs", local_rows(spark, log, schemas.RUN_LOG))
         return log
 
-    def _tracked(self, aspect: str, step, names: list[str], now_ms: int) -> tuple:
+    def _tried(self, aspect: str, step, names: list[str], now_ms: int) -> tuple:
+        """(aspect, result, seconds, error, topic) of one attempt; the topic only where it is the only one."""
         started, result, error = time.perf_counter(), "ok", None
         try:
             step(names, now_ms)
         except Exception as exc:
             result, error = "error", str(exc)[:500]
-        return aspect, result, time.perf_counter() - started, error
+        return aspect, result, time.perf_counter() - started, error, names[0] if len(names) == 1 and error else None
+
+    def _tracked(self, aspect: str, step, names: list[str], now_ms: int) -> list[tuple]:
+        """Log rows of an aspect: of the whole if it passes, else of what passed together and of every topic that fails.
+
+        All topics go through one job; only a failure costs more of them, two for each halving. After ``MAX_FAILING`` failed topics the
+        fault is taken for one of the source: what is left is logged as not tried.
+        """
+        whole = self._tried(aspect, step, names, now_ms)
+        if whole[1] == "ok" or len(names) == 1:
+            return [whole]
+        failed, seconds, passed, open_ = [], whole[2], 0, [names[len(names) // 2 :], names[: len(names) // 2]]
+        while open_:
+            part = open_.pop()
+            if len(failed) >= MAX_FAILING:
+                failed += [(aspect, "error", 0.0, "not tried after too many failures", n) for n in part]
+                continue
+            row = self._tried(aspect, step, part, now_ms)
+            seconds += row[2]
+            if row[1] == "ok":
+                passed += len(part)
+            elif len(part) == 1:
+                failed.append(row)
+            else:
+                open_ += [part[len(part) // 2 :], part[: len(part) // 2]]
+        return [*([(aspect, "ok", seconds, None, None)] if passed else []), *failed]
 
     def _stamp(self, names: Sequence[str], aspect: str, now_ms: int, changes: DataFrame | None = None) -> None:
-        """Write topic rows with a new stamp; columns without a change keep their value."""
-        spark = self.tables.spark
-        old = self.tables.read("topics")
-        rows = local_rows(spark, [(n,) for n in sorted(set(names))], "name string")
+        """Write a new stamp, and the changes, of some topics; columns without a change keep their value."""
+        rows = local_rows(self.tables.spark, [(n,) for n in sorted(set(names))], "name string")
         if changes is not None:
             rows = rows.join(changes, "name", "left")
-        known = old.select("name", *[F.col(c).alias(f"_{c}") for c in OVERWRITTEN])
-        rows = rows.join(known, "name", "left").withColumn(STAMPS[aspect], F.lit(now_ms).cast("long"))
-        for c in OVERWRITTEN:
-            default = F.lit("pending") if c == "inference_status" else F.lit(None)
-            given = [F.col(c)] if c in rows.columns else []
-            rows = rows.withColumn(c, F.coalesce(*given, F.col(f"_{c}"), default))
-        missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in old.schema if f.name not in rows.columns]
-        self.tables.write("topics", merge_topics(old, rows.select("*", *missing).select(*old.columns)))
+        self.tables.update_topics(rows.withColumn(STAMPS[aspect], F.lit(now_ms).cast("long")))
 
     def _schema(self, names: list[str], now_ms: int) -> None:
         """Topics the registry snapshot knows get their fields replaced; others keep what they have."""
@@ -217,17 +290,14 @@ class Refresh:
                 F.col("version").alias("schema_version"), F.col("fingerprint").alias("schema_fingerprint"),
                 F.col("schema_json").alias("raw_schema_json"),
             )
-            self.tables.write(
-                "fields",
-                replace_by_key(self.tables.read("fields"), registry_source.flatten(latest), "topic", latest.select("topic")),
-            )
+            self.tables.replace("fields", registry_source.flatten(latest), latest.select("topic"))
         self._stamp(names, "schema", now_ms, changes)
 
     def _samples(self, names: list[str], now_ms: int) -> None:
         taken = self._take_samples(names)
         keys = local_rows(self.tables.spark, [(n,) for n in names], "topic string")
         kept = taken if self.settings.retain_samples else taken.filter(F.lit(False))
-        self.tables.write("samples", replace_by_key(self.tables.read("samples"), kept, "topic", keys))
+        self.tables.replace("samples", kept, keys)
         self._stamp(names, "samples", now_ms)
 
     def _take_samples(self, names: list[str]) -> DataFrame:
@@ -246,7 +316,7 @@ class Refresh:
         full = keys.join(profile, "topic", "left").na.fill(0, ["messages_last_hour", "messages_last_day"]).na.fill(
             0.0, ["rate_per_minute_last_hour"]
         )
-        self.tables.write("activity", replace_by_key(self.tables.read("activity"), full, "topic"))
+        self.tables.replace("activity", full, keys)
         self._stamp(names, "stats", now_ms)
 
     def _inference(self, names: list[str], now_ms: int) -> None:
@@ -264,7 +334,7 @@ class Refresh:
         self.tables.append("annotation_cache", out.cache)
         self.tables.append("spend", out.spend)
         notes = annotate.known_annotations(fields, out.annotations)
-        self.tables.write("annotations", replace_by_key(self.tables.read("annotations"), notes, "topic"))
+        self.tables.replace("annotations", notes, notes.select("topic"))
         changes = out.topics.withColumnRenamed("topic", "name")
         described = [r.name for r in fields.select(F.col("topic").alias("name")).distinct().collect()]
         self._stamp(described, "inference", now_ms, changes)
@@ -292,9 +362,7 @@ class Refresh:
             self.tables.append("annotation_cache", cache)
             self.tables.append("spend", spend)
         keys = local_rows(self.tables.spark, [(n,) for n in names], "source_topic string")
-        self.tables.write(
-            "relationships", replace_by_key(self.tables.read("relationships"), edges, "source_topic", keys)
-        )
+        self.tables.replace("relationships", edges, keys)
 
 
 def ensure_fresh(refresh: Refresh, topic: str, now_ms: int) -> DataFrame:

@@ -11,7 +11,7 @@ from tidemark.functions.json_text import struct_json
 from tidemark.operators import activity, annotate, budget, models, sampling, topics
 from tidemark.plans import catalog, inputs
 from tidemark.plans.queries_events import EV, NOW, PART_FIELDS_SQL, part_fields
-from tidemark.session import shared_dir
+from tidemark.session import local_rows, shared_dir
 from tidemark.sources import registry, tables
 
 QUERIES: dict = {}
@@ -499,3 +499,36 @@ def refresh_stale(spark, folder):
         "last_stats_refresh_ms", "messages_last_day", "samples", "fields", "edges",
     )
 
+
+class BrokenTopic(Exception):
+    """What the stand-in sampler raises for one topic."""
+
+
+def _sampler_without(topic):
+    def sample(events, count):
+        if events.filter(F.col("topic") == topic).limit(1).count():
+            raise BrokenTopic(f"no partition of {topic}")
+        return sampling.recent_samples(events, count)
+
+    return sample
+
+
+@query(
+    f"""WITH {EV}, {SAMPLED}, {STATS} SELECT topic, CASE WHEN topic = 'click' THEN 0 ELSE (SELECT count(*) FROM samples WHERE samples.topic = stats.topic) END AS samples,
+    'inferred' AS inference_status, concat('about ', topic) AS description,
+    CASE WHEN topic = 'click' THEN 'no partition of click' END AS error FROM stats"""
+)
+def refresh_with_a_broken_topic(spark, folder):
+    """The whole refresh with a model, and a sampler that cannot read one of the topics: that topic is logged, all others are refreshed."""
+    catalog_ = catalog.CatalogTables(spark, shared_dir(spark, "catalog"))
+    model = models.Model("local", lambda prompt: (json.dumps({"description": "about " + json.loads(prompt[prompt.index('{"topic"'):])["topic"]}), 0.001))
+    sources = catalog.Sources(
+        tables.events(spark, folder), inputs.event_registry(spark, folder), sampler=_sampler_without("click"), model=model
+    )
+    names = [r.topic for r in activity.topic_names(sources.events).collect()]
+    log = catalog.Refresh(catalog_, sources, catalog.Settings()).once(names, NOW, relationships=False)
+    failed = local_rows(spark, [(topic, error) for _, result, _, error, topic in log if result != "ok"], "topic string, error string")
+    kept = catalog_.read("samples").groupBy("topic").agg(F.count(F.lit(1)).alias("samples"))
+    rows = catalog_.read("topics").select(F.col("name").alias("topic"), "inference_status", "description")
+    rows = rows.join(kept, "topic", "left").join(failed, "topic", "left")
+    return rows.select("topic", F.coalesce("samples", F.lit(0).cast("long")).alias("samples"), "inference_status", "description", "error")

@@ -37,7 +37,7 @@ RELATIONSHIPS = (
 )
 ANNOTATION_CACHE = "cache_key STRING, payload_json STRING, created_ms BIGINT"
 SPEND = "day DATE, provider STRING, spend_usd DOUBLE"
-RUN_LOG = "aspect STRING, result STRING, seconds DOUBLE, error STRING"
+RUN_LOG = "aspect STRING, result STRING, seconds DOUBLE, error STRING, topic STRING"
 
 #: Columns of an event that are addressed by their own name in filters.
 CORE_COLUMNS = ("topic", "partition", "offset", "timestamp_ms", "key")
