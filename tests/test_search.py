@@ -327,6 +327,13 @@ def test_model_in_workers(spark):
     assert [r[0] for r in df.select(embed_column(Lengths(), F.col("text"))).collect()] == [[2.0, 1.0], [3.0, 1.0]]
 
 
+def test_stored_vectors_have_unit_length(spark):
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, None), (3, [0.0, 0.0]), (4, []), (5, [2.0])], "n int, embedding array<double>")
+    out = embedding.normalized(df)
+    assert out.schema["embedding"].dataType.elementType.simpleString() == "float"
+    assert {r.n: r.embedding and [round(x, 6) for x in r.embedding] for r in out.collect()} == {1: [0.6, 0.8], 2: None, 3: [0.0, 0.0], 4: [], 5: [1.0]}
+
+
 def test_cache_embeds_only_new_texts(spark):
     first = spark.createDataFrame([("a",), ("b",)], "text string")
     _, cache = embedding.embed_distinct(first, Lengths)

@@ -14,7 +14,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import vectors
 from tidemark.session import null_safe_join
 
 
@@ -153,6 +152,22 @@ def reuse_counts(df: DataFrame, by: Sequence[str], order: Sequence[str], text: s
     return joined.select(*by, "texts", "misses", (F.col("texts") - F.col("misses")).alias("hits"))
 
 
+def unit_floats(column: Column) -> Column:
+    """Vectors at unit length as ``array<float>``, the form that is stored; zero vectors stay zero, nulls null."""
+
+    @F.arrow_udf("array<float>")
+    def scale(batch: pa.Array) -> pa.Array:
+        lengths = np.asarray(pc.fill_null(pc.list_value_length(batch), 0))
+        flat = np.asarray(batch.flatten().cast(pa.float64()), dtype=np.float64)
+        row = np.repeat(np.arange(len(batch)), lengths)
+        size = np.sqrt(np.bincount(row, flat * flat, len(batch)))[row]
+        unit = np.divide(flat, size, out=flat.copy(), where=size > 0).astype(np.float32)
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(unit), mask=pc.is_null(batch))
+
+    return scale(column)
+
+
 def normalized(df: DataFrame, column: str = "embedding") -> DataFrame:
     """Unit-length vectors, so that later scoring is a dot product."""
-    return df.withColumn(column, vectors.l2_normalize(F.col(column)))
+    return df.withColumn(column, unit_floats(F.col(column)))

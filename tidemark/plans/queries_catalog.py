@@ -532,3 +532,20 @@ def refresh_with_a_broken_topic(spark, folder):
     rows = catalog_.read("topics").select(F.col("name").alias("topic"), "inference_status", "description")
     rows = rows.join(kept, "topic", "left").join(failed, "topic", "left")
     return rows.select("topic", F.coalesce("samples", F.lit(0).cast("long")).alias("samples"), "inference_status", "description", "error")
+
+
+@query(
+    """SELECT concat(p_brand, '/', p_type) AS name, max(p_partkey)::INTEGER AS version, sha256(arg_max(concat('schema of ', p_name), p_partkey)) AS raw_schema
+    FROM part GROUP BY p_brand, p_type ORDER BY name"""
+)
+def topic_names(spark, folder):
+    """Every topic of the catalog by name, with the raw schema that its row holds."""
+    part = tables.load(spark, folder, "part")
+    rows = part.groupBy(F.concat("p_brand", F.lit("/"), "p_type").alias("name")).agg(
+        F.max("p_partkey").cast("int").alias("schema_version"), F.max_by(F.concat(F.lit("schema of "), "p_name"), "p_partkey").alias("raw_schema_json")
+    )
+    held = catalog.CatalogTables(spark, shared_dir(spark, "catalog"))
+    held.update_topics(rows)
+    known = held.read("topics")
+    listed = topics.list_names(known)
+    return listed.join(known, "name").select("name", F.col("schema_version").alias("version"), F.sha2("raw_schema_json", 256).alias("raw_schema"))

@@ -168,6 +168,48 @@ def follow_relationship(spark, folder):
     return relations.follow(topics["orders"], builders, "customer_id", "customer_id").select("order_id", "customer_id")
 
 
+@query(f"WITH {EDGES} SELECT source_topic, target_topic, source_field, relationship_type, round(confidence, 9) AS confidence FROM edges")
+def evident_edges(spark, folder):
+    """The same edges from the topics that share values, without pairing up all topics with a field of one name."""
+    topics, fields = _fields(spark, folder)
+    observed = relations.observe_tables(topics, relations.candidate_keys(fields)).drop("bit")
+    edges = relations.heuristic_edges(fields, observed, NOW)
+    return edges.select("source_topic", "target_topic", "source_field", "relationship_type", F.round("confidence", 9).alias("confidence"))
+
+
+def _described(name: str) -> str:
+    return f"""'{{"name":"', {name}, '","schema_fingerprint":"fp-', {name}, '","description":null}}'"""
+
+
+@query(
+    f"""WITH {EDGES}, {UNRELATED} SELECT a, b, concat('rel:', sha256(concat('{{"a":', {_described("a")}, ',"b":', {_described("b")}, '}}'))) AS cache_key FROM un"""
+)
+def pair_keys(spark, folder):
+    """The cache key of every pair without an edge, whichever way round the pair is asked."""
+    _, fields, edges = _edges(spark, folder)
+    names = fields.select(F.col("topic").alias("name")).distinct()
+    topics = names.select("name", F.concat(F.lit("fp-"), "name").alias("schema_fingerprint"), F.lit(None).cast("string").alias("description"))
+    pairs = relations.unrelated_pairs(names, edges)
+    there = relations.with_pair_prompts(pairs, topics, fields)
+    back = relations.with_pair_prompts(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), topics, fields)
+    same = there.alias("x").join(back.alias("y"), (F.col("x.a") == F.col("y.b")) & (F.col("x.b") == F.col("y.a")) & (F.col("x.cache_key") == F.col("y.cache_key")))
+    return same.select("x.a", "x.b", "x.cache_key")
+
+
+@query(
+    f"WITH {EDGES} SELECT source_topic, target_topic, relationship_type, source_field, round(confidence, 9) AS confidence FROM edges WHERE source_topic = 'orders' AND target_topic = 'customers'"
+)
+def detect_pair(spark, folder):
+    """One pair of topics, by the values of all their records."""
+    topics, fields = _fields(spark, folder)
+    records = [
+        df.select(F.lit(name).alias("topic"), F.to_json(F.struct(*df.columns)).alias("value_json")) for name, df in topics.items() if name in ("orders", "customers")
+    ]
+    names = fields.select(F.col("topic").alias("name")).distinct()
+    edges = relations.detect_pair("orders", "customers", names, fields, records[0].unionByName(records[1]), NOW)
+    return edges.select("source_topic", "target_topic", "relationship_type", "source_field", F.round("confidence", 9).alias("confidence"))
+
+
 CAPACITY, PERIOD = 3, 5_400_000
 
 

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.functions import privacy
 from tidemark.functions.json_text import canonical_json
 from tidemark.operators.activity import ingest_counters
-from tidemark.operators.embedding import embed_column, probe_dim
+from tidemark.operators.embedding import embed_column, normalized, probe_dim
 from tidemark.plans import store
 from tidemark.sources import envelope
 
@@ -81,7 +81,7 @@ def prepare(decoded: DataFrame, job: Job) -> tuple[DataFrame, DataFrame]:
     """(events ready to store, rejects) of decoded records.
 
     Records are put next to their folder's others and made unique while they are still small;
-    text and vector are made afterwards, so vectors are never exchanged.
+    text and vector are made afterwards, so vectors are never exchanged. Vectors are stored at unit length, as floats.
     """
     events = envelope.good(decoded)
     if job.drop_fields:
@@ -90,7 +90,8 @@ def prepare(decoded: DataFrame, job: Job) -> tuple[DataFrame, DataFrame]:
     stored = store.stored_form(events, job.promote, headers=job.include_headers)
     stored = store.unique_in_folders(stored, [F.desc("timestamp_ms")])
     stored = stored.withColumn("text", canonical_json(F.col("value_json")))
-    return stored.withColumn("embedding", embed_column(job.embedder, F.col("text"))), envelope.rejects(decoded)
+    stored = normalized(stored.withColumn("embedding", embed_column(job.embedder, F.col("text"))))
+    return stored, envelope.rejects(decoded)
 
 
 def retrying(action: Callable[[], None], attempts: int = RETRIES, first_wait: float = 0.5, longest: float = 4.0) -> None:
