@@ -1,4 +1,5 @@
 import json
+import re
 from datetime import date
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.operators import activity, throttle
 from tidemark.operators.embedding import HashingEmbedder
+from tidemark.operators.filters import where
 from tidemark.operators.throttle import Bucket
 from tidemark.plans import store
 from tidemark.sources import kafka
@@ -99,6 +101,10 @@ def test_look_back_lists_only_its_days(spark, tmp_path):
     recent = store.read(spark, path, since_ms=now - 3_600_000 * 6)
     assert {f.split("event_date=")[1][:10] for f in recent.inputFiles()} == {"1970-01-10"}
     assert [r.value_s for r in recent.filter(f"timestamp_ms >= {now - 3_600_000 * 6}").collect()] == ["b"]
+    # A look-back over the whole table leaves the folders of other days out too.
+    found = where(store.read(spark, path), minutes=360, now_ms=now)
+    assert [r.value_s for r in found.collect()] == ["b"]
+    assert re.search(r"PartitionFilters: \[[^\]]*event_date#\d+ >= 1970-01-10", found._jdf.queryExecution().executedPlan().toString())
     assert store.read(spark, path, since_ms=20 * day) is None and store.read(spark, path, until_ms=day).count() == 8
 
 

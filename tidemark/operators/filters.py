@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from datetime import datetime, timezone
 from decimal import Decimal
 from functools import reduce
 from operator import and_, or_
@@ -183,14 +184,18 @@ def lookback_predicate(
     """Events of the last ``minutes`` (one at least). A longer look-back than ``max_minutes`` is an error.
 
     Where the source's own ``event_time`` column is present the filter is put on it, which is
-    equivalent for whole-millisecond cut-offs and can be pushed into the scan.
+    equivalent for whole-millisecond cut-offs and can be pushed into the scan. Where the day is a column of its own (the event
+    table's top folder) it is bounded as well, so folders of earlier days are not read.
     """
     if max_minutes is not None and minutes > max_minutes:
         raise ValueError(f"a look-back of {minutes} minutes exceeds the maximum of {max_minutes}")
     cutoff = int(now_ms) - max(1, int(minutes)) * 60_000
     if "event_time" in df.columns and isinstance(df.schema["event_time"].dataType, T.TimestampNTZType):
         return F.col("event_time") >= timeparts.ntz_of_ms(cutoff)
-    return F.col("timestamp_ms") >= cutoff
+    recent = F.col("timestamp_ms") >= cutoff
+    if "event_date" in df.columns:
+        recent = recent & (F.col("event_date") >= F.lit(datetime.fromtimestamp(cutoff / 1000, timezone.utc).date()))
+    return recent
 
 
 def where(

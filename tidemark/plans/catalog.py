@@ -5,7 +5,6 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +25,6 @@ STAMPS = {
 }
 #: Topics that may fail one by one before an aspect counts as broken.
 MAX_FAILING = 16
-# The defaults of ``Settings`` are the periods and bounds that users of the catalog know.
 #: Columns a new topic row always overwrites, also with null; all others keep the old value then.
 OVERWRITTEN = ("schema_subject", "schema_id", "schema_version", "inference_status")
 
@@ -47,6 +45,7 @@ TABLES = {
 class Settings:
     """Refresh periods in seconds and the knobs of the refresh job."""
 
+    # The default periods, counts and bounds that users of the catalog know.
     schema_sec: int = 300
     samples_sec: int = 900
     stats_sec: int = 60
