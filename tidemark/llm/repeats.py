@@ -13,9 +13,9 @@ per 40 bytes or so:
 2. Names that occur in two different contents, or twice in one, are found by a combining aggregate and joined back to the
    documents. All else, most of the corpus, is done with.
 3. Documents with such names send those stretches (bytes and place) to the task of the name, after repeats within a
-   block of documents have been found on the spot. Names of more than ``HOT`` stretches are split: each of their windows goes, with its
-   bytes, to one of ``SALTS`` tasks of its own hash, and the first ones of these meet in a second round, so a passage in
-   a third of all documents is no single task.
+   block of documents have been found on the spot. Stretches of names that occur more than ``HOT`` times go to one of ``SALTS`` tasks of the
+   name; the windows that are first there go, each with its bytes to the task of its own hash, through a second round, so
+   neither a passage in a third of all documents nor a phrase in very many contexts is a single task.
 4. Each task makes the suffix order by prefix doubling, the smaller positions, and from these the longest previous factors, in chunks
    of ``CHUNK`` bytes that never cut a name's group. Hot or not, it is the bytes that are compared.
 
@@ -34,14 +34,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import blocks, byte_column, id_and_text, written
+from tidemark.llm.common import BLOCK_BYTES, blocks, byte_column, id_and_text, written
 from tidemark.llm.text_columns import BLANKS
 
 LENGTH = 100
 GRAM = 20
 #: Stretches with one name that still go to one task: about 3 MB.
 HOT = 20_000
-#: Tasks that the copies of one window of a hot name are dealt to before its first ones meet.
+#: Tasks that the stretches of a hot name are dealt to before what is first in them meets.
 SALTS = 64
 CHUNK = 1 << 20
 PART = 1 << 18
@@ -115,19 +115,15 @@ def _name_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), size, digest, *lists], ["doc_id", "content", "n_bytes", "digest", "names", "again", "times"])
 
 
-def window_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of every window of ``LENGTH`` bytes, by doubling: 64 + 32 + 4 bytes."""
+def window_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of every window of ``LENGTH`` bytes, by doubling: 64 + 32 + 4 bytes."""
     data = np.frombuffer(text, np.uint8)
-    n, out = len(data) - LENGTH + 1, []
-    for turn in range(2):
-        h = _mix(_BYTES + _U(turn))[data]
-        kept = {}
-        for k in (1, 2, 4, 8, 16, 32):
-            h = h[:-k] * _U(_STEPS[k.bit_length() % 5] + 4 * turn) + h[k:]
-            h ^= h >> _U(29 + turn)
-            kept[2 * k] = h
-        out.append(_mix(_mix(h[:n] * _U(_STEPS[3]) + kept[32][64 : 64 + n]) * _U(_STEPS[4]) + kept[4][96 : 96 + n]))
-    return out[0].view(np.int64), out[1].view(np.int64)
+    n, h, kept = len(data) - LENGTH + 1, _BYTES[data], {}
+    for k in (1, 2, 4, 8, 16, 32):
+        h = h[:-k] * _U(_STEPS[k.bit_length() % 5]) + h[k:]
+        h ^= h >> _U(29)
+        kept[2 * k] = h
+    return _mix(_mix(h[:n] * _U(_STEPS[3]) + kept[32][64 : 64 + n]) * _U(_STEPS[4]) + kept[4][96 : 96 + n]).view(np.int64)
 
 
 def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,23 +137,8 @@ def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first[1:], len(columns[0])) - 1
 
 
-def _copies(hashes: tuple[np.ndarray, ...], places: tuple[np.ndarray, ...], windows: np.ndarray) -> np.ndarray:
-    """Rows with the bytes of another row of equal hashes at a smaller place; the bytes are compared."""
-    order = np.lexsort((*reversed(places), *reversed(hashes)))
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for h in hashes:
-        new[1:] |= h[order[1:]] != h[order[:-1]]
-    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    later = np.zeros(len(order), bool)
-    for p in places:
-        later |= p[order] != p[first]
-    later[later] = (windows[order[later]] == windows[first[later]]).all(axis=1)
-    return np.sort(order[later])
-
-
 def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches of repeated names with their bytes, and single windows of hot names (salt above zero) with theirs.
+    """Stretches of repeated names with their bytes; those of hot names with a salt above zero.
 
     What has been met before in the block comes out as removed at once (no bytes).
     """
@@ -165,10 +146,9 @@ def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The content tells texts of one id apart; where an id has one text, its place needs none.
         ids, contents = batch.column(0).to_pylist(), pc.if_else(batch.column(4), batch.column(2), 0).to_pylist()
         texts, named = byte_column(batch.column(1)).to_pylist(), batch.column(3)
+        salts = (_mix(np.asarray(ids, np.int64).view(_U) + _U(1)) % _U(SALTS)).astype(np.int32) + 1
         rows: list[tuple] = []
         seen: dict[bytes, tuple] = {}
-        windows: list[tuple[np.ndarray, ...]] = []
-        held: list[np.ndarray] = []
         for i in sorted(range(len(ids)), key=lambda i: (ids[i], contents[i])):
             text, wanted, me = texts[i] or b"", named[i].values, (ids[i], contents[i])
             key, hot = wanted.field("name").to_numpy(), wanted.field("hot").to_numpy(zero_copy_only=False)
@@ -177,43 +157,21 @@ def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, first, last, _ = stretches(text)
             at = np.minimum(np.searchsorted(key, names), len(key) - 1)
             use = key[at] == names
-            is_hot = use & hot[at]
-            if is_hot.any():
-                one, two = window_hashes(text)
-                start = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[is_hot].tolist(), last[is_hot].tolist())])
-                windows.append((one[start], two[start], np.full(len(start), me[0]), np.full(len(start), me[1]), start))
-                held.append(np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), LENGTH)[start])
-            use &= ~is_hot
-            for name, a, b in zip(names[use].tolist(), first[use].tolist(), last[use].tolist()):
+            salt = np.where(hot[at[use]], salts[i], 0).tolist()
+            for name, a, b, x in zip(names[use].tolist(), first[use].tolist(), last[use].tolist(), salt):
                 whole = text[a : b + LENGTH]
                 earlier = seen.setdefault(whole, (*me, a))
                 if earlier == (*me, a):
-                    rows.append((name, *me, a, b - a + 1, whole))
+                    rows.append((name, *me, a, b - a + 1, whole, x))
                 else:
-                    rows.append((0, *me, a, b - a + 1, None))
-        if windows:
-            yield from _send_windows(*(np.concatenate(c) for c in zip(*windows)), np.concatenate(held))
-        yield _sent(*(list(zip(*rows)) if rows else [[]] * 6))
-
-
-def _send_windows(one: np.ndarray, two: np.ndarray, doc: np.ndarray, content: np.ndarray, start: np.ndarray, held: np.ndarray) -> Iterator[pa.RecordBatch]:
-    later = np.zeros(len(one), bool)
-    later[_copies((one, two), (doc, content, start), held)] = True
-    a, b = _runs(doc[later], content[later], start[later])
-    yield _sent(np.zeros(len(a), np.int64), doc[later][a], content[later][a], start[later][a], b - a + 1, [None] * len(a))
-    keep = ~later
-    salt = (_mix(doc[keep].view(_U) + _U(1)) % _U(SALTS)).astype(np.int32) + 1
-    yield _sent(one[keep], doc[keep], content[keep], start[keep], np.ones(int(keep.sum()), np.int64), _window_column(held[keep]), salt)
-
-
-def _window_column(windows: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.binary(LENGTH), len(windows), [None, pa.py_buffer(np.ascontiguousarray(windows).tobytes())]).cast(pa.binary())
+                    rows.append((0, *me, a, b - a + 1, None, 0))
+        yield _sent(*(list(zip(*rows)) if rows else [[]] * 7))
 
 
 def _sent(*columns) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
     made = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)]
-    salt = pa.array(columns[6] if len(columns) > 6 else np.zeros(len(made[0]), np.int32))
+    salt = pa.array(columns[6] if len(columns) > 6 else np.zeros(len(made[0]), np.int32), pa.int32())
     return pa.RecordBatch.from_arrays([*made, salt], ["route", "doc_id", "content", "start", "n", "bytes", "salt"])
 
 
@@ -339,30 +297,44 @@ def _earlier(doc: np.ndarray, content: np.ndarray, start: np.ndarray, n: np.ndar
 
 
 def _removed(sent: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Removed spans of some rows (no bytes, start and length in windows), and the windows of a salt that were not removed, without their salt."""
+    """Removed spans of some rows (no bytes, start and length in windows), and what is left of stretches with a salt, as
+    single windows by their own hash."""
     size = pc.fill_null(pc.binary_length(sent["bytes"]), 0).to_numpy()
     doc, content, start, n, salt = (sent[c].to_numpy() for c in ("doc_id", "content", "start", "n", "salt"))
     spans = [(doc[size == 0], content[size == 0], start[size == 0], n[size == 0])]
-    stay = salt > 0
     long = np.flatnonzero(size >= LENGTH)
+    texts = sent["bytes"].take(pa.array(long)).to_pylist()
+    # Windows of all stretches, one after another, and which of them go.
+    base = np.cumsum(n[long]) - n[long]
+    gone = np.zeros(int(n[long].sum()), bool)
     if len(long) > 1:
-        rows, d, c, s = _earlier(doc[long], content[long], start[long], n[long], sent["bytes"].take(pa.array(long)).to_pylist())
-        stay[long[rows]] = False
+        rows, d, c, s = _earlier(doc[long], content[long], start[long], n[long], texts)
+        gone[base[rows] + s - start[long[rows]]] = True
         order = np.lexsort((s, c, d))
         d, c, s = d[order], c[order], s[order]
         first, last = _runs(d, c, s)
         spans.append((d[first], c[first], s[first], last - first + 1))
     d, c, s, k = (np.concatenate(x) for x in zip(*spans))
     yield _sent(np.zeros(len(d), np.int64), d, c, s, k, [None] * len(d))
-    if stay.any():
-        kept = sent.filter(pa.array(stay)).combine_chunks()
-        yield _sent(*(kept[c].combine_chunks() for c in ("route", "doc_id", "content", "start", "n", "bytes")))
+    out, held = [], 0
+    for i in np.flatnonzero(salt[long] > 0).tolist():
+        row, left = long[i], np.flatnonzero(~gone[base[i] : base[i] + n[long[i]]])
+        if len(left):
+            same = [np.full(len(left), x[row]) for x in (doc, content)]
+            windows = np.asarray([texts[i][w : w + LENGTH] for w in left.tolist()], object)
+            out.append((window_hashes(texts[i])[left], *same, start[row] + left, np.ones(len(left), np.int64), windows))
+            held += len(left)
+        if held > BLOCK_BYTES // LENGTH:
+            yield _sent(*(np.concatenate(c) for c in zip(*out)))
+            out, held = [], 0
+    if out:
+        yield _sent(*(np.concatenate(c) for c in zip(*out)))
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Removed spans, from sent stretches and windows sorted by route and salt, in chunks that end with a route.
 
-    Windows of a salt may be cut anywhere: their first ones meet afterwards.
+    Stretches with a salt may be cut anywhere: what is first in a chunk meets afterwards.
     """
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -473,13 +445,11 @@ def _found(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]
     sent = texts.join(wanted, "doc_id").select("doc_id", "text", "content", "names", "several", *others).mapInArrow(
         _send, _SENT
     )
-    # Spans found on the spot have no bytes; they are dealt out by place.
+    # Spans have no bytes; they are dealt out by place. In the second round only what is left of hot windows has any.
     key = F.when(F.col("bytes").isNull(), F.xxhash64("doc_id", "start")).otherwise(F.col("route"))
-    first = written(sent.repartition(key, "salt").sortWithinPartitions("route", "salt").mapInArrow(_match, _SENT), "first-matches")
-    rest = first.where(F.col("bytes").isNotNull()).repartition("route").sortWithinPartitions("route").mapInArrow(_match, _SENT)
-    spans = first.where(F.col("bytes").isNull()).unionByName(rest).select(
-        "doc_id", "content", "start", (F.col("start") + F.col("n") - 1 + LENGTH).alias("stop")
-    )
+    first = sent.repartition(key, "salt").sortWithinPartitions("route", "salt").mapInArrow(_match, _SENT)
+    second = first.repartition(key).sortWithinPartitions("route").mapInArrow(_match, _SENT)
+    spans = second.select("doc_id", "content", "start", (F.col("start") + F.col("n") - 1 + LENGTH).alias("stop"))
     return known, copies, texts, spans
 
 
