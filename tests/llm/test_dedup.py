@@ -102,6 +102,34 @@ def test_repeats_of_hot_names(spark, repeat_rows, monkeypatch):
     check_repeats(spark, repeat_rows)
 
 
+def test_repeats_inside_one_text_alone(spark):
+    """One stretch is all that its task gets, or all of a chunk, and holds equal windows."""
+    for text in ("Aa bb Aa bb " * 60, "x" * 350):
+        check_repeats(spark, [(27, text)])
+
+
+def test_sent_stretches_leave_in_small_pieces():
+    """Repeated rows are one place, what was met before in the block has no bytes, and no piece holds the whole block."""
+    texts = [prose(500 + k, 4000) for k in range(40)] + [prose(500, 4000)] * 2
+    ids = [*range(40), 41, 41]
+    named = []
+    for text in texts:
+        named.append([{"name": int(n), "hot": False} for n in np.unique(repeats.stretches(text.encode())[0])])
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(ids), pa.array(texts), pa.array(ids), pa.array(named, pa.list_(pa.struct([("name", pa.int64()), ("hot", pa.bool_())]))), pa.array([False] * len(ids))],
+        ["doc_id", "text", "content", "names", "several"],
+    )
+    pieces = list(repeats._send(iter([batch])))
+    assert max(p.nbytes for p in pieces) < 1 << 20
+    sent = pa.Table.from_batches(pieces)
+    rows = list(zip(*(sent[c].to_pylist() for c in ("doc_id", "start", "n", "bytes"))))
+    assert len(set(rows)) == len(rows)
+    places = [(i, int(a), int(b)) for i in (*range(40), 41) for a, b in zip(*repeats.stretches(texts[i].encode())[1:3])]
+    assert sorted((i, a, a + n - 1) for i, a, n, _ in rows) == places
+    assert all(whole is None for i, _, _, whole in rows if i == 41)
+    assert all(whole == texts[i].encode()[a : a + n - 1 + repeats.LENGTH] for i, a, n, whole in rows if whole is not None)
+
+
 def test_repeats_odd_tables(spark):
     assert repeats.removals(documents(spark, [])).collect() == []
     text = prose(77, 60)

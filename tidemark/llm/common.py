@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,10 +63,9 @@ def byte_column(column: pa.Array) -> pa.Array:
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """The rows again in slices of about ``BLOCK_BYTES`` of text (a longer text is a slice of its own)."""
     for batch in batches:
-        sizes = byte_column(batch.column(batch.schema.get_field_index(text))).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_pylist()
         start = total = 0
-        for i, value in enumerate(sizes):
-            n = len(value) if value is not None else 0
+        for i, n in enumerate(sizes):
             if i > start and total + n > BLOCK_BYTES:
                 yield batch.slice(start, i - start)
                 start, total = i, 0

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -140,32 +141,51 @@ def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stretches of repeated names with their bytes; those of hot names with a salt above zero.
 
-    What has been met before in the block comes out as removed at once (no bytes).
+    What has been met before in the block comes out as removed at once (no bytes). Rows leave in pieces of ``PART`` bytes, and
+    all but the bytes stay in arrays, so that a worker holds little more than the block's different stretches.
     """
     for batch in blocks(batches):
         # The content tells texts of one id apart; where an id has one text, its place needs none.
-        ids, contents = batch.column(0).to_pylist(), pc.if_else(batch.column(4), batch.column(2), 0).to_pylist()
-        texts, named = byte_column(batch.column(1)).to_pylist(), batch.column(3)
-        salts = (_mix(np.asarray(ids, np.int64).view(_U) + _U(1)) % _U(SALTS)).astype(np.int32) + 1
-        rows: list[tuple] = []
-        seen: dict[bytes, tuple] = {}
-        for i in sorted(range(len(ids)), key=lambda i: (ids[i], contents[i])):
-            text, wanted, me = texts[i] or b"", named[i].values, (ids[i], contents[i])
+        ids, contents = batch.column(0).to_numpy(), pc.if_else(batch.column(4), batch.column(2), 0).to_numpy()
+        texts, named = byte_column(batch.column(1)), batch.column(3)
+        salts = (_mix(ids.astype(np.int64).view(_U) + _U(1)) % _U(SALTS)).astype(np.int32) + 1
+        seen: set[bytes] = set()
+        parts: list[tuple] = []
+        held, before = 0, None
+        for i in np.lexsort((contents, ids)).tolist():
+            me = (ids[i], contents[i])
+            if me == before:
+                continue  # a repeated row is the same place
+            text, wanted, before = texts[i].as_py() or b"", named[i].values, me
             key, hot = wanted.field("name").to_numpy(), wanted.field("hot").to_numpy(zero_copy_only=False)
             order = np.argsort(key)
             key, hot = key[order], hot[order]
             names, first, last, _ = stretches(text)
             at = np.minimum(np.searchsorted(key, names), len(key) - 1)
             use = key[at] == names
-            salt = np.where(hot[at[use]], salts[i], 0).tolist()
-            for name, a, b, x in zip(names[use].tolist(), first[use].tolist(), last[use].tolist(), salt):
+            name, first, last, salt = names[use], first[use], last[use], np.where(hot[at[use]], salts[i], 0).astype(np.int32)
+            found: list[bytes | None] = []
+            for k, (a, b) in enumerate(zip(first.tolist(), last.tolist())):
                 whole = text[a : b + LENGTH]
-                earlier = seen.setdefault(whole, (*me, a))
-                if earlier == (*me, a):
-                    rows.append((name, *me, a, b - a + 1, whole, x))
+                if whole in seen:
+                    found.append(None)
+                    name[k] = salt[k] = 0
                 else:
-                    rows.append((0, *me, a, b - a + 1, None, 0))
-        yield _sent(*(list(zip(*rows)) if rows else [[]] * 7))
+                    seen.add(whole)
+                    found.append(whole)
+                    held += len(whole)
+            if found:
+                parts.append((name, np.full(len(found), me[0]), np.full(len(found), me[1]), first, last - first + 1, found, salt))
+            if held > PART:
+                yield _joined(parts)
+                parts, held = [], 0
+        if parts:
+            yield _joined(parts)
+
+
+def _joined(parts: list[tuple]) -> pa.RecordBatch:
+    """Sent rows of many texts: arrays one after another, and the lists of their bytes."""
+    return _sent(*(pa.array(list(chain.from_iterable(c)), pa.binary()) if isinstance(c[0], list) else np.concatenate(c) for c in zip(*parts)))
 
 
 def _sent(*columns) -> pa.RecordBatch:
@@ -307,7 +327,7 @@ def _removed(sent: pa.Table) -> Iterator[pa.RecordBatch]:
     # Windows of all stretches, one after another, and which of them go.
     base = np.cumsum(n[long]) - n[long]
     gone = np.zeros(int(n[long].sum()), bool)
-    if len(long) > 1:
+    if len(long):  # a single stretch may hold equal windows too
         rows, d, c, s = _earlier(doc[long], content[long], start[long], n[long], texts)
         gone[base[rows] + s - start[long[rows]]] = True
         order = np.lexsort((s, c, d))
