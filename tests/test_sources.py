@@ -194,3 +194,14 @@ def test_only_whole_json_objects_are_bodies(spark):
     df = spark.createDataFrame([(t,) for t in good + bad], "t string")
     got = [r.ok for r in df.select(envelope.is_json_object(F.col("t")).alias("ok")).collect()]
     assert got == [True] * len(good) + [False] * len(bad)
+
+
+def test_newest_versions_are_found_without_their_schemas(spark):
+    """Ties give one row, null versions count only where there is no other, and only the newest versions' texts are grouped."""
+    rows = [("a-value", 1, 1, "{}"), ("a-value", 2, 2, '{"x":1}'), ("a-value", 2, 2, '{"x":1}'), ("a-value", None, 9, "{}"),
+            ("b-value", None, 3, "{}"), ("c-key", 1, 4, "{}"), (None, 1, 5, "{}")]
+    table = spark.createDataFrame(rows, "subject string, version int, schema_id int, schema_json string")
+    newest = registry.latest(table)
+    got = sorted((r.subject, r.version, r.schema_id, r.schema_json) for r in newest.collect())
+    assert got == [("a-value", 2, 2, '{"x":1}'), ("b-value", None, None, None)]
+    assert "LeftSemi" in newest._jdf.queryExecution().executedPlan().toString()

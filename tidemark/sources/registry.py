@@ -12,15 +12,22 @@ from pyspark.sql import types as T
 
 from tidemark import schemas
 from tidemark.functions.json_text import fingerprint
-from tidemark.session import local_rows
+from tidemark.session import broadcast_if_few, local_rows
 
 FIELD_ARRAY = "array<struct<name: string, type: string, nullable: boolean, default_json: string, doc: string>>"
 SUBJECT_SUFFIX = "-value"
+#: A name and a number each: a few dozen megabytes at most.
+MAX_BROADCAST_SUBJECTS = 200_000
 
 
 def latest(registry: DataFrame) -> DataFrame:
     """The newest version per topic's value subject, with its schema fingerprint; other subjects name no topic."""
-    newest = registry.filter(F.col("subject").endswith(SUBJECT_SUFFIX)).groupBy("subject").agg(
+    named = registry.filter(F.col("subject").endswith(SUBJECT_SUFFIX))
+    # Versions are told apart without their schemas; only the newest ones' texts are grouped.
+    last = named.groupBy("subject").agg(F.max("version").alias("version"))
+    last = broadcast_if_few(last.select(F.col("subject").alias("_subject"), F.col("version").alias("_version")), MAX_BROADCAST_SUBJECTS)
+    held = named.join(last, (F.col("subject") == F.col("_subject")) & F.col("version").eqNullSafe(F.col("_version")), "left_semi")
+    newest = held.groupBy("subject").agg(
         F.max_by(F.struct("version", "schema_id", "schema_json"), F.col("version")).alias("s")
     )
     topic = F.regexp_replace("subject", SUBJECT_SUFFIX + "$", "")
