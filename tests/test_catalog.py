@@ -453,3 +453,17 @@ def test_fields_of_every_event_type(spark, data, tmp_path):
     for name in ("catalog_view", "describe_topic", "explain_field"):
         ok, note = compare(con, queries_catalog.QUERIES[name](spark, str(tmp_path)), queries_catalog.ORACLES[name])
         assert ok, (name, note)
+
+
+def test_many_topics_are_ranked_once(spark, monkeypatch):
+    """With more topics than coordinates may be broadcast, no rank of coordinates is made and written first."""
+    rows = [(f"t{i % 9}", i % 2, i, 1000 - i, f"v{i}") for i in range(200)]
+    events = spark.createDataFrame(rows, "topic string, partition int, offset long, timestamp_ms long, value_json string")
+    few = sorted(map(tuple, sampling.recent_samples(events, 3).collect()))
+
+    def refuse(*_):
+        raise AssertionError("ranked coordinates first")
+
+    monkeypatch.setattr(sampling, "MAX_CHOSEN", 20)
+    monkeypatch.setattr(sampling, "written_once", refuse)
+    assert sorted(map(tuple, sampling.recent_samples(events, 3).collect())) == few

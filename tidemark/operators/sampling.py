@@ -15,18 +15,19 @@ SAMPLE_COUNT = 10
 MAX_CHOSEN = 200_000
 
 
-def _choose(events: DataFrame, rank: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _choose(events: DataFrame, count: int, rank: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Apply a per-group rank limit to a table of wide rows.
 
     The rank is decided on coordinates and time alone, so only those columns are read and sorted. The
     few chosen coordinates are then broadcast back to fetch their rows, which on the event table
-    reads just the folders they lie in, and those few are ranked once more. Should more be chosen than the bound, the same rank runs over
-    the whole rows instead: Spark still applies it inside each task before the exchange.
+    reads just the folders they lie in, and those few are ranked once more. Where there are so many topics that ``count`` of each may be
+    more than the bound, the same rank runs over the whole rows at once: Spark still applies it inside each task before the exchange.
     """
+    # An estimate is enough to choose between two ways to the same rows.
+    if count * events.agg(F.approx_count_distinct("topic")).first()[0] > MAX_CHOSEN:
+        return rank(events)
     keys = [c for c in ("topic", "partition", "offset_block", "offset") if c in events.columns]
     chosen = written_once(rank(events.select(*keys, "timestamp_ms")).select(keys), "chosen")
-    if chosen.limit(MAX_CHOSEN + 1).count() > MAX_CHOSEN:
-        return rank(events)
     return rank(events.join(F.broadcast(chosen), keys, "left_semi"))
 
 
@@ -41,7 +42,7 @@ def recent_samples(events: DataFrame, count: int = SAMPLE_COUNT) -> DataFrame:
         recent = rows.withColumn("_r", F.row_number().over(tail)).filter(F.col("_r") <= count)
         return recent.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= count).drop("_r")
 
-    return _choose(events, rank)
+    return _choose(events, count, rank)
 
 
 def newest_events(events: DataFrame, topic: str, count: int) -> DataFrame:
@@ -57,7 +58,7 @@ def newest_per_topic(events: DataFrame, count: int) -> DataFrame:
     """The newest ``count`` events of every topic with their ``sample_rank``."""
     newest = Window.partitionBy("topic").orderBy(F.desc("timestamp_ms"), "partition", F.desc("offset"))
     return _choose(
-        events, lambda rows: rows.withColumn("sample_rank", F.row_number().over(newest)).filter(F.col("sample_rank") <= count)
+        events, count, lambda rows: rows.withColumn("sample_rank", F.row_number().over(newest)).filter(F.col("sample_rank") <= count)
     )
 
 

@@ -350,12 +350,14 @@ def _part_topics(spark, folder):
         ((F.col("l_orderkey") * 16 + F.col("l_linenumber")) * 1_000_000 + F.col("l_suppkey")).alias("offset"),
         (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("timestamp_ms"),
         F.lit(None).cast("string").alias("key"),
-        F.to_json(F.struct(
-            F.col("l_orderkey").alias("order_id"), F.lit("ada@example.com").alias("email"),
-            F.concat(F.lit("write to ada@example.com about "), F.col("l_suppkey").cast("string")).alias("note"),
-        )).alias("value_json"),
+        "l_orderkey", "l_suppkey",
     )
-    return catalog_rows, part_fields(spark, folder), sampling.recent_samples(lines, 10)
+    value = F.struct(
+        F.col("l_orderkey").alias("order_id"), F.lit("ada@example.com").alias("email"),
+        F.concat(F.lit("write to ada@example.com about "), F.col("l_suppkey").cast("string")).alias("note"),
+    )
+    samples = sampling.recent_samples(lines, 10).withColumn("value_json", F.to_json(value)).drop("l_orderkey", "l_suppkey")
+    return catalog_rows, part_fields(spark, folder), samples
 
 
 def _prompt_sql() -> str:
