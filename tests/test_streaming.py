@@ -1,4 +1,6 @@
+import glob
 import json
+import os
 import re
 from datetime import date
 
@@ -382,3 +384,18 @@ def test_throttle_keeps_calls_without_key_or_time(spark):
     rows = [(None, 1, 0), (None, 2, 0), ("k", 3, None), ("k", 4, 0), (None, 5, None)]
     got = {r.n: r.allowed for r in throttle.throttle(spark.createDataFrame(rows, "key string, n long, timestamp_ms long"), "key", ["n"], 1).collect()}
     assert got == {1: True, 2: False, 3: False, 4: True, 5: False}
+
+
+def test_filters_fit_their_files_and_a_replay_makes_no_more_files(spark, tmp_path):
+    """A Bloom filter is sized by a file's rows, and a folder gets one file of a write, also where a part of the batch is stored."""
+    path, day = str(tmp_path / "events"), 86_400_000
+    batch = [event("t", i, "x", ts=i % 5 * day) for i in range(200)]
+    store.upsert(stored(spark, batch[:150]), path)
+    assert max(os.path.getsize(f) for f in glob.glob(f"{path}/**/*.parquet", recursive=True)) < 100_000
+    assert store.upsert(stored(spark, batch), path) == "replace"
+    assert store.upsert(stored(spark, batch), path) == "replace"
+    found = glob.glob(f"{path}/*/event_date=*/topic=*/partition=*/offset_block=*/*.parquet")
+    folders = len({os.path.dirname(f) for f in found if "/events/event_date" in f})
+    # Two writes of new events and two of replacements, each a file for every folder.
+    assert len(found) <= 4 * folders
+    assert contents(spark, path) == [("t", i, "x") for i in range(200)]
