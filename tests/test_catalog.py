@@ -467,3 +467,18 @@ def test_many_topics_are_ranked_once(spark, monkeypatch):
     monkeypatch.setattr(sampling, "MAX_CHOSEN", 20)
     monkeypatch.setattr(sampling, "written_once", refuse)
     assert sorted(map(tuple, sampling.recent_samples(events, 3).collect())) == few
+
+
+def test_calls_are_admitted_without_their_prompts(spark, monkeypatch):
+    """Prompts meet the admitted keys in one join; running totals and waves carry keys only."""
+    seen, whole = [], budget.mark_admitted
+
+    def watch(calls, *rest):
+        seen.append(set(calls.columns))
+        return whole(calls, *rest)
+
+    monkeypatch.setattr(models.budget, "mark_admitted", watch)
+    asked = spark.createDataFrame([(f"k{i % 6}", f"p{i % 6}", i) for i in range(12)], "cache_key string, prompt string, n int")
+    answers = models.ask(asked, models.Model("local", lambda prompt: (f"about {prompt}", 0.1)), ["n"], ceiling=0.45, estimate=0.2).collect()
+    assert len(answers) == 12 and all(r.text == f"about p{r.n % 6}" for r in answers if r.admitted)
+    assert len(seen) > 1 and all("prompt" not in columns for columns in seen)

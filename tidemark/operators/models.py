@@ -63,9 +63,8 @@ def ask(
     """
     each = model.call_usd if estimate is None else estimate
     prompts = written_once(asked.withColumn("_row", F.monotonically_increasing_id()), "prompts")
-    # The first row of every key asks for all of them.
-    first = prompts.groupBy("cache_key").agg(F.min("_row").alias("_row")).select("_row")
-    waiting = prompts.join(first, "_row", "left_semi").select("_row", "cache_key", "prompt")
+    # The first row of every key asks for all of them. Who may ask is settled without the prompts, which meet their calls in one join.
+    waiting = prompts.groupBy("cache_key").agg(F.min("_row").alias("_row")).select("_row", "cache_key")
     if cache is None:
         waiting = waiting.withColumn("payload_json", F.lit(None).cast("string"))
     else:
@@ -73,7 +72,8 @@ def ask(
     waves = []
     while True:
         marked = budget.mark_admitted(waiting, "cache_key", F.col("payload_json").isNull(), each, spent, ceiling)
-        answers = written_once(_call(marked, model, ["_row", "cache_key", "payload_json", "admitted"]), "answers")
+        asking = marked.join(prompts.select("_row", "prompt"), "_row")
+        answers = written_once(_call(asking, model, ["_row", "cache_key", "payload_json", "admitted"]), "answers")
         turned_away = ~F.col("admitted") & F.col("payload_json").isNull()
         tally = answers.agg(
             F.count_if("admitted").alias("made"), F.count_if(turned_away).alias("left"),
@@ -84,8 +84,7 @@ def ask(
             break
         # What was turned away waits for the next wave.
         waves.append(answers.filter(~turned_away))
-        left = answers.filter(turned_away).select("_row")
-        waiting = written_once(prompts.join(left, "_row", "left_semi").select("_row", "cache_key", "prompt"), "waiting")
+        waiting = answers.filter(turned_away).select("_row", "cache_key")
         waiting = waiting.withColumn("payload_json", F.lit(None).cast("string"))
     for wave in waves:
         answers = answers.unionByName(wave)
