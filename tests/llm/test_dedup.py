@@ -130,6 +130,34 @@ def test_sent_stretches_leave_in_small_pieces():
     assert all(whole == texts[i].encode()[a : a + n - 1 + repeats.LENGTH] for i, a, n, whole in rows if whole is not None)
 
 
+def test_equal_stretches_enter_the_suffix_order_once(monkeypatch):
+    """Copies of a stretch go whole, a repeated row is the same place, and what differs is still put in order."""
+    passage = prose(60, 90).encode()
+    pieces = [passage[:140], passage[20:150], passage[300:420], b"ab" * 80]
+    rows = [(7, d, 0, 1000 * k, p) for d in range(30) for k, p in enumerate(pieces[:2])]
+    rows += [(8, d, 0, 5000, pieces[2]) for d in range(30)] + [(9, d, 0, 7000, pieces[3]) for d in range(2)]
+    rows += rows[:5]
+    sent = [r for r in sorted(rows, key=lambda r: r[0])]
+    ordered, factors = [], repeats.longest_previous_factors
+    monkeypatch.setattr(repeats, "longest_previous_factors", lambda text, *a, **k: ordered.append(len(text)) or factors(text, *a, **k))
+    route, doc, content, start, whole = zip(*sent)
+    n = [len(p) - repeats.LENGTH + 1 for p in whole]
+    batch = repeats._sent(route, doc, content, start, n, whole, np.zeros(len(n), np.int32), np.asarray([r == 9 for r in route]))
+    got = {
+        (d, s + k)
+        for b in repeats._match(iter([batch])) for d, s, c in zip(*(b.column(i).to_pylist() for i in (1, 3, 4))) for k in range(c)
+    }
+    seen, want = set(), set()
+    for d, s, p in sorted({(d, s, p) for _, d, _, s, p in sent}):
+        for k in range(len(p) - repeats.LENGTH + 1):
+            window = p[k : k + repeats.LENGTH]
+            if window in seen:
+                want.add((d, s + k))
+            seen.add(window)
+    assert got == want
+    assert ordered == [140 + 130 + 160]
+
+
 def test_repeats_odd_tables(spark):
     assert repeats.removals(documents(spark, [])).collect() == []
     text = prose(77, 60)

@@ -17,7 +17,9 @@ per 40 bytes or so:
    name; the windows that are first there go, each with its bytes to the task of its own hash, through a second round, so
    neither a passage in a third of all documents nor a phrase in very many contexts is a single task.
 4. Each task makes the suffix order by prefix doubling, the smaller positions, and from these the longest previous factors, in chunks
-   of ``CHUNK`` bytes that never cut a name's group. Hot or not, it is the bytes that are compared.
+   of ``CHUNK`` bytes that never cut a name's group. Hot or not, it is the bytes that are compared. Equal stretches enter the
+   order once, at their first place: what a suffix finds in a later copy it finds there too. A name with one text left is
+   in order already.
 
 Later exact copies of a whole text are removed at once; every string in them stands in the first copy too. Texts are
 shuffled by document once, and read from that exchange by step 3 and by the final cut.
@@ -160,10 +162,10 @@ def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, hot = wanted.field("name").to_numpy(), wanted.field("hot").to_numpy(zero_copy_only=False)
             order = np.argsort(key)
             key, hot = key[order], hot[order]
-            names, first, last, _ = stretches(text)
+            names, first, last, moves = stretches(text)
             at = np.minimum(np.searchsorted(key, names), len(key) - 1)
             use = key[at] == names
-            name, first, last, salt = names[use], first[use], last[use], np.where(hot[at[use]], salts[i], 0).astype(np.int32)
+            name, first, last, moves, salt = names[use], first[use], last[use], moves[use], np.where(hot[at[use]], salts[i], 0).astype(np.int32)
             found: list[bytes | None] = []
             for k, (a, b) in enumerate(zip(first.tolist(), last.tolist())):
                 whole = text[a : b + LENGTH]
@@ -175,7 +177,7 @@ def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     found.append(whole)
                     held += len(whole)
             if found:
-                parts.append((name, np.full(len(found), me[0]), np.full(len(found), me[1]), first, last - first + 1, found, salt))
+                parts.append((name, np.full(len(found), me[0]), np.full(len(found), me[1]), first, last - first + 1, found, salt, moves))
             if held > PART:
                 yield _joined(parts)
                 parts, held = [], 0
@@ -183,6 +185,19 @@ def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _joined(parts)
 
 
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What ``_send`` gives, with neighbouring spans without bytes as one."""
+    for batch in _send(batches):
+        bare = batch.column("bytes").is_null().to_numpy(zero_copy_only=False)
+        doc, content, start, n = (batch.column(c).to_numpy() for c in ("doc_id", "content", "start", "n"))
+        follows = bare[1:] & bare[:-1] & (doc[1:] == doc[:-1]) & (content[1:] == content[:-1]) & (start[1:] == start[:-1] + n[:-1])
+        lead = np.flatnonzero(np.append(True, ~follows))
+        whole = np.add.reduceat(n, lead)
+        columns = batch.take(pa.array(lead)).columns
+        columns[batch.schema.get_field_index("n")] = pa.array(whole, pa.int64())
+        yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+
 def _joined(parts: list[tuple]) -> pa.RecordBatch:
     """Sent rows of many texts: arrays one after another, and the lists of their bytes."""
     return _sent(*(pa.array(list(chain.from_iterable(c)), pa.binary()) if isinstance(c[0], list) else np.concatenate(c) for c in zip(*parts)))
@@ -191,8 +206,8 @@ def _joined(parts: list[tuple]) -> pa.RecordBatch:
 def _sent(*columns) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
     made = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)]
-    salt = pa.array(columns[6] if len(columns) > 6 else np.zeros(len(made[0]), np.int32), pa.int32())
-    return pa.RecordBatch.from_arrays([*made, salt], ["route", "doc_id", "content", "start", "n", "bytes", "salt"])
+    salt, moves = columns[6:] if len(columns) > 6 else (np.zeros(len(made[0]), np.int32), np.zeros(len(made[0]), bool))
+    return pa.RecordBatch.from_arrays([*made, pa.array(salt, pa.int32()), pa.array(moves, pa.bool_())], ["route", "doc_id", "content", "start", "n", "bytes", "salt", "moves"])
 
 
 #: Bits of a rank or an index while three of them fit one sorted word.
@@ -231,12 +246,12 @@ def suffix_order(text: np.ndarray, depth: int = LENGTH) -> tuple[list[tuple[int,
         rank[order] = np.cumsum(new).astype(_U)
     else:
         rank, order = _ranked(high, low)
-    levels = [(size, rank)]
+    levels = [(size, rank.astype(np.uint32))]
     while size < depth:
         step = min(size, depth - size)
         rank, order = _ranked(rank[:-step], rank[step:])
         size += step
-        levels.append((size, rank))
+        levels.append((size, rank.astype(np.uint32)))
     return levels, order[order < len(text)]
 
 
@@ -320,16 +335,28 @@ def _removed(sent: pa.Table) -> Iterator[pa.RecordBatch]:
     """Removed spans of some rows (no bytes, start and length in windows), and what is left of stretches with a salt, as
     single windows by their own hash."""
     size = pc.fill_null(pc.binary_length(sent["bytes"]), 0).to_numpy()
-    doc, content, start, n, salt = (sent[c].to_numpy() for c in ("doc_id", "content", "start", "n", "salt"))
+    route, doc, content, start, n, salt = (sent[c].to_numpy() for c in ("route", "doc_id", "content", "start", "n", "salt"))
     spans = [(doc[size == 0], content[size == 0], start[size == 0], n[size == 0])]
     long = np.flatnonzero(size >= LENGTH)
-    texts = sent["bytes"].take(pa.array(long)).to_pylist()
+    long = long[np.lexsort((start[long], content[long], doc[long]))]
+    held = sent["bytes"].take(pa.array(long)).combine_chunks()
+    # Equal stretches: the first stands for all in the suffix order, the others go whole. A repeated row is the same place.
+    code = held.dictionary_encode().indices.to_numpy()
+    _, lead = np.unique(code, return_index=True)
+    of = long[lead][code] if len(long) else long
+    again = (doc[long] != doc[of]) | (content[long] != content[of]) | (start[long] != start[of])
+    spans.append(tuple(x[long[again]] for x in (doc, content, start, n)))
+    texts, long = held.take(pa.array(lead)).to_pylist(), long[lead]
     # Windows of all stretches, one after another, and which of them go.
     base = np.cumsum(n[long]) - n[long]
     gone = np.zeros(int(n[long].sum()), bool)
-    if len(long):  # a single stretch may hold equal windows too
-        rows, d, c, s = _earlier(doc[long], content[long], start[long], n[long], texts)
-        gone[base[rows] + s - start[long[rows]]] = True
+    # What is alone under its name meets none but itself, and may hold equal windows only if its k-gram moves.
+    _, group, members = np.unique(route[long], return_inverse=True, return_counts=True)
+    open_ = np.flatnonzero((members[group] > 1) | sent["moves"].to_numpy()[long])
+    if len(open_):
+        at = long[open_]
+        rows, d, c, s = _earlier(doc[at], content[at], start[at], n[at], [texts[i] for i in open_.tolist()])
+        gone[base[open_[rows]] + s - start[at[rows]]] = True
         order = np.lexsort((s, c, d))
         d, c, s = d[order], c[order], s[order]
         first, last = _runs(d, c, s)
@@ -434,7 +461,7 @@ def _cut_texts(rows: DataFrame, with_text: bool) -> DataFrame:
     return chosen.mapInArrow(_cut(with_text), "doc_id long, content long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
-_SENT = "route long, doc_id long, content long, start long, n long, bytes binary, salt int"
+_SENT = "route long, doc_id long, content long, start long, n long, bytes binary, salt int, moves boolean"
 
 
 def _found(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -463,7 +490,7 @@ def _found(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]
     others = [c for c in rows.columns if c not in ("doc_id", "content", "text")]
     texts = rows.where(F.col("doc_id").isNotNull()).select("doc_id", "content", "text", *others).repartition("doc_id")
     sent = texts.join(wanted, "doc_id").select("doc_id", "text", "content", "names", "several", *others).mapInArrow(
-        _send, _SENT
+        _deal, _SENT
     )
     # Spans have no bytes; they are dealt out by place. In the second round only what is left of hot windows has any.
     key = F.when(F.col("bytes").isNull(), F.xxhash64("doc_id", "start")).otherwise(F.col("route"))
