@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 
 import brute
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from fixtures import by_id, changed, corpus, documents, prose
 from pyspark.sql import functions as F
-from tidemark.llm import near_dedup, repeats, site_classifier
+from tidemark.llm import common, near_dedup, repeats, site_classifier
 from tidemark.llm.components import components
 
 
@@ -42,6 +43,28 @@ def test_near_odd_tables(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([None, 4, 4, 13], key=str)
 
 
+def test_near_copies_split_little_text_at_once(monkeypatch):
+    """Words are objects many times their size, so a worker splits a small block at a time, and gives the same rows."""
+    texts = [prose(700 + k, 3000) for k in range(150)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    sizes, sets = [], near_dedup.Shingles.sets
+    monkeypatch.setattr(near_dedup.Shingles, "sets", lambda self, texts: sizes.append(sum(map(len, texts))) or sets(self, texts))
+    out = pa.Table.from_batches(near_dedup._sketches(iter([batch])))
+    assert out["doc_id"].to_pylist() == list(range(len(texts)))
+    assert sum(sizes) == sum(map(len, texts)) > 2 << 20
+    assert max(sizes) <= 1 << 20
+
+
+def test_a_worker_keeps_the_state_of_one_operator():
+    made = []
+    state = lambda key: common.worker_state(key, lambda: made.append(key) or [key])
+    first = state(("a",))
+    assert state(("a",)) is first
+    state(("b",))
+    assert list(sys.__dict__["_tidemark_llm_state"]) == [("b",)]
+    assert state(("a",)) == [("a",)] and made == [("a",), ("b",), ("a",)]
+
+
 def test_sketch_estimates_similarity():
     pick = np.random.default_rng(1)
     for size, shared in ((300, 0.8), (40, 0.5), (3, 0.5), (2000, 0.75)):

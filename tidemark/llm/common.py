@@ -48,9 +48,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def worker_state(key: tuple, build: Callable[[], Any]) -> Any:
-    """What ``build`` returns, made once per Python worker and key, and kept for its later tasks."""
+    """What ``build`` returns, made once per Python worker and key, and kept for its later tasks.
+
+    Workers outlive the stages of a pipeline, so one state is kept at a time: the caches of a stage that is over make room
+    for those of the next.
+    """
     kept = sys.__dict__.setdefault("_tidemark_llm_state", {})
     if key not in kept:
+        kept.clear()
         kept[key] = build()
     return kept[key]
 
@@ -60,13 +65,13 @@ def byte_column(column: pa.Array) -> pa.Array:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The rows again in slices of about ``BLOCK_BYTES`` of text (a longer text is a slice of its own)."""
+def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows again in slices of about ``most`` bytes of text (a longer text is a slice of its own)."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_pylist()
         start = total = 0
         for i, n in enumerate(sizes):
-            if i > start and total + n > BLOCK_BYTES:
+            if i > start and total + n > most:
                 yield batch.slice(start, i - start)
                 start, total = i, 0
             total += n

@@ -40,6 +40,8 @@ ROWS, BANDS = 5, 48
 SKETCH = ROWS * BANDS
 TILE = 512
 CACHE_WORDS = 300_000
+#: Bytes of text that are split into words at once: each word is an object of some fifty bytes.
+BLOCK = 1 << 20
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 
@@ -135,7 +137,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from xxhash import xxh3_128_digest
 
     maker = shingles()
-    for batch in blocks(batches):
+    for batch in blocks(batches, most=BLOCK):
         sets = maker.sets(byte_column(batch.column(1)).to_pylist())
         digest = [xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
         keys = [bands(sketch(s)) if len(s) else np.empty(0, _U) for s in sets]
@@ -149,7 +151,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     maker = shingles()
-    for batch in blocks(batches):
+    for batch in blocks(batches, most=BLOCK):
         sets = maker.sets(byte_column(batch.column(1)).to_pylist())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "items"])
 

@@ -28,6 +28,8 @@ from tidemark.llm.common import Recent, blocks, id_and_text, worker_state
 
 SPACE = "▁"
 CACHE_WORDS = 160_000
+#: Bytes of text that are cut into words at once: each word is an object of some sixty bytes.
+BLOCK = 2 << 20
 LONG = 256
 NONE = np.int32(2**31 - 1)
 _CUT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
@@ -248,7 +250,7 @@ def _run(docs: DataFrame, model: str, id_col: str, text_col: str, end: bool, bac
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = pieces(model)
         tail = np.asarray([coder.end_id], "<i4").tobytes() if end else b""
-        for batch in blocks(batches):
+        for batch in blocks(batches, most=BLOCK):
             packed = [ids + tail for ids in coder.encode(batch.column(1).to_pylist())]
             offsets = np.concatenate([[0], np.cumsum([len(p) >> 2 for p in packed])]).astype(np.int32)
             flat = np.frombuffer(b"".join(packed), "<i4")

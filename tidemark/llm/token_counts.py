@@ -70,9 +70,8 @@ def _split(coder: WordBpe, text: str) -> tuple[list[str], list[str]] | None:
 
 def _counts(path: str, shared, over: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = worker_state(("counts", path), lambda: WordBpe(path, CACHE_PIECES))
+        coder, rest = worker_state(("counts", path), lambda: (WordBpe(path, CACHE_PIECES), Recent(CACHE_PIECES)))
         frequent = shared.value
-        rest = worker_state(("lengths", path), lambda: Recent(CACHE_PIECES))
         lengths = lambda pieces: [len(ids) >> 2 for ids in coder.encode_pieces(pieces)]
         one_by_one = lambda pieces: [len(coder.library(p)) >> 2 for p in pieces]
         for batch in blocks(batches):
