@@ -47,6 +47,36 @@ def test_word_pieces_equal_library(word_library, cache):
     assert got == [e.ids for e in word_library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_letters_that_leave_the_plain_ones_in_lower_case(word_library):
+    texts = ["xȺy Ɔa xyzƎa ȺB", "Əla bir İş, Ɓaŋ Ɗo’s", "plain ȾȾ words", "<|ENDOFTEXT|> <|endoftext|>Ə"]
+    assert [np.frombuffer(p, "<u4").tolist() for p in WordBpe(WORDS).encode(texts)] == [word_library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_the_library_meets_each_new_piece_once(word_library, monkeypatch):
+    """No text goes through the library as a whole for a character that is no plain one, and no known pre-token again."""
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(299)]
+    texts = [" ".join(words[i : i + 200]) + " “quoted” — Привет, 日本語. It’s" for i in range(100)] + [None, "", " \xa0\n"]
+    coder, whole, met = WordBpe(WORDS), [], []
+    library, encode_tokens = WordBpe.library, coder.tokens.make
+    monkeypatch.setattr(WordBpe, "library", lambda self, text: whole.append(text) or library(self, text))
+    coder.tokens.make = lambda tokens: met.extend(tokens.to_pylist()) or encode_tokens(tokens)
+    got = [np.frombuffer(p, "<u4").tolist() for i in range(0, len(texts), 10) for p in coder.encode(texts[i : i + 10])]
+    assert got == [word_library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert sorted(whole) == sorted(["“quoted”", "—", "Привет,", "日本語.", "It’s"])
+    assert len(met) == len(set(met)) and set(words) <= set(met)
+
+
+def test_what_a_worker_keeps_is_bounded(word_library):
+    coder = WordBpe(WORDS, 100)
+    for k in range(8):
+        texts = [f"often {'z' * 70}{k} " + " ".join(f"{chr(97 + k)}{chr(97 + i // 26)}{chr(97 + i % 26)}," for i in range(150))] * 3
+        got = [np.frombuffer(p, "<u4").tolist() for p in coder.encode(texts)]
+        assert got == [word_library.encode(t, add_special_tokens=False).ids for t in texts]
+        for known in (coder.pieces, coder.tokens):
+            assert len(known.keys) == len(known.ids) == len(known.uses) <= 200 and max(map(len, known.keys.to_pylist())) <= 64
+    assert "often" in coder.pieces.keys.to_pylist()
+
+
 @pytest.mark.parametrize("cache", [50, 10**6])
 def test_merge_rounds_equal_library(piece_library, cache):
     texts = mixed_texts(1500) + [t or "" for _, t in corpus()] + ["aaaaaaa" * 50, "    " * 40, "abababab" * 30, "=-=-" * 99]

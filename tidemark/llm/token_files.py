@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import blocks, id_and_text
 from tidemark.llm.word_bpe import encoder
 
+#: Bytes of text that are encoded at once: the more, the fewer pieces of them are distinct.
+BLOCK_BYTES = 6 << 20
 #: Rows of (part, first id) that may be broadcast: 16 MB.
 BROADCAST_PARTS = 1_000_000
 ORC_OPTIONS = {
@@ -33,7 +35,7 @@ def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end, at = encoder(path), np.asarray([end_id], "<u4").tobytes(), 0
         part = TaskContext.get().partitionId()
-        for batch in blocks(batches):
+        for batch in blocks(batches, most=BLOCK_BYTES):
             packed = [ids + end for ids in coder.encode(batch.column(1).to_pylist())]
             n = np.asarray([len(p) >> 2 for p in packed], np.int64)
             offsets = np.concatenate([[0], np.cumsum(n)])
